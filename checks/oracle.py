@@ -281,13 +281,15 @@ _NEIGHBOUR_EDGE = """
 
 
 def _laplacian(low: int, high: int) -> str:
-    """Variance of the Laplacian of rows low..high-1; borders mirror."""
+    """Variance of the Laplacian of rows low..high-1 times the squared pixel count; borders mirror."""
     rows = high - low
     mirror = lambda c, top: f"CASE WHEN {c} < 0 THEN -({c}) WHEN {c} > {top} THEN 2 * {top} - ({c}) ELSE {c} END"
     at = lambda dy, dx: (f"m[({mirror(f'y + {dy}', rows - 1)} + {low}) * 8 + ({mirror(f'x + {dx}', 7)}) + 1]")
+    lap = f"CAST({at(-1, 0)} + {at(1, 0)} + {at(0, -1)} + {at(0, 1)} - 4 * {at(0, 0)} AS BIGINT)"
     return f"""
-        SELECT vec_id, round(var_pop({at(-1, 0)} + {at(1, 0)} + {at(0, -1)} + {at(0, 1)} - 4 * {at(0, 0)}), 4) AS s
-        FROM (SELECT vec_id, list(v::DOUBLE ORDER BY px) AS m FROM pixels GROUP BY vec_id), range(0, {rows}) a(y), range(0, 8) b(x)
+        SELECT vec_id, CAST({rows * 8} * sum(d * d) - sum(d) * sum(d) AS BIGINT) AS s
+        FROM (SELECT vec_id, {lap} AS d FROM
+              (SELECT vec_id, list(v ORDER BY px) AS m FROM pixels GROUP BY vec_id), range(0, {rows}) a(y), range(0, 8) b(x))
         GROUP BY vec_id"""
 
 

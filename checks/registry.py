@@ -192,9 +192,11 @@ def display_labels(spark, d):
 
 def sharpness(spark, d):
     rows = I.images(spark, d)
+    # times the squared number of pixels, the variance of whole numbers is a whole number
+    whole = lambda score, n: F.round(score * (n * n)).cast("long")
     return rows.select("walk_id", "face_idx",
-                       F.round(images.sharpness(F.col("image")), 4).alias("sharpness"),
-                       F.round(images.pano_sharpness(F.col("image")), 4).alias("band_sharpness"))
+                       whole(images.sharpness(F.col("image")), 64).alias("sharpness"),
+                       whole(images.pano_sharpness(F.col("image")), 32).alias("band_sharpness"))
 
 
 def face_projection(spark, d):
