@@ -296,7 +296,7 @@ def walk_list(spark, d):
 
 def calibrated_tau(spark, d):
     rows = I.faces(spark, d)
-    hist = pairs.far_histogram(rows, Calib().far_seconds)
+    hist = cut(pairs.far_histogram(rows, Calib().far_seconds))
     return calibration.far_quantiles(rows, hist).select("walk_id", "n", "tau")
 
 
@@ -388,8 +388,8 @@ def solo_drop(spark, d):
 def select(spark, d):
     """Calibrates and selects from the vectors alone."""
     rows = I.faces(spark, d)
-    hist = pairs.far_histogram(rows, Calib().far_seconds)
-    levels = cut(calibration.far_quantiles(rows, hist))
+    hist = cut(pairs.far_histogram(rows, Calib().far_seconds))
+    levels = calibration.far_quantiles(rows, hist)
     return selection.select_faces(rows, levels).select(
         "walk_id", "face_idx", "pano_idx", "yaw", "path", "kept", "anchor", *r4("cosine"), "solo")
 

@@ -8,13 +8,9 @@ from pyspark.sql import functions as F
 from walksieve.functions.ordinals import integer_ordinal
 from walksieve.functions.text import neighbour_name
 from walksieve.functions.vectors import dot
-from walksieve.operators.pairs import BINS, BLOCK, far_histogram, far_values
+from walksieve.operators.pairs import BINS, BLOCK, far_cells, far_histogram
 from walksieve.params import HEALTHY_REFERENCE, MIN_FAR_PAIRS, SKETCH_SIZE, Calib
-
-
-def _budget(calib: Calib, pct: str | None) -> Column:
-    """The false-merge percentage: one for all walks or a column of the input."""
-    return F.col(pct) if pct else F.lit(float(calib.false_merge_pct))
+from walksieve.session import cut
 
 
 def _lerp(low: Column, high: Column, at: Column) -> Column:
@@ -22,22 +18,59 @@ def _lerp(low: Column, high: Column, at: Column) -> Column:
 
 
 def walk_cells(histogram: DataFrame) -> DataFrame:
-    """Histogram cells per walk with running totals: walk_id, bin, pairs, upto, n."""
-    cells = histogram.groupBy("walk_id", "bin").agg(F.sum("pairs").alias("pairs"))
+    """Histogram cells per walk with running totals: walk_id, bin, pairs, low, high, upto, n."""
+    cells = histogram.groupBy("walk_id", "bin").agg(
+        F.sum("pairs").alias("pairs"), F.min("low").alias("low"), F.max("high").alias("high"))
     whole = Window.partitionBy("walk_id")     # at most 20 001 cells per walk
     return (cells.withColumn("upto", F.sum("pairs").over(
                 whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
             .withColumn("n", F.sum("pairs").over(whole)))
 
 
+_STATS = ("median", "p95", "p99", "tau")
+
+
+def _position(name: str) -> Column:
+    """Fractional rank of a statistic among `n` values."""
+    share = {"median": F.lit(50.0), "p95": F.lit(95.0), "p99": F.lit(99.0),
+             "tau": F.lit(100.0) - F.col("pct")}[name]
+    return share / 100.0 * (F.col("n") - 1)
+
+
+def _located(cell: Column, rank: Column) -> list[Column]:
+    """Where a rank lies, given the cell it falls in: values below, low, high.
+
+    The first and the last value of a cell are known exactly.
+    """
+    before = cell["upto"] - cell["pairs"]
+    first, last = rank == before, rank == cell["upto"] - 1
+    low = F.when(last & ~first, cell["high"]).otherwise(cell["low"])
+    high = F.when(first, cell["low"]).otherwise(cell["high"])
+    return [before.alias("before"), low.alias("low"), high.alias("high")]
+
+
+def _bounds(ends: DataFrame) -> DataFrame:
+    """One row per walk: the least and the greatest each statistic can be, rounded."""
+    at = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
+    rows = ends.groupBy("walk_id", "n", "pct", "top").agg(*[
+        at(2 * s + e, c).alias(f"_{s}_{e}_{c}")
+        for s in range(len(_STATS)) for e in (0, 1) for c in ("low", "high")])
+    stat = lambda s, c: F.round(_lerp(F.col(f"_{s}_0_{c}"), F.col(f"_{s}_1_{c}"), _position(_STATS[s])), 4)
+    return rows.select("walk_id", "n", "top", *[
+        stat(s, c).alias(f"{name}_{c}") for s, name in enumerate(_STATS) for c in ("low", "high")])
+
+
 def far_quantiles(faces: DataFrame, histogram: DataFrame, calib: Calib = Calib(),
                   budgets: DataFrame | None = None, size: int = BLOCK) -> DataFrame:
     """Exact statistics of the far cosines, one row per walk with far pairs.
 
     walk_id, n, median, p95, p99, max, tau (all 4 decimals; tau is NULL with
-    too few pairs). The histogram says which cells hold the wanted ranks; a
-    second pass over the blocks fetches just those cells.
-    `budgets` may set false_merge_pct per walk.
+    too few pairs). `budgets` may set false_merge_pct per walk.
+
+    The cell of a wanted rank bounds its value. Where that leaves a rounded
+    statistic open, the walk's blocks meet again and count only inside the
+    bounds, in 4 096 finer cells, until it is settled. Only cells ever move,
+    also where a third of a walk's faces are copies with near-equal cosines.
     """
     cells = walk_cells(histogram)
     if budgets is None:
@@ -45,40 +78,44 @@ def far_quantiles(faces: DataFrame, histogram: DataFrame, calib: Calib = Calib()
     else:
         cells = cells.join(budgets.select("walk_id", F.col("false_merge_pct").cast("double")
                                           .alias("pct")), "walk_id")
-    ends = [(name, end) for name in ("median", "p95", "p99", "tau") for end in ("lo", "hi")]
-
-    def position(name: str) -> Column:
-        share = {"median": F.lit(50.0), "p95": F.lit(95.0), "p99": F.lit(99.0),
-                 "tau": F.lit(100.0) - F.col("pct")}[name]
-        return share / 100.0 * (F.col("n") - 1)
-
-    def rank(name: str, end: str) -> Column:
-        return F.floor(position(name)) if end == "lo" else F.ceil(position(name))
-
+    ranks = [f(_position(name)).cast("long") for name in _STATS for f in (F.floor, F.ceil)]
+    cell = F.struct("upto", "pairs", "low", "high")
     found = cells.groupBy("walk_id", "n", "pct").agg(
-        F.max("bin").alias("_top"),
-        *[F.min(F.when(F.col("upto") > rank(*e), F.col("bin"))).alias("_bin_%s_%s" % e)
-          for e in ends],
-        *[F.coalesce(F.max(F.when(F.col("upto") <= rank(*e), F.col("upto"))), F.lit(0))
-          .alias("_before_%s_%s" % e) for e in ends])
-    wanted = found.select("walk_id", F.array_distinct(F.array(
-        *[F.col("_bin_%s_%s" % e) for e in ends])).alias("bins"))
-    values = far_values(faces, wanted, calib.far_seconds, size)
-    within = (Window.partitionBy("walk_id", "bin").orderBy("value")
-              .rowsBetween(Window.unboundedPreceding, 0))
-    ranked = values.withColumn("_in", F.sum("pairs").over(within)).join(found, "walk_id")
-    grouped = ranked.groupBy("walk_id", "n", "pct", "_top").agg(*[
-        F.min(F.when((F.col("bin") == F.col("_bin_%s_%s" % e))
-                     & (F.col("_before_%s_%s" % e) + F.col("_in") > rank(*e)), F.col("value")))
-        .alias("_%s_%s" % e) for e in ends])
-
-    def stat(name: str) -> Column:
-        return F.round(_lerp(F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), position(name)), 4)
-
-    return grouped.select(
-        "walk_id", "n", stat("median").alias("median"), stat("p95").alias("p95"),
-        stat("p99").alias("p99"), (F.col("_top") / BINS).alias("max"),
-        F.when(F.col("n") >= MIN_FAR_PAIRS, stat("tau")).alias("tau"))
+        F.max("bin").alias("top"),
+        *[F.min(F.when(F.col("upto") > r, cell)).alias(f"_{i}") for i, r in enumerate(ranks)])
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), r.alias("rank"), F.col(f"_{i}").alias("cell"))
+                       for i, r in enumerate(ranks)])
+    rows = found.select("walk_id", "n", "pct", "top", F.explode(wanted).alias("w"))
+    keys = ["walk_id", "n", "pct", "top", "i", "rank"]
+    ends = cut(rows.select("walk_id", "n", "pct", "top", "w.i", "w.rank",
+                           *_located(F.col("w.cell"), F.col("w.rank"))))
+    unsettled = F.lit(False)
+    for name in _STATS:
+        unsettled = unsettled | (F.col(f"{name}_low") != F.col(f"{name}_high"))
+    while True:
+        bounds = _bounds(ends)
+        unclear = bounds.filter(unsettled).select("walk_id")
+        if unclear.isEmpty():
+            break
+        ranges = (ends.join(unclear, "walk_id", "left_semi").filter("low < high")
+                  .groupBy("walk_id").agg(F.collect_list(F.struct("i", "low", "high")).alias("ranges")))
+        finer = far_cells(faces, ranges, calib.far_seconds, size)
+        upto = F.sum("pairs").over(Window.partitionBy("walk_id", "i").orderBy("cell")
+                                   .rowsBetween(Window.unboundedPreceding, 0))
+        targets = ends.select("walk_id", "i", "rank", F.col("before").alias("_base"))
+        hit = (finer.withColumn("upto", upto).join(targets, ["walk_id", "i"])
+               .withColumn("upto", F.col("upto") + F.col("_base"))
+               .groupBy("walk_id", "i")
+               .agg(F.min(F.when(F.col("upto") > F.col("rank"), cell)).alias("_c")))
+        moved = ends.withColumnsRenamed({"before": "_before", "low": "_low", "high": "_high"}) \
+            .join(hit, ["walk_id", "i"], "left")
+        new = _located(F.col("_c"), F.col("rank"))
+        ends = cut(moved.select(*keys, *[F.coalesce(c, F.col(f"_{o}")).alias(o) for c, o in
+                                         zip(new, ("before", "low", "high"))]))
+    return bounds.select(
+        "walk_id", "n", *[F.col(f"{s}_low").alias(s) for s in ("median", "p95", "p99")],
+        (F.col("top") / BINS).alias("max"),
+        F.when(F.col("n") >= MIN_FAR_PAIRS, F.col("tau_low")).alias("tau"))
 
 
 def sketch_cells(histogram: DataFrame, keep: int = SKETCH_SIZE) -> DataFrame:
@@ -198,7 +235,7 @@ def assemble_record(walks: DataFrame, far: DataFrame, sketch: DataFrame, referen
 def calibrate(faces: DataFrame, neighbours: DataFrame, native_fps: float,
               calib: Calib = Calib(), size: int = BLOCK) -> DataFrame:
     """The calibration record of every walk in `faces`."""
-    histogram = far_histogram(faces, calib.far_seconds, size)
+    histogram = cut(far_histogram(faces, calib.far_seconds, size))
     pairs = reference_pairs(faces, neighbours, native_fps, calib.samples)
     reference = reference_stats(pairs)
     error = F.when(F.col("ref_n").isNull(), F.lit("no reference frame was exported")) \

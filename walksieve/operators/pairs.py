@@ -61,60 +61,99 @@ def _apart(table: pa.Table, rows, cols, same: bool, far_seconds: float) -> np.nd
     return np.triu(apart, k=1) if same else apart
 
 
+def _slim(faces: DataFrame) -> DataFrame:
+    return faces.select("walk_id", F.col("yaw").cast("int").alias("yaw"), "face_idx",
+                        F.col("t_sec").cast("double").alias("t_sec"), "embedding")
+
+
+class _Cells:
+    """Counts, lowest and highest value by cell, gathered strip by strip."""
+
+    def __init__(self):
+        self.found: dict[int, tuple[int, float, float]] = {}
+
+    def add(self, cell: np.ndarray, value: np.ndarray) -> None:
+        if not len(value):
+            return
+        order = np.lexsort((value, cell))
+        cell, value = cell[order], value[order]
+        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        end = np.r_[start[1:], len(cell)]
+        for c, n, low, high in zip(cell[start].tolist(), (end - start).tolist(),
+                                   value[start].tolist(), value[end - 1].tolist()):
+            old = self.found.get(c)
+            self.found[c] = (n, low, high) if old is None else \
+                (old[0] + n, min(old[1], low), max(old[2], high))
+
+    def columns(self) -> dict[str, pa.Array]:
+        cells = list(self.found.values())
+        return {"pairs": pa.array([c[0] for c in cells], pa.int64()),
+                "low": pa.array([c[1] for c in cells], pa.float64()),
+                "high": pa.array([c[2] for c in cells], pa.float64())}
+
+
+_SUM_CELLS = (F.sum, "pairs"), (F.min, "low"), (F.max, "high")
+
+
 def far_histogram(faces: DataFrame, far_seconds: float, size: int = BLOCK) -> DataFrame:
-    """Far pairs counted by heading and 4-decimal cosine: walk_id, yaw, bin, pairs.
+    """Far pairs counted by heading and 4-decimal cosine.
 
     A far pair is two faces of one heading more than `far_seconds` apart. `bin`
-    is the rounded cosine times 10 000, so a walk has at most 20 001 of them.
+    is the rounded cosine times 10 000, so a walk has at most 20 001 of them;
+    `low` and `high` are the extreme cosines in it. Columns: walk_id, yaw, bin,
+    pairs, low, high.
     """
     def count(key, table):
-        cells: dict[int, int] = {}
+        cells = _Cells()
         for rows, cols, cos, same in _strips(key, table):
             far = cos[_apart(table, rows, cols, same, far_seconds)]
-            bins, n = np.unique(np.rint(far * BINS).astype(np.int64), return_counts=True)
-            for b, c in zip(bins.tolist(), n.tolist()):
-                cells[b] = cells.get(b, 0) + c
-        size = len(cells)
+            cells.add(np.rint(far * BINS).astype(np.int64), far)
+        size = len(cells.found)
         return pa.table({"walk_id": pa.array([key[0].as_py()] * size, table.schema.field("walk_id").type),
                          "yaw": pa.array([key[1].as_py()] * size, pa.int32()),
-                         "bin": pa.array(list(cells), pa.int64()),
-                         "pairs": pa.array(list(cells.values()), pa.int64())})
+                         "bin": pa.array(list(cells.found), pa.int64()), **cells.columns()})
 
     walk_type = faces.schema["walk_id"].dataType.simpleString()
-    slim = faces.select("walk_id", F.col("yaw").cast("int").alias("yaw"), "face_idx",
-                        F.col("t_sec").cast("double").alias("t_sec"), "embedding")
-    return (met_blocks(slim, ["walk_id", "yaw"], size)
+    return (met_blocks(_slim(faces), ["walk_id", "yaw"], size)
             .drop("face_idx").groupBy("walk_id", "yaw", "_pa", "_pb")
-            .applyInArrow(count, f"walk_id {walk_type}, yaw int, bin long, pairs long")
-            .groupBy("walk_id", "yaw", "bin").agg(F.sum("pairs").alias("pairs")))
+            .applyInArrow(count, f"walk_id {walk_type}, yaw int, bin long, pairs long, "
+                                 "low double, high double")
+            .groupBy("walk_id", "yaw", "bin").agg(*[f(c).alias(c) for f, c in _SUM_CELLS]))
+
+
+SPLIT = 4096      # cells that one range is cut into
 
 
-def far_values(faces: DataFrame, wanted: DataFrame, far_seconds: float,
-               size: int = BLOCK) -> DataFrame:
-    """The exact far cosines inside the wanted cells: walk_id, bin, value, pairs.
+def far_cells(faces: DataFrame, ranges: DataFrame, far_seconds: float,
+              size: int = BLOCK) -> DataFrame:
+    """Far pairs inside a few narrow ranges of cosine, counted in finer cells.
 
-    `wanted` has walk_id and `bins`, a short array. Equal values are counted
-    inside the task, so only distinct ones move.
+    `ranges`: walk_id and `ranges`, a short array of (i, low, high), both ends
+    inside. Columns: walk_id, i, cell, pairs, low, high.
     """
-    def pick(key, table):
-        bins = np.asarray(table["bins"][0].as_py(), dtype=np.int64)
-        found = [cos[_apart(table, rows, cols, same, far_seconds)]
-                 for rows, cols, cos, same in _strips(key, table)]
-        found = [f[np.isin(np.rint(f * BINS).astype(np.int64), bins)] for f in found]
-        values, n = np.unique(np.concatenate(found) if found else np.empty(0), return_counts=True)
-        return pa.table({
-            "walk_id": pa.array([key[0].as_py()] * len(values), table.schema.field("walk_id").type),
-            "bin": pa.array(np.rint(values * BINS).astype(np.int64)),
-            "value": pa.array(values), "pairs": pa.array(n.astype(np.int64))})
+    def count(key, table):
+        wanted = table["ranges"][0].as_py()
+        found = [_Cells() for _ in wanted]
+        for rows, cols, cos, same in _strips(key, table):
+            far = cos[_apart(table, rows, cols, same, far_seconds)]
+            for r, cells in zip(wanted, found):
+                inside = far[(far >= r["low"]) & (far <= r["high"])]
+                at = np.floor((inside - r["low"]) / (r["high"] - r["low"]) * SPLIT)
+                cells.add(np.minimum(at, SPLIT - 1).astype(np.int64), inside)
+        parts = [pa.table({
+            "walk_id": pa.array([key[0].as_py()] * len(c.found), table.schema.field("walk_id").type),
+            "i": pa.array([r["i"]] * len(c.found), pa.int32()),
+            "cell": pa.array(list(c.found), pa.int64()), **c.columns()})
+            for r, c in zip(wanted, found)]
+        return pa.concat_tables(parts)
 
     walk_type = faces.schema["walk_id"].dataType.simpleString()
-    slim = (faces.select("walk_id", F.col("yaw").cast("int").alias("yaw"), "face_idx",
-                         F.col("t_sec").cast("double").alias("t_sec"), "embedding")
-            .join(wanted.select("walk_id", "bins"), "walk_id"))
-    return (met_blocks(slim, ["walk_id", "yaw"], size)
+    asked = _slim(faces).join(ranges.select("walk_id", "ranges"), "walk_id")
+    return (met_blocks(asked, ["walk_id", "yaw"], size)
             .drop("face_idx").groupBy("walk_id", "yaw", "_pa", "_pb")
-            .applyInArrow(pick, f"walk_id {walk_type}, bin long, value double, pairs long")
-            .groupBy("walk_id", "bin", "value").agg(F.sum("pairs").alias("pairs")))
+            .applyInArrow(count, f"walk_id {walk_type}, i int, cell long, pairs long, "
+                                 "low double, high double")
+            .groupBy("walk_id", "i", "cell").agg(*[f(c).alias(c) for f, c in _SUM_CELLS]))
 
 
 def similar_neighbours(faces: DataFrame, tau: float | Column, size: int = BLOCK) -> DataFrame:

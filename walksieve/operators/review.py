@@ -43,8 +43,10 @@ def validate(decisions: DataFrame, manifest: DataFrame) -> DataFrame:
         "walk_id", F.col("face_idx").alias("anchor_idx"), F.col("path").alias("anchor"))
     picks = manifest.select("walk_id", F.col("face_idx").alias("pick_idx"),
                             F.col("path").alias("_pick"), F.col("anchor").alias("_of"))
+    # without a pick the anchor is looked up, so that missing picks share no join key
     joined = (decisions.join(anchors, ["walk_id", "anchor_idx"], "left")
-              .join(picks, ["walk_id", "pick_idx"], "left"))
+              .withColumn("_look", F.coalesce("pick_idx", "anchor_idx"))
+              .join(picks.withColumnRenamed("pick_idx", "_look"), ["walk_id", "_look"], "left"))
     member = (F.col("pick_idx") == F.col("anchor_idx")) | (F.col("_of") == F.col("anchor_idx"))
     in_group = F.col("_pick").isNotNull() & F.coalesce(member, F.lit(False))
     reason = (F.when(~F.col("action").isin(*ACTIONS), F.lit("unknown action"))
@@ -70,7 +72,9 @@ def resolve_picks(manifest: DataFrame, state: DataFrame) -> DataFrame:
                             F.col("face_idx").alias("_idx"), F.col("anchor").alias("_of"))
     stored = state.select("walk_id", "anchor", "pick", "dropped", F.lit(True).alias("decided"))
     valid = (F.col("_idx") == F.col("anchor_idx")) | (F.col("_of") == F.col("anchor_idx"))
+    # a group without a pick looks up its own anchor, so that no join key is shared
     return (anchors.join(stored, ["walk_id", "anchor"], "left")
+            .withColumn("pick", F.coalesce("pick", "anchor"))
             .join(faces, ["walk_id", "pick"], "left")
             .select("walk_id", "anchor_idx", "anchor",
                     F.when(valid, F.col("_idx")).otherwise(F.col("anchor_idx")).alias("pick_idx"),

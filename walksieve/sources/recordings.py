@@ -37,7 +37,9 @@ def recording_catalogue(files: DataFrame) -> DataFrame:
         F.max(F.col("name").contains(BACK)).alias("_has_back"))
     sibling = files.select(F.col("name").alias("back_lens")).distinct()
     video = F.col("_f.name")
-    expected = F.when(video.contains(FRONT), F.replace(video, F.lit(FRONT), F.lit(BACK)))
+    # names that cannot have a sibling keep a key of their own, so that none is shared
+    expected = F.when(video.contains(FRONT), F.replace(video, F.lit(FRONT), F.lit(BACK))) \
+        .otherwise(F.concat(F.lit("/"), F.col("recording_id").cast("string")))
     rows = (listed.withColumn("_want", expected)
             .join(sibling, F.col("_want") == F.col("back_lens"), "left")
             .withColumn("circles", circles_per_frame(F.col("_f.width"), F.col("_f.height"))))
