@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000   # a summary is off by at most n / ACCURACY ranks
+ACCURACY = 10_000   # a summary of n rows is off by at most n / ACCURACY ranks
 
 
 def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str, float],
@@ -20,7 +20,10 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
 
     NULL values are ignored, as in a percentile.
     """
-    slack = 2.0 / accuracy
+    # 4 / accuracy of the rows cover the summary's error on either side and the
+    # two ranks of an interpolation, once a group has `accuracy` rows; smaller
+    # groups are ordered whole
+    slack = 4.0 / accuracy
     names = list(probs)
     marks = [m for p in probs.values() for m in (max(p - slack, 0.0), min(p + slack, 1.0))]
     rows = df.select(*group, F.col(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
@@ -30,9 +33,11 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
 
     def bracket(i: int, p: float):
         """(low, high) around the wanted ranks; the extremes are known exactly."""
-        low = F.col("_min") if p - slack <= 0 else F.col("_marks")[2 * i]
-        high = F.col("_max") if p + slack >= 1 else F.col("_marks")[2 * i + 1]
-        return low, high
+        small = F.col("n") <= accuracy
+        low = F.lit(True) if p - slack <= 0 else small
+        high = F.lit(True) if p + slack >= 1 else small
+        return (F.when(low, F.col("_min")).otherwise(F.col("_marks")[2 * i]),
+                F.when(high, F.col("_max")).otherwise(F.col("_marks")[2 * i + 1]))
 
     brackets = F.array(*[F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high"))
                          for i, p in enumerate(probs.values()) for low, high in [bracket(i, p)]])

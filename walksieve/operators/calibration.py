@@ -176,6 +176,18 @@ def sample_panos(faces: DataFrame, samples: int) -> DataFrame:
     return placed.join(chosen, ["walk_id", "_pos"], "left_semi").drop("_pos")
 
 
+def _next_frame(native_fps: float) -> Column:
+    """Number of the frame straight after a panorama's own."""
+    return F.bround(F.col("t_sec") * F.lit(float(native_fps))).cast("long") + 1
+
+
+def reference_frames(faces: DataFrame, native_fps: float, samples: int) -> DataFrame:
+    """The frames that reference pairs need: walk_id, frame_no."""
+    chosen = sample_panos(faces, samples)
+    return (faces.join(chosen, ["walk_id", "pano_idx"], "left_semi")
+            .select("walk_id", _next_frame(native_fps).alias("frame_no")).distinct())
+
+
 def reference_pairs(faces: DataFrame, neighbours: DataFrame, native_fps: float,
                     samples: int) -> DataFrame:
     """Kept faces against the same heading of the frame straight after them.
@@ -185,7 +197,7 @@ def reference_pairs(faces: DataFrame, neighbours: DataFrame, native_fps: float,
     """
     chosen = sample_panos(faces, samples)
     at = (faces.join(chosen, ["walk_id", "pano_idx"], "left_semi")
-          .withColumn("frame_no", F.bround(F.col("t_sec") * F.lit(float(native_fps))).cast("long") + 1))
+          .withColumn("frame_no", _next_frame(native_fps)))
     near = neighbours.select("walk_id", "frame_no", F.col("yaw").cast("int").alias("yaw"),
                              F.col("embedding").alias("_next"))
     return at.join(near, ["walk_id", "frame_no", "yaw"]).select(

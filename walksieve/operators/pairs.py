@@ -25,13 +25,18 @@ def met_blocks(faces: DataFrame, keys: list[str], size: int = BLOCK,
                index: str = "face_idx") -> DataFrame:
     """Copies of the rows so that each pair of blocks of a group shares (_pa, _pb).
 
-    `_b` is a row's own block. Blocks follow `index`, dense per walk, so none
-    exceeds `size` rows.
+    `_b` is a row's own block. Blocks follow `index`, unique in a walk and
+    dense, so none exceeds `size` rows. Where no walk is longer than a block,
+    which one look at `index` tells, every group meets itself and nothing is
+    joined or copied.
     """
     own = faces.withColumn("_b", F.floor(F.col(index) / size).cast("int"))
-    last = own.groupBy(*keys).agg(F.max("_b").alias("_last"))
-    return (own.join(last, keys)
-            .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_last"))))
+    longer = faces.filter(F.col(index) >= size)
+    if longer.isEmpty():
+        return own.withColumn("_pa", F.lit(0)).withColumn("_pb", F.lit(0))
+    last = longer.groupBy(*keys).agg(F.floor(F.max(index) / size).cast("int").alias("_last"))
+    return (own.join(last, keys, "left")
+            .withColumn("_o", F.explode(F.sequence(F.lit(0), F.coalesce("_last", F.lit(0)))))
             .withColumn("_pa", F.least("_b", "_o")).withColumn("_pb", F.greatest("_b", "_o"))
             .drop("_o", "_last"))
 

@@ -18,13 +18,18 @@ SPREAD = 64       # pieces a round's anchors of one walk are joined in
 _NONE = -2.0      # below any cosine
 
 
-def _settle(key, table):
-    """The sequential rule over one bounded run of open faces, by rank."""
-    order = np.argsort(numbers(table["rank"]), kind="stable")
+def _settle(table):
+    """The sequential rule over one bounded set of faces: which stay, who absorbs whom.
+
+    Returns the rows in visiting order, a kept flag, and the anchor and cosine
+    of the absorbed ones.
+    """
+    order = np.lexsort((numbers(table["face_idx"]), -numbers(table["sharpness"])))
     table = table.take(pa.array(order))
     v = matrix(table["embedding"])
     pano, face = numbers(table["pano_idx"]), numbers(table["face_idx"])
-    tau, n = table["tau"][0].as_py(), len(order)
+    n = len(order)
+    tau = table["tau"][0].as_py() if n else 0.0
     kept = np.zeros(n, dtype=bool)
     best, who = np.full(n, np.nan), np.full(n, -1, dtype=np.int64)
     for at in range(0, n, STRIP):
@@ -39,15 +44,25 @@ def _settle(key, table):
                     best[i], who[i] = row[j], face[rivals[j]]
                     continue
             kept[i] = True
-    nothing = pa.nulls(n, table.schema.field("embedding").type)
+    return table, kept, pa.array(who.astype(np.int32), mask=who < 0), pa.array(best, mask=who < 0)
+
+
+def _settle_walk(table):
+    """A whole short walk."""
+    rows, kept, anchor, cosine = _settle(table)
+    return pa.table({"walk_id": rows["walk_id"], "face_idx": rows["face_idx"],
+                     "kept": pa.array(kept), "anchor": anchor, "cosine": cosine})
+
+
+def _settle_head(table):
+    """The open faces at the head of a long walk; anchors keep their vectors."""
+    rows, kept, anchor, cosine = _settle(table)
+    nothing = pa.nulls(len(kept), rows.schema.field("embedding").type)
+    vectors = rows["embedding"].combine_chunks()
     return pa.table({
-        "walk_id": table["walk_id"], "face_idx": table["face_idx"], "pano_idx": table["pano_idx"],
-        "rank": table["rank"], "kept": pa.array(kept),
-        "anchor": pa.array(who.astype(np.int32), mask=who < 0),
-        "cosine": pa.array(best, mask=who < 0),
-        # only anchors are compared with again
-        "embedding": pa.compute.if_else(pa.array(kept), table["embedding"].combine_chunks(), nothing),
-    })
+        "walk_id": rows["walk_id"], "face_idx": rows["face_idx"], "pano_idx": rows["pano_idx"],
+        "rank": rows["rank"], "kept": pa.array(kept), "anchor": anchor, "cosine": cosine,
+        "embedding": pa.compute.if_else(pa.array(kept), vectors, nothing)})
 
 
 def _sweep(key, rest, anchors):
@@ -79,30 +94,44 @@ def greedy_dedup(faces: DataFrame, tau: float | Column, block: int = BLOCK) -> D
     Faces are visited by falling sharpness, then capture order. A face whose
     best cosine against the kept faces of other panoramas reaches `tau` is
     absorbed by that one (the earliest kept among equals); otherwise it stays.
+    Returns walk_id, face_idx, kept, anchor, cosine.
 
-    Works in rounds over all walks at once. A round settles the next faces of
-    each walk, at most `block` still open ones, in one task per walk; the
-    anchors found then sweep the walk's remaining faces, block by block in
-    parallel. Faces that an anchor absorbs are never visited again, so a large
-    group of copies goes in one sweep. Returns walk_id, face_idx, kept, anchor,
-    cosine.
+    A walk of at most `block` faces is settled in one task. Longer walks go in
+    rounds, see :func:`_rounds`.
     """
     level = F.lit(float(tau)) if isinstance(tau, (int, float)) else tau
     slim = faces.select("walk_id", F.col("face_idx").cast("int").alias("face_idx"),
-                        F.col("pano_idx").cast("int").alias("pano_idx"), "sharpness",
+                        F.col("pano_idx").cast("int").alias("pano_idx"),
+                        F.col("sharpness").cast("double").alias("sharpness"),
                         level.cast("double").alias("tau"), "embedding")
-    ranked = sorted_ordinal(slim, ["walk_id"], [F.desc("sharpness"), F.asc("face_idx")], "rank")
-    state = ranked.select(
-        "walk_id", "face_idx", "pano_idx", "rank", "tau", "embedding",
-        F.floor(F.col("rank") / block).cast("int").alias("block"),
-        F.lit(_NONE).alias("best"), F.lit(-1).alias("who"))
     walk_type = faces.schema["walk_id"].dataType.simpleString()
-    verdict_schema = (f"walk_id {walk_type}, face_idx int, pano_idx int, rank long, kept boolean, "
-                      f"anchor int, cosine double, embedding "
-                      f"{faces.schema['embedding'].dataType.simpleString()}")
+    schema = f"walk_id {walk_type}, face_idx int, kept boolean, anchor int, cosine double"
+    # indices are unique and start at 0: without one of `block` or more a walk is short
+    long_walks = slim.filter(F.col("face_idx") >= block).select("walk_id").distinct()
+    if long_walks.isEmpty():
+        return slim.groupBy("walk_id").applyInArrow(_settle_walk, schema)
+    short = slim.join(long_walks, "walk_id", "left_anti").groupBy("walk_id") \
+        .applyInArrow(_settle_walk, schema)
+    return _rounds(slim.join(long_walks, "walk_id", "left_semi"), block).unionByName(short)
+
+
+def _rounds(slim: DataFrame, block: int) -> DataFrame:
+    """Selection in long walks, all at once.
+
+    A round settles the next faces of each walk, at most `block` still open
+    ones, in one task per walk; the anchors found then sweep the walk's
+    remaining faces, block by block in parallel. Faces that an anchor absorbs
+    are never visited again, so a large group of copies goes in one sweep.
+    """
+    ranked = sorted_ordinal(slim, ["walk_id"], [F.desc("sharpness"), F.asc("face_idx")], "rank")
+    state = ranked.withColumns({
+        "block": F.floor(F.col("rank") / block).cast("int"), "best": F.lit(_NONE), "who": F.lit(-1)})
+    verdict_schema = (f"walk_id {slim.schema['walk_id'].dataType.simpleString()}, face_idx int, "
+                      "pano_idx int, rank long, kept boolean, anchor int, cosine double, "
+                      f"embedding {slim.schema['embedding'].dataType.simpleString()}")
     settled = []
+    open_face = F.col("best") < F.col("tau")
     while True:
-        open_face = F.col("best") < F.col("tau")
         sizes = state.groupBy("walk_id", "block").agg(F.count_if(open_face).alias("_open"))
         running = Window.partitionBy("walk_id").orderBy("block")
         # a block never exceeds the limit, so the first one always qualifies
@@ -112,12 +141,10 @@ def greedy_dedup(faces: DataFrame, tau: float | Column, block: int = BLOCK) -> D
         tagged = state.join(head, ["walk_id", "block"], "left") \
             .withColumn("_head", F.coalesce("_head", F.lit(False)))
         verdict = cut(tagged.filter(F.col("_head") & open_face)
-                      .select("walk_id", "face_idx", "pano_idx", "rank", "tau", "embedding")
-                      .groupBy("walk_id").applyInArrow(_settle, verdict_schema))
+                      .select("walk_id", "face_idx", "pano_idx", "rank", "sharpness", "tau", "embedding")
+                      .groupBy("walk_id").applyInArrow(_settle_head, verdict_schema))
         settled.append(verdict.select("walk_id", "face_idx", "kept", "anchor", "cosine"))
         rest = tagged.filter(~(F.col("_head") & open_face))
-        if rest.isEmpty():
-            break
         swept = cut(_sweep_all(rest, verdict.filter("kept"), sizes.select("walk_id", "block")))
         settled.append(swept.filter("_head").select(
             "walk_id", "face_idx", F.lit(False).alias("kept"), F.col("who").alias("anchor"),

@@ -85,6 +85,9 @@ def run_walks(tables: StageTables, inputs: Inputs, params: WalkParams,
             raise ValueError(f"a run from {first} needs the frames after the sampled ones")
         near = inputs.neighbours
         if "embedding" not in near.columns:
+            # only the frames that are compared are worth embedding
+            asked = calibration.reference_frames(faces, inputs.native_fps, params.calib.samples)
+            near = near.join(asked, ["walk_id", "frame_no"], "left_semi")
             near = images.embed_images(near, embedder, params.embed.batch_size)
         tables.write("calibration", calibration.calibrate(
             ready, near, inputs.native_fps, params.calib, block))
