@@ -25,10 +25,9 @@ def sql_rows(connection, sql: str) -> tuple[list[str], list[tuple]]:
 
 
 def in_name_order(columns: list[str], rows) -> Counter:
-    """Rows as a bag, columns sorted by name, -0.0 as 0.0."""
+    """Rows as a bag, columns sorted by name; values by type and exact text."""
     order = sorted(range(len(columns)), key=columns.__getitem__)
-    plain = lambda v: 0.0 if isinstance(v, float) and v == 0 else v
-    return Counter(tuple((type(row[i]).__name__, plain(row[i])) for i in order) for row in rows)
+    return Counter(tuple((type(row[i]).__name__, repr(row[i])) for i in order) for row in rows)
 
 
 def compare(spark, connection, name: str, sf_dir: str, sql: str) -> str:

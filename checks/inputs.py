@@ -113,7 +113,8 @@ def masks(spark, sf_dir) -> DataFrame:
 
 
 def labels(spark) -> DataFrame:
-    return spark.createDataFrame(LABELS, "class_id int, label string")
+    named = F.array(*[F.struct(F.lit(i).alias("class_id"), F.lit(n).alias("label")) for i, n in LABELS])
+    return spark.range(1).select(F.inline(named))
 
 
 def equirects(spark, sf_dir) -> DataFrame:

@@ -16,7 +16,9 @@ _EARLIER = (Window.unboundedPreceding, -1)
 
 
 def chunk_of(key: Column, size: int = CHUNK) -> Column:
-    return F.floor(key / F.lit(size)).cast("long")
+    """The first key value of a row's chunk; whole-number arithmetic throughout."""
+    whole = key.cast("long")
+    return whole - F.pmod(whole, F.lit(size))
 
 
 def _offsets(sizes: DataFrame, group: list[str], piece: str) -> DataFrame:

@@ -30,14 +30,15 @@ def decimate(recordings: DataFrame, target_fps: float = 2.0) -> DataFrame:
 
 def completeness(requested: DataFrame, landed: DataFrame) -> DataFrame:
     """Per walk: requested, landed, wanted (both) and stale frames, and whether complete."""
-    asked = requested.select("walk_id", "frame_no").distinct().withColumn("_asked", F.lit(1))
-    have = landed.select("walk_id", "frame_no").distinct().withColumn("_have", F.lit(1))
-    asked_for, in_place = F.col("_asked").isNotNull(), F.col("_have").isNotNull()
-    return (asked.join(have, ["walk_id", "frame_no"], "full_outer")
-            .groupBy("walk_id")
-            .agg(F.count("_asked").alias("requested"), F.count("_have").alias("landed"),
-                 F.count_if(asked_for & in_place).alias("wanted"),
-                 F.count_if(in_place & ~asked_for).alias("stale"))
+    marked = lambda df, asked, have: df.select(
+        "walk_id", "frame_no", F.lit(asked).alias("_asked"), F.lit(have).alias("_have"))
+    frames = (marked(requested, True, False).unionByName(marked(landed, False, True))
+              .groupBy("walk_id", "frame_no")
+              .agg(F.max("_asked").alias("_asked"), F.max("_have").alias("_have")))
+    return (frames.groupBy("walk_id")
+            .agg(F.count_if("_asked").alias("requested"), F.count_if("_have").alias("landed"),
+                 F.count_if(F.col("_asked") & F.col("_have")).alias("wanted"),
+                 F.count_if(F.col("_have") & ~F.col("_asked")).alias("stale"))
             .withColumn("complete", (F.col("requested") > 0)
                         & (F.col("wanted") == F.col("requested"))))
 

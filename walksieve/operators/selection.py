@@ -162,8 +162,9 @@ def _sweep_all(rest: DataFrame, anchors: DataFrame, blocks: DataFrame) -> DataFr
     """Brings a round's anchors to every remaining block of their walk."""
     columns = rest.columns
     spread = blocks.withColumn("_s", F.pmod("block", F.lit(SPREAD)))
+    # in two steps, so that no task copies a hot walk's anchors to all of its blocks
     copies = (anchors.select("walk_id", "face_idx", "pano_idx", "rank", "embedding")
-              .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+              .join(spread.select("walk_id", "_s").distinct(), "walk_id")
               .join(spread, ["walk_id", "_s"])
               .select(F.col("walk_id").alias("_walk"), F.col("block").alias("_to"),
                       "face_idx", "pano_idx", "rank", "embedding"))
