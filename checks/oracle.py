@@ -205,6 +205,11 @@ CTES = {
         FROM (SELECT walk_id, path, v // 64 AS class_id, count(*) AS n, min(px) AS first FROM pixels GROUP BY ALL) t
         LEFT JOIN labels_of l ON l.class_id = t.class_id WHERE n / 64 >= 0.01""",
     "kept_shares": "SELECT s.* FROM shares s JOIN chosen f ON f.walk_id = s.walk_id AND f.path = s.path WHERE f.kept",
+    "mix": """
+        SELECT walk_id, CAST(place AS INT) AS rank, class, round(total / n, 3) AS share FROM (
+            SELECT *, row_number() OVER (PARTITION BY walk_id ORDER BY total DESC, class) AS place FROM (
+                SELECT walk_id, class, sum(share) AS total FROM kept_shares GROUP BY ALL))
+        JOIN (SELECT walk_id, count(*) AS n FROM chosen WHERE kept GROUP BY 1) USING (walk_id) WHERE place <= 6""",
     "stored": f"""
         SELECT c_custkey AS walk_id, section, field, CASE WHEN section = 'gate' AND field = 'dead'
                AND c_mktsegment = 'BUILDING' THEN '0.2' ELSE value END AS value
@@ -460,19 +465,16 @@ QUERIES = {
         SELECT walk_id, round(quantile_cont(c, 0.98), 4) AS tau, count(*) AS far_n, round(quantile_cont(c, 0.99), 4) AS far_p99
         FROM far_ranks GROUP BY walk_id""",
     "class_shares": "SELECT * FROM shares",
-    "class_mix": """
-        SELECT walk_id, CAST(place AS INT) AS rank, class, round(total / n, 3) AS share FROM (
-            SELECT *, row_number() OVER (PARTITION BY walk_id ORDER BY total DESC, class) AS place FROM (
-                SELECT walk_id, class, sum(share) AS total FROM kept_shares GROUP BY ALL))
-        JOIN (SELECT walk_id, count(*) AS n FROM chosen WHERE kept GROUP BY 1) USING (walk_id) WHERE place <= 6""",
+    "class_mix": "SELECT * FROM mix",
     "stage_counts": """
         SELECT r.walk_id, r.frames, r.seconds, r.width || 'x' || r.height AS source, r.lenses, coalesce(p.n, 0) AS panos,
                coalesce(f.sharp, 0) AS sharp, coalesce(f.n, 0) AS faces, coalesce(rs.n, 0) AS pairs, coalesce(fs.n, 0) AS far_pairs,
                coalesce(f.anchors, 0) AS segmented, coalesce(f.anchors, 0) AS anchors, coalesce(l.solo, 0) AS solo,
                coalesce(c.dropped, 0) AS dropped, coalesce(c.overridden, 0) AS overridden, coalesce(rs.median, 0) AS reference,
                coalesce(fs.tau, 0) AS calib_tau, coalesce(f.n - f.anchors, 0) AS absorbed,
-               coalesce(f.anchors, 0) - coalesce(c.dropped, 0) AS kept
-        FROM recs r LEFT JOIN (SELECT walk_id, count(*) AS n FROM scored GROUP BY 1) p USING (walk_id)
+               coalesce(f.anchors, 0) - coalesce(c.dropped, 0) AS kept,
+               coalesce(m.class_mix, '') AS class_mix
+        FROM recs r LEFT JOIN (SELECT walk_id, string_agg(class, ',' ORDER BY rank) AS class_mix FROM mix GROUP BY 1) m USING (walk_id) LEFT JOIN (SELECT walk_id, count(*) AS n FROM scored GROUP BY 1) p USING (walk_id)
         LEFT JOIN (SELECT walk_id, count(*) AS n, count(DISTINCT pano_idx) AS sharp, count(*) FILTER (WHERE kept) AS anchors FROM chosen GROUP BY 1) f USING (walk_id)
         LEFT JOIN ref_stats rs USING (walk_id) LEFT JOIN far_stats fs USING (walk_id) LEFT JOIN counted c USING (walk_id)
         LEFT JOIN (SELECT walk_id, solo FROM run_log WHERE recency = 1) l USING (walk_id)""",

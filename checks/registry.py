@@ -336,8 +336,10 @@ def class_mix(spark, d):
 def stage_counts(spark, d):
     runs = tables.parse_runs(I.run_lines(spark, d), "faces long, anchors long, solo long")
     last = fleet.run_history(runs, limit=1).select("walk_id", "parsed.solo")
-    return fleet.stage_counts(I.recordings(spark, d), I.scored_panos(spark, d), manifest(spark, d),
-                              state(spark, d), records(spark, d), segmented(spark, d), last)
+    counts = fleet.stage_counts(
+        I.recordings(spark, d), I.scored_panos(spark, d), manifest(spark, d), state(spark, d),
+        records(spark, d), segmented(spark, d), class_mix(spark, d), last)
+    return counts.withColumn("class_mix", F.array_join(F.transform("class_mix", lambda c: c["class"]), ","))
 
 
 def review_counts(spark, d):

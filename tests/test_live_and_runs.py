@@ -4,7 +4,10 @@ from pyspark.sql import functions as F
 
 from walksieve.operators import images, review, segmentation
 from walksieve.params import Calib, Dedup, Faces, Segment, WalkParams
-from walksieve.plans.walk_run import Inputs, StageTables, number_faces, reselect, run_walks
+from walksieve.operators import fleet
+from walksieve.plans.walk_run import (Inputs, StageTables, number_faces, progress_log, requantile,
+                                      reselect, run_walks)
+from walksieve.sources.tables import parse_runs
 from walksieve.streaming import live_views
 from tests.test_images import table
 
@@ -63,7 +66,8 @@ def test_a_run_and_its_re_entries(spark, walk, tmp_path):
         "walk_id", (F.bround(F.col("t_sec") * 30).cast("long") + 1).alias("frame_no"), "yaw", "image")
     tables = StageTables(spark, str(tmp_path))
     run = lambda p, first="gate", inputs=Inputs(walk, near, 30.0): run_walks(
-        tables, inputs, p, images.grid_embedder(4), segmentation.band_segmenter(), first).first()
+        tables, inputs, p, images.grid_embedder(4), segmentation.band_segmenter(), first,
+        progress=progress_log(tables, "j")).first()
     row = run(params)
     faces = tables.read("faces")
     assert faces.select("pano_idx").distinct().count() == 23 and row.faces == 92
@@ -76,7 +80,17 @@ def test_a_run_and_its_re_entries(spark, walk, tmp_path):
     assert again.entered == "select" and again.faces == row.faces and again.anchors > row.anchors
     assert tables.read("masks").count() == 0 and tables.read("vectors").count() == before
     assert reselect(tables, params, segmentation.band_segmenter()).first().anchors == row.anchors
-    for first in ("faces", "embed", "calibrate"):
+    history = fleet.run_history(parse_runs(tables.read("runs"))).orderBy("recency").collect()
+    assert [r.parsed.entered for r in history] == ["select", "select", "gate"]
+    assert set(history[2].parsed.seconds) == {"gate", "faces", "embed", "calibrate", "select", "segment"}
+    done = fleet.stage_durations(tables.read("progress")).collect()
+    assert {r.stage for r in done} == {"gate", "faces", "embed", "calibrate", "select", "segment"}
+    assert fleet.latest_failures(tables.read("failures")).count() == 0
+    # a smaller budget from the sketch raises the threshold and keeps more
+    tau = tables.read("calibration").first().tau
+    requantile(tables, WalkParams(calib=Calib(far_seconds=2.0, false_merge_pct=1.0)))
+    assert tables.read("calibration").first().tau >= tau
+    for first in ("embed", "calibrate"):
         assert run(params, first).anchors == row.anchors
     with pytest.raises(ValueError):
         run(params, "stitch")
@@ -84,6 +98,17 @@ def test_a_run_and_its_re_entries(spark, walk, tmp_path):
         run(params, "gate", Inputs())
 
 
+def test_walks_that_cannot_go_on_are_noted(spark, walk, tmp_path):
+    short = walk.filter("pano_idx < 3").withColumn("walk_id", F.lit(9).cast("long"))
+    params = WalkParams(faces=Faces(size=8), calib=Calib(far_seconds=2.0))
+    near = images.render_faces(walk, params.faces).select("walk_id", F.lit(-1).cast("long").alias("frame_no"), "yaw", "image")
+    tables = StageTables(spark, str(tmp_path))
+    done = run_walks(tables, Inputs(walk.unionByName(short), near, 30.0), params, images.grid_embedder(4)).collect()
+    assert [r.walk_id for r in done] == [0] and done[0].pairs == 0
+    failed = fleet.latest_failures(tables.read("failures")).collect()
+    assert [(r.walk_id, r.stage, r.message) for r in failed] == [(9, "select", "too few far pairs")]
+
+
 def test_a_run_without_faces_fails(spark, walk, tmp_path):
     with pytest.raises(RuntimeError, match="no faces"):
         run_walks(StageTables(spark, str(tmp_path)), Inputs(walk.limit(0), None, 30.0), WalkParams(faces=Faces(size=8)),

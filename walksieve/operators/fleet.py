@@ -26,30 +26,26 @@ def selection_summary(manifest: DataFrame) -> DataFrame:
 
 
 def run_rows(manifest: DataFrame, records: DataFrame, thresholds: DataFrame, backbone: str,
-             entered: str, seconds: DataFrame | None = None) -> DataFrame:
+             entered: str) -> DataFrame:
     """One run record per walk, as logged after a selection.
 
-    `thresholds`: walk_id, rule, tau. `seconds`: walk_id, stage, seconds.
+    `thresholds`: walk_id, rule, tau.
     """
     facts = records.select(
         "walk_id", F.col("reference.median").alias("reference"), F.col("reference.n").alias("pairs"),
         F.col("far.n").alias("far_pairs"), F.col("far.p99").alias("far_p99"), "false_merge_pct")
-    rows = (selection_summary(manifest).join(thresholds.select("walk_id", "rule", "tau"), "walk_id")
+    return (selection_summary(manifest).join(thresholds.select("walk_id", "rule", "tau"), "walk_id")
             .join(facts, "walk_id", "left")
             .withColumn("backbone", F.lit(backbone)).withColumn("entered", F.lit(entered)))
-    if seconds is None:
-        return rows.withColumn("seconds", F.create_map().cast("map<string,double>"))
-    spent = seconds.groupBy("walk_id").agg(      # at most one entry per stage
-        F.map_from_entries(F.collect_list(F.struct("stage", "seconds"))).alias("seconds"))
-    return rows.join(spent, "walk_id", "left").withColumn(
-        "seconds", F.coalesce("seconds", F.create_map().cast("map<string,double>")))
 
 
 def stage_counts(recordings: DataFrame, panos: DataFrame, manifest: DataFrame, state: DataFrame,
-                 records: DataFrame, segmented: DataFrame, last_runs: DataFrame) -> DataFrame:
+                 records: DataFrame, segmented: DataFrame, mix: DataFrame,
+                 last_runs: DataFrame) -> DataFrame:
     """The funnel of each walk in `recordings`, one row per walk.
 
-    `segmented`: walk_id, path. `last_runs`: walk_id, solo of the newest run.
+    `segmented`: walk_id, path. `mix`: the few top classes of a walk, from
+    `class_mix`. `last_runs`: walk_id, solo of the newest run.
     """
     faces = manifest.groupBy("walk_id").agg(
         F.count(F.lit(1)).alias("faces"), F.count_if("kept").alias("anchors"))
@@ -61,6 +57,8 @@ def stage_counts(recordings: DataFrame, panos: DataFrame, manifest: DataFrame, s
     parts = [faces, sharp, calibrated,
              panos.groupBy("walk_id").agg(F.count(F.lit(1)).alias("panos")),
              segmented.groupBy("walk_id").agg(F.count(F.lit(1)).alias("segmented")),
+             mix.groupBy("walk_id").agg(F.array_sort(F.collect_list(
+                 F.struct("rank", "class", "share"))).alias("class_mix")),
              review_counts(manifest, state), last_runs.select("walk_id", "solo")]
     joined = recordings.select("walk_id", "frames", "seconds", "lenses", F.when(
         F.col("width").isNotNull(), F.concat_ws("x", "width", "height")).otherwise("").alias("source"))
@@ -73,6 +71,8 @@ def stage_counts(recordings: DataFrame, panos: DataFrame, manifest: DataFrame, s
         *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts],
         F.coalesce("reference", F.lit(0.0)).alias("reference"),
         F.coalesce("calib_tau", F.lit(0.0)).alias("calib_tau"),
+        F.coalesce("class_mix", F.array().cast("array<struct<rank:int,class:string,share:double>>"))
+        .alias("class_mix"),
     ).withColumn("absorbed", F.col("faces") - F.col("anchors")) \
         .withColumn("kept", F.col("anchors") - F.col("dropped"))
 

@@ -7,6 +7,7 @@ never touches images or vectors.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from typing import Callable
 
@@ -18,6 +19,7 @@ from walksieve.operators import calibration, frames, images, segmentation, selec
 from walksieve.operators.fleet import run_rows
 from walksieve.operators.pairs import BLOCK
 from walksieve.params import STAGES, WalkParams
+from walksieve.sources.tables import append, run_line
 
 
 @dataclass(frozen=True)
@@ -31,6 +33,8 @@ class Inputs:
 
 
 class StageTables:
+    """The Parquet tables of a fleet under one folder. Logs are only appended to."""
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
@@ -44,6 +48,45 @@ class StageTables:
         table.write.mode("overwrite").parquet(self.path(name))
         return self.read(name)
 
+    def append(self, name: str, table: DataFrame) -> None:
+        append(table, self.path(name))
+
+
+class Clock:
+    """Reports stages to a progress callback and keeps their wall time.
+
+    `progress(stage, status)` is called with 'running' and 'done'. A stage that
+    starts again starts afresh.
+    """
+
+    def __init__(self, progress: Callable[[str, str], None] | None = None):
+        self.progress = progress or (lambda stage, status: None)
+        self.seconds: dict[str, float] = {}
+        self._since: dict[str, float] = {}
+
+    def running(self, stage: str) -> None:
+        self._since[stage] = time.monotonic()
+        self.progress(stage, "running")
+
+    def done(self, stage: str) -> None:
+        if stage in self._since:
+            self.seconds[stage] = round(time.monotonic() - self._since.pop(stage), 1)
+        self.progress(stage, "done")
+
+    def column(self):
+        """The seconds so far as a map column."""
+        pairs = [F.lit(x) for kv in self.seconds.items() for x in kv]
+        return F.create_map(*pairs).cast("map<string,double>")
+
+
+def progress_log(tables: StageTables, job: str) -> Callable[[str, str], None]:
+    """A progress callback that appends to the fleet's progress log."""
+    def note(stage: str, status: str) -> None:
+        tables.append("progress", tables.spark.range(1).select(
+            F.lit(job).alias("job"), F.lit(stage).alias("stage"), F.lit(status).alias("status"),
+            F.lit(time.time_ns()).alias("seq"), F.current_timestamp().alias("at")))
+    return note
+
 
 def number_faces(faces: DataFrame) -> DataFrame:
     """Dense face_idx per walk: panorama order, then heading."""
@@ -53,36 +96,50 @@ def number_faces(faces: DataFrame) -> DataFrame:
 
 
 def run_walks(tables: StageTables, inputs: Inputs, params: WalkParams,
-              embedder: Callable, segmenter: Callable | None = None,
-              first: str = "gate", block: int = BLOCK) -> DataFrame:
-    """Runs every walk from stage `first` and returns one run record per walk."""
+              embedder: Callable, segmenter: Callable | None = None, first: str = "gate",
+              block: int = BLOCK, progress: Callable[[str, str], None] | None = None) -> DataFrame:
+    """Runs every walk from stage `first` and returns one run record per walk.
+
+    Walks that cannot go on (nothing left after the gate, no threshold) are
+    noted in the failure log and the others carry on.
+    """
     if first not in STAGES or first == "stitch":
         raise ValueError(f"a run cannot be entered at {first!r}")
     enters = lambda stage: STAGES.index(first) <= STAGES.index(stage)
+    clock = Clock(progress)
+    for stage in STAGES[:STAGES.index(first)]:
+        clock.done(stage)
     if enters("faces"):
         if inputs.panos is None:
             raise ValueError(f"a run from {first} needs the panoramas")
         if enters("gate"):
+            clock.running("gate")
             scored = inputs.panos.withColumn("score", images.pano_sharpness(F.col("image"), params.gate))
-            tables.write("sharp", frames.legible(
+            sharp = tables.write("sharp", frames.legible(
                 scored.select("walk_id", "pano_idx", "score"), params.gate))
+            emptied = frames.emptied_walks(inputs.panos.select("walk_id").distinct(), sharp)
+            note_failures(tables, emptied.withColumn("message", F.lit("the gate kept no panorama")), "gate")
+            clock.done("gate")
+        clock.running("faces")
         sharp = frames.surviving_panos(inputs.panos, tables.read("sharp"))
         rendered = images.render_faces(sharp, params.faces)
         tables.write("faces", number_faces(
             rendered.withColumn("sharpness", images.sharpness(F.col("image")))))
+        clock.done("faces")
     faces = tables.read("faces")
     if faces.isEmpty():
         raise RuntimeError("no faces to work with: nothing survived the gate")
     if enters("embed"):
+        clock.running("embed")
         embedded = images.embed_images(faces.select("walk_id", "face_idx", "path", "image"),
                                        embedder, params.embed.batch_size)
         tables.write("vectors", embedded.drop("image")
                      .withColumn("model", F.lit(params.embed.model_name)))
-    vectors = tables.read("vectors").select("walk_id", "face_idx", "embedding")
-    ready = faces.drop("image").join(vectors, ["walk_id", "face_idx"])
+        clock.done("embed")
     if enters("calibrate"):
         if inputs.neighbours is None:
             raise ValueError(f"a run from {first} needs the frames after the sampled ones")
+        clock.running("calibrate")
         near = inputs.neighbours
         if "embedding" not in near.columns:
             # only the frames that are compared are worth embedding
@@ -90,30 +147,62 @@ def run_walks(tables: StageTables, inputs: Inputs, params: WalkParams,
             near = near.join(asked, ["walk_id", "frame_no"], "left_semi")
             near = images.embed_images(near, embedder, params.embed.batch_size)
         tables.write("calibration", calibration.calibrate(
-            ready, near, inputs.native_fps, params.calib, block))
-    return reselect(tables, params, segmenter, entered=first, block=block)
+            faces_with_vectors(tables), near, inputs.native_fps, params.calib, block))
+        clock.done("calibrate")
+    return reselect(tables, params, segmenter, first, block, clock)
+
+
+def faces_with_vectors(tables: StageTables) -> DataFrame:
+    vectors = tables.read("vectors").select("walk_id", "face_idx", "embedding")
+    return tables.read("faces").drop("image").join(vectors, ["walk_id", "face_idx"])
+
+
+def note_failures(tables: StageTables, failed: DataFrame, stage: str) -> None:
+    """Appends (walk_id, message) to the failure log."""
+    tables.append("failures", failed.select(
+        "walk_id", F.lit(time.time_ns()).alias("seq"), F.lit("failed").alias("kind"),
+        F.lit(stage).alias("stage"), "message"))
+
+
+def requantile(tables: StageTables, params: WalkParams) -> None:
+    """Answers a new false-merge budget from the stored sketches."""
+    again = calibration.requantile(tables.read("calibration"), params.calib.false_merge_pct)
+    # the table is read while its successor is written, so it goes through a copy
+    tables.write("calibration", tables.write("calibration_next", again))
 
 
 def reselect(tables: StageTables, params: WalkParams, segmenter: Callable | None = None,
-             entered: str = "select", block: int = BLOCK) -> DataFrame:
+             entered: str = "select", block: int = BLOCK, clock: Clock | None = None) -> DataFrame:
     """Selection, masks and the run record, from stored faces, vectors and calibration."""
-    faces = tables.read("faces")
+    clock = clock or Clock()
+    clock.running("select")
     records = tables.read("calibration")
-    vectors = tables.read("vectors").select("walk_id", "face_idx", "embedding")
-    asked = faces.select("walk_id").distinct().select(
+    asked = tables.read("faces").select("walk_id").distinct().select(
         "walk_id", F.lit(params.dedup.rule).alias("rule"), F.lit(params.dedup.tau).alias("tau"))
     thresholds = selection.threshold_rule(asked, records)
-    ready = faces.drop("image").join(vectors, ["walk_id", "face_idx"])
-    manifest = tables.write("manifest", selection.select_faces(ready, thresholds, params.dedup, block))
+    note_failures(tables, thresholds.filter("problem <> ''")
+                  .withColumnRenamed("problem", "message"), "select")
+    manifest = tables.write("manifest", selection.select_faces(
+        faces_with_vectors(tables), thresholds, params.dedup, block))
+    clock.done("select")
     if params.segment.enabled and segmenter is not None:
+        clock.running("segment")
         masks = tables.write("masks", segmentation.segment_kept(
-            faces.select("walk_id", "path", "image"), manifest, segmenter))
+            tables.read("faces").select("walk_id", "path", "image"), manifest, segmenter))
+        clock.done("segment")
     else:
         # masks belong to the set they were made for
-        empty = manifest.limit(0).select("walk_id", "path", F.lit(0).alias("height"),
-                                         F.lit(0).alias("width"), F.lit(b"").alias("mask"))
-        masks = tables.write("masks", empty)
+        masks = tables.write("masks", manifest.limit(0).select(
+            "walk_id", "path", F.lit(0).alias("height"), F.lit(0).alias("width"), F.lit(b"").alias("mask")))
     segmented = masks.groupBy("walk_id").agg(F.count(F.lit(1)).alias("segmented"))
-    rows = run_rows(manifest, records, thresholds, params.embed.model_name, entered)
-    return rows.join(segmented, "walk_id", "left") \
-        .withColumn("segmented", F.coalesce("segmented", F.lit(0)))
+    run = time.time_ns()
+    rows = (run_rows(manifest, records, thresholds, params.embed.model_name, entered)
+            .withColumn("seconds", clock.column())
+            .withColumn("at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+            .join(segmented, "walk_id", "left").withColumn("segmented", F.coalesce("segmented", F.lit(0))))
+    latest = tables.write("last_run", rows)
+    tables.append("runs", run_line(latest.drop("segmented")).withColumn("seq", F.lit(run)))
+    tables.append("failures", latest.select(
+        "walk_id", F.lit(time.time_ns()).alias("seq"), F.lit("finished").alias("kind"),
+        F.lit(None).cast("string").alias("stage"), F.lit(None).cast("string").alias("message")))
+    return latest
