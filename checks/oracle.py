@@ -120,11 +120,11 @@ CTES = {
         SELECT a.walk_id, a.yaw, list_dot_product(a.e, b.e) AS c FROM faces a JOIN faces b
         ON a.walk_id = b.walk_id AND a.yaw = b.yaw AND a.face_idx < b.face_idx AND abs(a.t_sec - b.t_sec) > 20""",
     "far_stats": """
-        SELECT walk_id, count(*) AS n, round(quantile_cont(c, 0.5), 4) AS median, round(quantile_cont(c, 0.95), 4) AS p95,
+        SELECT walk_id, count(*) AS n, round(quantile_cont(c, 0.5), 4) + 0 AS median, round(quantile_cont(c, 0.95), 4) AS p95,
                round(quantile_cont(c, 0.99), 4) AS p99, round(max(c), 4) AS max,
                CASE WHEN count(*) >= 50 THEN round(quantile_cont(c, 0.95), 4) END AS tau FROM far GROUP BY walk_id""",
     "far_ranks": """
-        SELECT walk_id, round(c, 4) AS c, row_number() OVER (PARTITION BY walk_id ORDER BY c) - 1 AS r,
+        SELECT walk_id, round(c, 4) + 0 AS c, row_number() OVER (PARTITION BY walk_id ORDER BY c) - 1 AS r,
                count(*) OVER (PARTITION BY walk_id) AS n FROM far""",
     "sampled": """
         SELECT walk_id, unnest(list_transform(range(0, 10), lambda i: CAST(round_even(i * (n - 1) / 9.0::DOUBLE, 0) AS BIGINT))) AS pos
@@ -201,12 +201,12 @@ CTES = {
     # ---- masks
     "shares": """
         SELECT walk_id, path, CAST(row_number() OVER (PARTITION BY walk_id, path ORDER BY n DESC, first) AS INT) AS rank,
-               CAST(t.class_id AS INT) AS class_id, coalesce(l.label, CAST(t.class_id AS VARCHAR)) AS class, round(n / 64, 4) AS share
+               CAST(t.class_id AS INT) AS class_id, coalesce(l.label, CAST(t.class_id AS VARCHAR)) AS class, round_even(n / 64, 4) AS share
         FROM (SELECT walk_id, path, v // 64 AS class_id, count(*) AS n, min(px) AS first FROM pixels GROUP BY ALL) t
         LEFT JOIN labels_of l ON l.class_id = t.class_id WHERE n / 64 >= 0.01""",
     "kept_shares": "SELECT s.* FROM shares s JOIN chosen f ON f.walk_id = s.walk_id AND f.path = s.path WHERE f.kept",
     "mix": """
-        SELECT walk_id, CAST(place AS INT) AS rank, class, round(total / n, 3) AS share FROM (
+        SELECT walk_id, CAST(place AS INT) AS rank, class, round_even(total / n, 3) AS share FROM (
             SELECT *, row_number() OVER (PARTITION BY walk_id ORDER BY total DESC, class) AS place FROM (
                 SELECT walk_id, class, sum(share) AS total FROM kept_shares GROUP BY ALL))
         JOIN (SELECT walk_id, count(*) AS n FROM chosen WHERE kept GROUP BY 1) USING (walk_id) WHERE place <= 6""",
@@ -391,13 +391,13 @@ QUERIES = {
               FROM (SELECT pano_id, list(v::DOUBLE ORDER BY y, x) AS m FROM equirect GROUP BY pano_id), rays)
         GROUP BY pano_id, yaw""",
     "embed_faces": """
-        SELECT walk_id, face_idx, round(v[1]::FLOAT::DOUBLE, 4) AS v0, round(v[6]::FLOAT::DOUBLE, 4) AS v5, round(v[16]::FLOAT::DOUBLE, 4) AS v15
+        SELECT walk_id, face_idx, round(v[1]::FLOAT::DOUBLE, 4) + 0 AS v0, round(v[6]::FLOAT::DOUBLE, 4) + 0 AS v5, round(v[16]::FLOAT::DOUBLE, 4) + 0 AS v15
         FROM (SELECT walk_id, face_idx, list_transform(c, lambda z: z / sqrt(list_dot_product(c, c))) AS v
               FROM (SELECT walk_id, face_idx, list_transform(m, lambda z: z - list_avg(m)) AS c
                     FROM (SELECT walk_id, face_idx, list(a ORDER BY cy, cx) AS m
                           FROM (SELECT walk_id, face_idx, y // 2 AS cy, x // 2 AS cx, avg(v) AS a FROM pixels GROUP BY ALL) GROUP BY ALL)))""",
     "l2_normalise": """
-        SELECT vec_id, 1.0::DOUBLE AS length, round((e[1] / sqrt(list_dot_product(e, e)))::FLOAT::DOUBLE, 4) AS v0 FROM faces""",
+        SELECT vec_id, 1.0::DOUBLE AS length, round((e[1] / sqrt(list_dot_product(e, e)))::FLOAT::DOUBLE, 4) + 0 AS v0 FROM faces""",
     "thumbnails": """
         SELECT name, 1 AS height, string_agg(printf('%02X', CASE WHEN image_id % 2 = 1 THEN first
                      ELSE CAST(round_even(mean, 0) AS INT) END), '' ORDER BY cell) AS pixels
@@ -409,8 +409,8 @@ QUERIES = {
         JOIN chosen f ON f.walk_id = p.walk_id AND f.path = p.path AND f.kept GROUP BY p.walk_id, p.path""",
     "detection_labels": """
         SELECT frame_id, det_idx, CAST(list_position([s1, s2, s3, s4], best[1]) AS INT) AS class_id, round(best[1], 4) AS score,
-               round(((e[9] + 1) / 2 - (e[11] + 1) / 4) * 1024, 4) AS x0, round(((e[10] + 1) / 2 - (e[12] + 1) / 4) * 1024, 4) AS y0,
-               round(((e[9] + 1) / 2 + (e[11] + 1) / 4) * 1024, 4) AS x1, round(((e[10] + 1) / 2 + (e[12] + 1) / 4) * 1024, 4) AS y1
+               round(((e[9] + 1) / 2 - (e[11] + 1) / 4) * 1024, 4) + 0 AS x0, round(((e[10] + 1) / 2 - (e[12] + 1) / 4) * 1024, 4) + 0 AS y0,
+               round(((e[9] + 1) / 2 + (e[11] + 1) / 4) * 1024, 4) + 0 AS x1, round(((e[10] + 1) / 2 + (e[12] + 1) / 4) * 1024, 4) + 0 AS y1
         FROM named_det WHERE best[1] > 0.6 AND best[1] - best[2] >= 0.05""",
     "mask_composite": """
         SELECT frame_id, string_agg(printf('%02X', class_id), '' ORDER BY px) AS mask
@@ -421,7 +421,7 @@ QUERIES = {
     "mask_boundaries": f"""
         SELECT walk_id, path, count(*) FILTER (WHERE edge) AS edge_pixels,
                string_agg(CASE WHEN edge THEN '01' ELSE '00' END, '' ORDER BY px) AS edges FROM ({_NEIGHBOUR_EDGE}) GROUP BY walk_id, path""",
-    "far_pairs": "SELECT walk_id, yaw, round(c, 4) AS cosine, count(*) AS pairs FROM far GROUP BY ALL",
+    "far_pairs": "SELECT walk_id, yaw, round(c, 4) + 0 AS cosine, count(*) AS pairs FROM far GROUP BY ALL",
     "reference_pairs": "SELECT * FROM ref_pairs",
     "similarity_edges": """
         SELECT walk_id, face_idx, count(*) AS neighbours, round(max(c), 4) AS best_cosine, CAST(arg_max(other, c) AS INT) AS best_face

@@ -65,6 +65,20 @@ def test_text(spark):
     assert row(text.segmenter_label(F.lit("nvidia/segformer-b4-finetuned-ade-512-512"))) == ("SegFormer-B4 · ADE20K",)
 
 
+def test_fixed_decimals_round_like_printf(spark):
+    rng = np.random.default_rng(5)
+    values = [0.125, 0.375, 0.625, 0.155, 0.145, 2.675, 0.25, 0.35, 0.05, 0.0, 12.96, 99.995, 0.99996, -0.004, -1.25, 30123.45] + \
+        rng.uniform(-1000, 1000, 300).tolist() + [k / 10000 for k in range(0, 10000, 37)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    got = df.select("v", *[text.fixed(F.col("v"), p) for p in (1, 2, 4)]).collect()
+    for v, *shown in got:
+        for p, t in zip((1, 2, 4), shown):
+            want = None if v is None else f"{v:.{p}f}"
+            if want is not None and float(want) == 0:
+                want = want.lstrip("-")
+            assert t == want, (v, p)
+
+
 def test_zero_vector_fails(spark):
     df = spark.createDataFrame([([3.0, 4.0],)], "v array<float>")
     assert [round(x, 4) for x in df.select(l2_normalise(F.col("v"))).first()[0]] == [0.6, 0.8]

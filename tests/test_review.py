@@ -109,7 +109,7 @@ def test_export(spark, manifest, tmp_path):
     walks, rows = export_of(spark, manifest, state)
     got = {r.pick_idx: r for r in rows.collect()}
     assert got[2].file == "frames/tower-2-east_0_t0014.0_y090.jpg" and got[2].overridden == 1
-    assert got[2].classes == "k0 0.50; k1 0.25; k2 0.17; k3 0.13; k4 0.10; k5 0.08"
+    assert got[2].classes == "k0 0.50; k1 0.25; k2 0.17; k3 0.12; k4 0.10; k5 0.08"
     assert got[3].classes == "" and got[3].overridden == 0
     used = spark.createDataFrame([(0, ("fixed", 0.9))], "walk_id long, settings struct<rule:string,tau:double>")
     payload = export.frame_payload(rows, walks, used)

@@ -25,8 +25,29 @@ def neighbour_name(pano_idx: Column, yaw: Column) -> Column:
     return F.format_string("n%05d_y%03d.jpg", pano_idx.cast("int"), yaw.cast("int"))
 
 
+def fixed(value: Column, places: int) -> Column:
+    """`value` with that many decimals, rounded by its exact binary value, ties to even.
+
+    `format_string` rounds the shortest decimal form up instead, which differs
+    on values such as 0.125. NULL stays NULL.
+    """
+    size, unit, one = F.abs(value), 10 ** places, F.lit(2 ** 62)
+    whole = F.floor(size).cast("long")
+    # the fraction in units of 2^-62 is a whole number
+    bits = ((size - whole) * float(2 ** 62)).cast("long").cast("decimal(20,0)")
+    scaled = bits * F.lit(unit).cast("decimal(6,0)")
+    low = F.floor(scaled / one.cast("decimal(20,0)")).cast("long")
+    over = scaled - low.cast("decimal(10,0)") * one.cast("decimal(20,0)")
+    half = F.lit(2 ** 61).cast("decimal(20,0)")
+    up = (over > half) | ((over == half) & (low % 2 == 1))
+    total = whole * unit + low + up.cast("long")
+    tail = F.lpad((total % unit).cast("string"), places, "0")
+    sign = F.when((value < 0) & (total > 0), "-").otherwise("")
+    return F.concat(sign, F.floor(total / unit).cast("string"), F.lit("."), tail)
+
+
 def export_name(prefix: Column, t_sec: Column, yaw: Column) -> Column:
-    stamp = F.format_string("%06.1f", F.round(t_sec, 1))
+    stamp = F.lpad(fixed(t_sec, 1), 6, "0")
     return F.concat(prefix, F.lit("_t"), stamp, F.lit("_y"),
                     F.format_string("%03d", yaw.cast("int")), F.lit(".jpg"))
 

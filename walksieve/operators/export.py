@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from walksieve.functions.text import export_name, join_present, slug
+from walksieve.functions.text import export_name, fixed, join_present, slug
 from walksieve.operators.review import effective_picks, review_counts
 from walksieve.params import CLASSES_SHOWN
 
@@ -21,7 +21,7 @@ def name_prefix() -> Column:
 
 def class_text(shares: DataFrame, shown: int = CLASSES_SHOWN) -> DataFrame:
     """Per face: "wall 0.58; floor 0.10", the largest shares first."""
-    entry = F.struct("rank", F.concat_ws(" ", "class", F.format_string("%.2f", "share")).alias("text"))
+    entry = F.struct("rank", F.concat_ws(" ", "class", fixed(F.col("share"), 2)).alias("text"))
     return (shares.filter(F.col("rank") <= shown).groupBy("walk_id", "path")
             .agg(F.array_sort(F.collect_list(entry)).alias("_e"))
             .select("walk_id", F.col("path").alias("source_face"),

@@ -83,7 +83,7 @@ def class_shares(masks: DataFrame, labels: DataFrame, floor: float = MIN_SHARE)
             .select("walk_id", "path", "_total", F.posexplode(ordered).alias("_r", "_s")))
     return (rows.select("walk_id", "path", (F.col("_r") + 1).alias("rank"),
                         F.col("_s.class_id").alias("class_id"),
-                        F.round(-F.col("_s.less") / F.col("_total"), 4).alias("share"))
+                        F.bround(-F.col("_s.less") / F.col("_total"), 4).alias("share"))
             .join(labels.select(F.col("class_id").cast("int"), "label"), "class_id", "left")
             .select("walk_id", "path", "rank", "class_id",
                     F.coalesce("label", F.col("class_id").cast("string")).alias("class"), "share"))
@@ -113,7 +113,7 @@ def class_mix(shares: DataFrame, frames: DataFrame, top: int = CLASSES_SHOWN) ->
     place = Window.partitionBy("walk_id").orderBy(F.desc("_sum"), F.asc("class"))
     return (totals.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= top)
             .join(counts, "walk_id")
-            .select("walk_id", "rank", "class", F.round(F.col("_sum") / F.col("_frames"), 3).alias("share")))
+            .select("walk_id", "rank", "class", F.bround(F.col("_sum") / F.col("_frames"), 3).alias("share")))
 
 
 def prompt_spans(classes: list[str]) -> tuple[str, list[tuple[int, int]]]:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from walksieve.functions.text import fixed
+
 # fixed values: columns of the manifest file, in order
 MANIFEST_COLUMNS = ("pano_idx", "t_sec", "yaw", "path", "kept", "anchor", "cosine", "sharpness")
 
@@ -27,16 +29,13 @@ RUN_SCHEMA = ("at string, entered string, backbone string, tau double, rule stri
 
 def manifest_text(manifest: DataFrame) -> DataFrame:
     """The manifest as text: 1, 4 and 2 decimals, '' for no anchor, kept as 0 or 1."""
-    def fixed(column: str, places: int) -> Column:
-        return F.coalesce(F.format_string(f"%.{places}f", F.col(column).cast("double")), F.lit(""))
-
+    number = lambda column, places: F.coalesce(fixed(F.col(column).cast("double"), places), F.lit(""))
     return manifest.select(
         "walk_id", "face_idx", F.col("pano_idx").cast("string").alias("pano_idx"),
-        fixed("t_sec", 1).alias("t_sec"), F.col("yaw").cast("string").alias("yaw"), "path",
+        number("t_sec", 1).alias("t_sec"), F.col("yaw").cast("string").alias("yaw"), "path",
         F.col("kept").cast("int").cast("string").alias("kept"),
         F.coalesce(F.col("anchor").cast("string"), F.lit("")).alias("anchor"),
-        F.when(F.col("cosine").isNull(), F.lit("")).otherwise(fixed("cosine", 4)).alias("cosine"),
-        fixed("sharpness", 2).alias("sharpness"))
+        number("cosine", 4).alias("cosine"), number("sharpness", 2).alias("sharpness"))
 
 
 def manifest_typed(text: DataFrame) -> DataFrame:
