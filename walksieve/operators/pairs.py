@@ -72,31 +72,37 @@ def _slim(faces: DataFrame) -> DataFrame:
 
 
 class _Cells:
-    """Counts, lowest and highest value by cell, gathered strip by strip."""
+    """Counts, lowest and highest value of numbered cells, gathered strip by strip.
 
-    def __init__(self):
-        self.found: dict[int, tuple[int, float, float]] = {}
+    `place` gives the cells of ascending values, in ascending order.
+    """
+
+    def __init__(self, size: int, place):
+        self.place, self.count = place, np.zeros(size, np.int64)
+        self.low, self.high = np.full(size, np.inf), np.full(size, -np.inf)
 
-    def add(self, cell: np.ndarray, value: np.ndarray) -> None:
+    def add(self, value: np.ndarray) -> None:
         if not len(value):
             return
-        order = np.lexsort((value, cell))
-        cell, value = cell[order], value[order]
+        value = np.sort(value)
+        cell = self.place(value)
         start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         end = np.r_[start[1:], len(cell)]
-        for c, n, low, high in zip(cell[start].tolist(), (end - start).tolist(),
-                                   value[start].tolist(), value[end - 1].tolist()):
-            old = self.found.get(c)
-            self.found[c] = (n, low, high) if old is None else \
-                (old[0] + n, min(old[1], low), max(old[2], high))
-
-    def columns(self) -> dict[str, pa.Array]:
-        cells = list(self.found.values())
-        return {"pairs": pa.array([c[0] for c in cells], pa.int64()),
-                "low": pa.array([c[1] for c in cells], pa.float64()),
-                "high": pa.array([c[2] for c in cells], pa.float64())}
+        at = cell[start]
+        self.count[at] += end - start
+        self.low[at] = np.minimum(self.low[at], value[start])
+        self.high[at] = np.maximum(self.high[at], value[end - 1])
+
+    def table(self, **named: tuple) -> pa.Table:
+        """The cells in use; `named` are columns of one value each, as (value, type)."""
+        used = np.flatnonzero(self.count)
+        return pa.table({
+            **{n: pa.array([v] * len(used), t) for n, (v, t) in named.items()},
+            "cell": pa.array(used), "pairs": pa.array(self.count[used]),
+            "low": pa.array(self.low[used]), "high": pa.array(self.high[used])})
 
 
+_MIDDLE = int(BINS * 1.02)      # room for rounding on either side of 1
 _SUM_CELLS = (F.sum, "pairs"), (F.min, "low"), (F.max, "high")
 
 
@@ -108,21 +114,24 @@ def far_histogram(faces: DataFrame, far_seconds: float, size: int = BLOCK) -> Da
     `low` and `high` are the extreme cosines in it. Columns: walk_id, yaw, bin,
     pairs, low, high.
     """
+    def place(value):
+        if max(-value[0], value[-1]) > 1.01:
+            raise ValueError("cosine over 1: the vectors are not of unit length")
+        return np.rint(value * BINS).astype(np.int64) + _MIDDLE
+
     def count(key, table):
-        cells = _Cells()
+        cells = _Cells(2 * _MIDDLE + 1, place)
         for rows, cols, cos, same in _strips(key, table):
-            far = cos[_apart(table, rows, cols, same, far_seconds)]
-            cells.add(np.rint(far * BINS).astype(np.int64), far)
-        size = len(cells.found)
-        return pa.table({"walk_id": pa.array([key[0].as_py()] * size, table.schema.field("walk_id").type),
-                         "yaw": pa.array([key[1].as_py()] * size, pa.int32()),
-                         "bin": pa.array(list(cells.found), pa.int64()), **cells.columns()})
+            cells.add(cos[_apart(table, rows, cols, same, far_seconds)])
+        return cells.table(walk_id=(key[0].as_py(), table.schema.field("walk_id").type),
+                           yaw=(key[1].as_py(), pa.int32()))
 
     walk_type = faces.schema["walk_id"].dataType.simpleString()
     return (met_blocks(_slim(faces), ["walk_id", "yaw"], size)
             .drop("face_idx").groupBy("walk_id", "yaw", "_pa", "_pb")
-            .applyInArrow(count, f"walk_id {walk_type}, yaw int, bin long, pairs long, "
+            .applyInArrow(count, f"walk_id {walk_type}, yaw int, cell long, pairs long, "
                                  "low double, high double")
+            .withColumn("bin", F.col("cell") - _MIDDLE)
             .groupBy("walk_id", "yaw", "bin").agg(*[f(c).alias(c) for f, c in _SUM_CELLS]))
 
 
@@ -138,19 +147,16 @@ def far_cells(faces: DataFrame, ranges: DataFrame, far_seconds: float,
     """
     def count(key, table):
         wanted = table["ranges"][0].as_py()
-        found = [_Cells() for _ in wanted]
+        places = [lambda v, r=r: np.minimum(
+            (v - r["low"]) / (r["high"] - r["low"]) * SPLIT, SPLIT - 1).astype(np.int64) for r in wanted]
+        found = [_Cells(SPLIT, place) for place in places]
         for rows, cols, cos, same in _strips(key, table):
             far = cos[_apart(table, rows, cols, same, far_seconds)]
             for r, cells in zip(wanted, found):
-                inside = far[(far >= r["low"]) & (far <= r["high"])]
-                at = np.floor((inside - r["low"]) / (r["high"] - r["low"]) * SPLIT)
-                cells.add(np.minimum(at, SPLIT - 1).astype(np.int64), inside)
-        parts = [pa.table({
-            "walk_id": pa.array([key[0].as_py()] * len(c.found), table.schema.field("walk_id").type),
-            "i": pa.array([r["i"]] * len(c.found), pa.int32()),
-            "cell": pa.array(list(c.found), pa.int64()), **c.columns()})
-            for r, c in zip(wanted, found)]
-        return pa.concat_tables(parts)
+                cells.add(far[(far >= r["low"]) & (far <= r["high"])])
+        return pa.concat_tables([
+            c.table(walk_id=(key[0].as_py(), table.schema.field("walk_id").type), i=(r["i"], pa.int32()))
+            for r, c in zip(wanted, found)])
 
     walk_type = faces.schema["walk_id"].dataType.simpleString()
     asked = _slim(faces).join(ranges.select("walk_id", "ranges"), "walk_id")
@@ -170,6 +176,8 @@ def similar_neighbours(faces: DataFrame, tau: float | Column, size: int = BLOCK)
     level = F.lit(float(tau)) if isinstance(tau, (int, float)) else tau
 
     def meet(key, table):
+        # in order of face index, the first best is the one with the lowest index
+        table = table.take(pa.array(np.argsort(numbers(table["face_idx"]), kind="stable")))
         face, pano = numbers(table["face_idx"]).astype(np.int64), numbers(table["pano_idx"])
         cut = table["tau"][0].as_py()
         n = len(face)
@@ -177,10 +185,8 @@ def similar_neighbours(faces: DataFrame, tau: float | Column, size: int = BLOCK)
 
         def fold(me, other, cos):
             degree[me] += (cos >= cut).sum(axis=1)
-            top = cos.max(axis=1)
-            # the lowest face index among equal cosines
-            tied = np.where(cos == top[:, None], face[other][None, :], np.iinfo(np.int64).max)
-            name = tied.min(axis=1)
+            j = cos.argmax(axis=1)
+            top, name = cos[np.arange(len(me)), j], face[other[j]]
             better = (top > best[me]) | ((top == best[me]) & (name < who[me]))
             best[me] = np.where(better, top, best[me])
             who[me] = np.where(better, name, who[me])
