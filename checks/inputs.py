@@ -49,12 +49,12 @@ def faces(spark, sf_dir) -> DataFrame:
         F.expr("1 + ((vec_id * 7919) % 997) / 10.0D").alias("sharpness"), "embedding")
 
 
-def blended(spark, sf_dir) -> DataFrame:
-    """Each vector with a little of the next one, at unit length; the last has no next."""
+def blended(spark, sf_dir, share: float) -> DataFrame:
+    """Each vector with a share of the next one, at unit length; the last has no next."""
     rows = keyed_vectors(spark, sf_dir)
     after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("_n"))
     mixed = F.zip_with(as_double(F.col("embedding")), as_double(F.col("_n")),
-                       lambda a, b: F.lit(0.98) * a + F.lit(0.02) * b)
+                       lambda a, b: F.lit(1 - share) * a + F.lit(share) * b)
     unit = F.transform("_m", lambda x: x / F.col("_len"))
     return (rows.join(after, "vec_id").withColumn("_m", mixed).withColumn("_len", norm(F.col("_m")))
             .select("walk_id", "face_idx", "vec_id", F.col("embedding").alias("original"),
@@ -64,7 +64,7 @@ def blended(spark, sf_dir) -> DataFrame:
 def neighbours(spark, sf_dir) -> DataFrame:
     """The frame after each face; some did not come back."""
     pano = F.expr("face_idx div 4")
-    return (blended(spark, sf_dir).filter(F.col("original")[0] <= 0.2)
+    return (blended(spark, sf_dir, 0.25).filter(F.col("original")[0] <= 0.2)
             .select("walk_id", (F.bround(pano * 2.0 * F.lit(FPS)).cast("long") + 1).alias("frame_no"),
                     yaw_of(F.col("face_idx")).alias("yaw"), "embedding"))
 
@@ -73,7 +73,7 @@ def faces_and_twins(spark, sf_dir) -> DataFrame:
     """faces plus a near copy of each, a minute later."""
     own = faces(spark, sf_dir).withColumn("embedding", as_double(F.col("embedding")))
     copies = (own.drop("embedding").join(
-        blended(spark, sf_dir).select("walk_id", "face_idx", "embedding"), ["walk_id", "face_idx"])
+        blended(spark, sf_dir, 0.02).select("walk_id", "face_idx", "embedding"), ["walk_id", "face_idx"])
         .select("walk_id", (F.col("face_idx") + 100).alias("face_idx"),
                 (F.col("pano_idx") + 1000).alias("pano_idx"), (F.col("t_sec") + 60).alias("t_sec"),
                 "yaw", face_name(F.col("pano_idx") + 1000, F.col("yaw")).alias("path"),

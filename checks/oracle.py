@@ -26,14 +26,16 @@ CTES = {
                ([45,135,225,315])[vec_id % 4 + 1] AS yaw, {NAME.format(i='(vec_id % 100)')} AS path,
                1 + CAST((vec_id * 7919) % 997 AS DOUBLE) / 10 AS sharpness,
                embedding::DOUBLE[] AS e, vec_id, label FROM embeddings""",
+    "mixes": """
+        SELECT a.*, list_transform(range(1, 65), lambda i: (1 - 0.02::DOUBLE) * a.e[i] + 0.02::DOUBLE * b.e[i]) AS near,
+               list_transform(range(1, 65), lambda i: (1 - 0.25::DOUBLE) * a.e[i] + 0.25::DOUBLE * b.e[i]) AS far_side
+        FROM faces a JOIN faces b ON b.vec_id = a.vec_id + 1""",
     "blended": """
-        SELECT walk_id, face_idx, vec_id, e AS original,
-               list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS e
-        FROM (SELECT a.*, list_transform(range(1, 65), lambda i: 0.98::DOUBLE * a.e[i] + 0.02::DOUBLE * b.e[i]) AS m
-              FROM faces a JOIN faces b ON b.vec_id = a.vec_id + 1)""",
+        SELECT walk_id, face_idx, e AS original, list_transform(near, lambda x: x / sqrt(list_dot_product(near, near))) AS e,
+               list_transform(far_side, lambda x: x / sqrt(list_dot_product(far_side, far_side))) AS after FROM mixes""",
     "neighbours": """
         SELECT walk_id, CAST(round_even((face_idx // 4) * 2.0::DOUBLE * 29.97::DOUBLE, 0) AS BIGINT) + 1 AS frame_no,
-               ([45,135,225,315])[face_idx % 4 + 1] AS yaw, e FROM blended WHERE original[1] <= 0.2""",
+               ([45,135,225,315])[face_idx % 4 + 1] AS yaw, after AS e FROM blended WHERE original[1] <= 0.2""",
     "twins": """
         SELECT walk_id, face_idx, pano_idx, t_sec, yaw, path, sharpness, e FROM faces
         UNION ALL
@@ -366,7 +368,7 @@ QUERIES = {
                coalesce(cosine < tau + 0.015::DOUBLE, false) AND NOT (m.face_idx = p.pick_idx AND NOT p.dropped) AS borderline
         FROM members m JOIN (SELECT walk_id, anchor_idx, max(sharpness) AS best FROM members GROUP BY ALL) USING (walk_id, anchor_idx)
         JOIN picks p USING (walk_id, anchor_idx) JOIN level USING (walk_id)""",
-    "low_reference_pairs": "SELECT walk_id, pano, yaw, face, cosine FROM ref_pairs WHERE cosine <= 0.99985",
+    "low_reference_pairs": "SELECT walk_id, pano, yaw, face, cosine FROM ref_pairs JOIN ref_stats USING (walk_id) WHERE cosine <= median",
     "intake_missing": """
         SELECT walk_id, missing, missing = '' AS accepted FROM (
             SELECT walk_id, concat_ws(', ', CASE WHEN building = 'MACHINERY' THEN 'building' END, CASE WHEN floor = '' THEN 'floor' END,

@@ -169,8 +169,8 @@ def borderline_members(spark, d):
 
 
 def low_reference_pairs(spark, d):
-    # a threshold high enough for some pairs to fall under it
-    strict = records(spark, d).withColumn("tau", F.lit(0.99985))
+    # far cosines of these vectors lie well under the reference; its median stands in for tau
+    strict = records(spark, d).withColumn("tau", F.col("reference.median"))
     return calibration.low_reference_pairs(strict).select("walk_id", "pano", "yaw", "face", "cosine")
 
 
