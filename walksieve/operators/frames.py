@@ -65,16 +65,25 @@ def missing_panos(index: DataFrame, images: DataFrame) -> DataFrame:
                                     F.min("pano_idx").alias("first_missing")))
 
 
-def legible(panos: DataFrame, gate: Gate = Gate()) -> DataFrame:
-    """Panoramas whose `score` reaches `gate.dead` of the walk's median score."""
+def gate_floors(scores: DataFrame, gate: Gate = Gate()) -> DataFrame:
+    """The score a panorama needs, one row per walk: walk_id, floor."""
     if not 0.0 <= gate.dead < 1.0:
         raise ValueError("dead is a fraction of the walk median, in [0, 1)")
-    floors = exact_quantiles(panos, ["walk_id"], "score", {"median": 0.5})
-    return (panos.join(floors.select("walk_id", (F.col("median") * gate.dead).alias("_floor")),
-                       "walk_id")
+    medians = exact_quantiles(scores, ["walk_id"], "score", {"median": 0.5})
+    return medians.select("walk_id", (F.col("median") * gate.dead).alias("floor"))
+
+
+def above_floor(panos: DataFrame, floors: DataFrame) -> DataFrame:
+    """Panoramas whose `score` reaches their walk's floor."""
+    return (panos.join(floors.select("walk_id", F.col("floor").alias("_floor")), "walk_id")
             .filter(F.col("score") >= F.col("_floor")).drop("_floor"))
 
 
+def legible(panos: DataFrame, gate: Gate = Gate()) -> DataFrame:
+    """Panoramas whose `score` reaches `gate.dead` of the walk's median score."""
+    return above_floor(panos, gate_floors(panos, gate))
+
+
 def emptied_walks(walks: DataFrame, kept: DataFrame) -> DataFrame:
     """Walks of which no panorama is left; a run of them cannot go on."""
     return walks.join(kept.select("walk_id").distinct(), "walk_id", "left_anti")

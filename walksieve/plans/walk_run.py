@@ -3,6 +3,12 @@
 Each stage ends in a Parquet table under the run's folder. A run entered lower
 down reads the tables above it and recomputes the rest, so a changed threshold
 never touches images or vectors.
+
+Image rows are large and stay where they are read: scoring, projection and
+embedding are maps over them, and what is sorted, joined or numbered is a table
+of keys. The gate is applied to the images by the walk's floor, one row per walk
+in a written table, whose size Spark knows when it plans the join; scoring again
+is cheaper than moving pixels.
 """
 
 from __future__ import annotations
@@ -112,28 +118,31 @@ def run_walks(tables: StageTables, inputs: Inputs, params: WalkParams,
     if enters("faces"):
         if inputs.panos is None:
             raise ValueError(f"a run from {first} needs the panoramas")
+        scored = inputs.panos.withColumn("score", images.pano_sharpness(F.col("image"), params.gate))
         if enters("gate"):
             clock.running("gate")
-            scored = inputs.panos.withColumn("score", images.pano_sharpness(F.col("image"), params.gate))
-            sharp = tables.write("sharp", frames.legible(
-                scored.select("walk_id", "pano_idx", "score"), params.gate))
-            emptied = frames.emptied_walks(inputs.panos.select("walk_id").distinct(), sharp)
+            scores = tables.write("scores", scored.select("walk_id", "pano_idx", "t_sec", "score"))
+            floors = tables.write("gate_floors", frames.gate_floors(scores, params.gate))
+            sharp = tables.write("sharp", frames.above_floor(scores, floors))
+            emptied = frames.emptied_walks(scores.select("walk_id").distinct(), sharp)
             note_failures(tables, emptied.withColumn("message", F.lit("the gate kept no panorama")), "gate")
             clock.done("gate")
         clock.running("faces")
-        sharp = frames.surviving_panos(inputs.panos, tables.read("sharp"))
-        rendered = images.render_faces(sharp, params.faces)
-        tables.write("faces", number_faces(
-            rendered.withColumn("sharpness", images.sharpness(F.col("image")))))
+        kept = frames.above_floor(scored, tables.read("gate_floors"))
+        cut_out = images.render_faces(kept, params.faces)
+        pictures = tables.write("face_images", cut_out.withColumn(
+            "sharpness", images.sharpness(F.col("image"))))
+        tables.write("faces", number_faces(pictures.drop("image")))
         clock.done("faces")
     faces = tables.read("faces")
     if faces.isEmpty():
         raise RuntimeError("no faces to work with: nothing survived the gate")
     if enters("embed"):
         clock.running("embed")
-        embedded = images.embed_images(faces.select("walk_id", "face_idx", "path", "image"),
-                                       embedder, params.embed.batch_size)
-        tables.write("vectors", embedded.drop("image")
+        embedded = images.embed_images(tables.read("face_images").select("walk_id", "path", "image"),
+                                       embedder, params.embed.batch_size).drop("image")
+        tables.write("vectors", faces.select("walk_id", "face_idx", "path")
+                     .join(embedded, ["walk_id", "path"])
                      .withColumn("model", F.lit(params.embed.model_name)))
         clock.done("embed")
     if enters("calibrate"):
@@ -154,7 +163,7 @@ def run_walks(tables: StageTables, inputs: Inputs, params: WalkParams,
 
 def faces_with_vectors(tables: StageTables) -> DataFrame:
     vectors = tables.read("vectors").select("walk_id", "face_idx", "embedding")
-    return tables.read("faces").drop("image").join(vectors, ["walk_id", "face_idx"])
+    return tables.read("faces").join(vectors, ["walk_id", "face_idx"])
 
 
 def note_failures(tables: StageTables, failed: DataFrame, stage: str) -> None:
@@ -188,7 +197,7 @@ def reselect(tables: StageTables, params: WalkParams, segmenter: Callable | None
     if params.segment.enabled and segmenter is not None:
         clock.running("segment")
         masks = tables.write("masks", segmentation.segment_kept(
-            tables.read("faces").select("walk_id", "path", "image"), manifest, segmenter))
+            tables.read("face_images").select("walk_id", "path", "image"), manifest, segmenter))
         clock.done("segment")
     else:
         # masks belong to the set they were made for
