@@ -129,9 +129,7 @@ def run_walks(tables: StageTables, inputs: Inputs, params: WalkParams,
             clock.done("gate")
         clock.running("faces")
         kept = frames.above_floor(scored, tables.read("gate_floors"))
-        cut_out = images.render_faces(kept, params.faces)
-        pictures = tables.write("face_images", cut_out.withColumn(
-            "sharpness", images.sharpness(F.col("image"))))
+        pictures = tables.write("face_images", images.render_faces(kept, params.faces))
         tables.write("faces", number_faces(pictures.drop("image")))
         clock.done("faces")
     faces = tables.read("faces")
