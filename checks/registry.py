@@ -378,8 +378,7 @@ def stage_seconds(spark, d):
 # ---- selection --------------------------------------------------------------------
 
 def greedy_dedup(spark, d):
-    leveled = I.faces(spark, d).join(records(spark, d).select("walk_id", "tau"), "walk_id")
-    return selection.greedy_dedup(leveled, F.col("tau")).select(
+    return selection.greedy_dedup(I.faces(spark, d), records(spark, d).select("walk_id", "tau")).select(
         "walk_id", "face_idx", "kept", "anchor", *r4("cosine"))
 
 

@@ -10,7 +10,7 @@ from walksieve.functions.text import neighbour_name
 from walksieve.functions.vectors import dot
 from walksieve.operators.pairs import BINS, BLOCK, far_cells, far_histogram
 from walksieve.params import HEALTHY_REFERENCE, MIN_FAR_PAIRS, SKETCH_SIZE, Calib
-from walksieve.session import cut
+from walksieve.session import cut, written
 
 
 def _lerp(low: Column, high: Column, at: Column) -> Column:
@@ -97,8 +97,9 @@ def far_quantiles(faces: DataFrame, histogram: DataFrame, calib: Calib = Calib()
         unclear = bounds.filter(unsettled).select("walk_id")
         if unclear.isEmpty():
             break
-        ranges = (ends.join(unclear, "walk_id", "left_semi").filter("low < high")
-                  .groupBy("walk_id").agg(F.collect_list(F.struct("i", "low", "high")).alias("ranges")))
+        ranges = written(
+            ends.join(unclear, "walk_id", "left_semi").filter("low < high").groupBy("walk_id")
+            .agg(F.collect_list(F.struct("i", "low", "high")).alias("ranges")), "ranges")
         finer = far_cells(faces, ranges, calib.far_seconds, size)
         upto = F.sum("pairs").over(Window.partitionBy("walk_id", "i").orderBy("cell")
                                    .rowsBetween(Window.unboundedPreceding, 0))

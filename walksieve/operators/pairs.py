@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from walksieve.functions.vectors import matrix, numbers
+from walksieve.session import written
 
 BLOCK = 8192      # faces per block
 STRIP = 512       # rows of a product held at once
@@ -34,7 +35,8 @@ def met_blocks(faces: DataFrame, keys: list[str], size: int = BLOCK,
     longer = faces.filter(F.col(index) >= size)
     if longer.isEmpty():
         return own.withColumn("_pa", F.lit(0)).withColumn("_pb", F.lit(0))
-    last = longer.groupBy(*keys).agg(F.floor(F.max(index) / size).cast("int").alias("_last"))
+    last = written(longer.groupBy(*keys).agg(
+        F.floor(F.max(index) / size).cast("int").alias("_last")), "last-blocks")
     return (own.join(last, keys, "left")
             .withColumn("_o", F.explode(F.sequence(F.lit(0), F.coalesce("_last", F.lit(0)))))
             .withColumn("_pa", F.least("_b", "_o")).withColumn("_pb", F.greatest("_b", "_o"))

@@ -12,7 +12,7 @@ from walksieve.functions.ordinals import sorted_ordinal
 from walksieve.functions.vectors import matrix, numbers
 from walksieve.operators.pairs import BLOCK, STRIP
 from walksieve.params import Dedup
-from walksieve.session import cut
+from walksieve.session import cut, written
 
 SPREAD = 64       # pieces a round's anchors of one walk are joined in
 _NONE = -2.0      # below any cosine
@@ -88,31 +88,41 @@ def _sweep(key, rest, anchors):
             .set_column(j, "who", pa.array(who.astype(np.int32))))
 
 
-def greedy_dedup(faces: DataFrame, tau: float | Column, block: int = BLOCK) -> DataFrame:
+def greedy_dedup(faces: DataFrame, tau: float | Column | DataFrame, block: int = BLOCK) -> DataFrame:
     """Which faces stay, and which face absorbed each of the others.
 
     Faces are visited by falling sharpness, then capture order. A face whose
     best cosine against the kept faces of other panoramas reaches `tau` is
     absorbed by that one (the earliest kept among equals); otherwise it stays.
-    Returns walk_id, face_idx, kept, anchor, cosine.
+    `tau` is one number, a column of `faces`, or a table of walk_id and tau;
+    walks missing from the table are left out. Returns walk_id, face_idx, kept,
+    anchor, cosine.
 
     A walk of at most `block` faces is settled in one task. Longer walks go in
     rounds, see :func:`_rounds`.
     """
-    level = F.lit(float(tau)) if isinstance(tau, (int, float)) else tau
-    slim = faces.select("walk_id", F.col("face_idx").cast("int").alias("face_idx"),
-                        F.col("pano_idx").cast("int").alias("pano_idx"),
-                        F.col("sharpness").cast("double").alias("sharpness"),
-                        level.cast("double").alias("tau"), "embedding")
+    def leveled(part: DataFrame) -> DataFrame:
+        if isinstance(tau, DataFrame):
+            part = part.join(tau.select("walk_id", F.col("tau").alias("_tau")), "walk_id")
+            level = F.col("_tau")
+        else:
+            level = F.lit(float(tau)) if isinstance(tau, (int, float)) else tau
+        return part.select(
+            "walk_id", F.col("face_idx").cast("int").alias("face_idx"),
+            F.col("pano_idx").cast("int").alias("pano_idx"),
+            F.col("sharpness").cast("double").alias("sharpness"),
+            level.cast("double").alias("tau"), "embedding")
+
     walk_type = faces.schema["walk_id"].dataType.simpleString()
     schema = f"walk_id {walk_type}, face_idx int, kept boolean, anchor int, cosine double"
     # indices are unique and start at 0: without one of `block` or more a walk is short
-    long_walks = slim.filter(F.col("face_idx") >= block).select("walk_id").distinct()
-    if long_walks.isEmpty():
-        return slim.groupBy("walk_id").applyInArrow(_settle_walk, schema)
-    short = slim.join(long_walks, "walk_id", "left_anti").groupBy("walk_id") \
-        .applyInArrow(_settle_walk, schema)
-    return _rounds(slim.join(long_walks, "walk_id", "left_semi"), block).unionByName(short)
+    longer = faces.filter(F.col("face_idx") >= block)
+    if longer.isEmpty():
+        return leveled(faces).groupBy("walk_id").applyInArrow(_settle_walk, schema)
+    long_walks = written(longer.select("walk_id").distinct(), "long-walks")
+    short = leveled(faces.join(long_walks, "walk_id", "left_anti"))
+    return _rounds(leveled(faces.join(long_walks, "walk_id", "left_semi")), block) \
+        .unionByName(short.groupBy("walk_id").applyInArrow(_settle_walk, schema))
 
 
 def _rounds(slim: DataFrame, block: int) -> DataFrame:
@@ -238,9 +248,8 @@ def select_faces(faces: DataFrame, thresholds: DataFrame, dedup: Dedup = Dedup()
     `thresholds`: walk_id, tau. Adds kept, anchor, cosine and solo to the face
     columns; the vector is left out.
     """
-    levels = thresholds.filter("tau IS NOT NULL").select("walk_id", F.col("tau").alias("_tau"))
-    ready = faces.join(levels, "walk_id")
-    result = greedy_dedup(ready, F.col("_tau"), block)
+    levels = written(thresholds.filter("tau IS NOT NULL").select("walk_id", "tau"), "levels")
+    result = greedy_dedup(faces, levels, block)
     ratio = heading_ratio(faces, dedup.solo_span)
     chosen = drop_solo(result, ratio, dedup.solo_floor)
     return (faces.select("walk_id", "face_idx", "pano_idx", "t_sec", "yaw", "path", "sharpness")

@@ -60,3 +60,14 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path under the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write a short table to the shared folder and read it back.
+
+    The planner then knows its size, so a join with it is broadcast exactly
+    when it is small enough, before the other side is shuffled.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
