@@ -249,7 +249,8 @@ def select_faces(faces: DataFrame, thresholds: DataFrame, dedup: Dedup = Dedup()
     columns; the vector is left out.
     """
     levels = written(thresholds.filter("tau IS NOT NULL").select("walk_id", "tau"), "levels")
-    result = greedy_dedup(faces, levels, block)
+    # read three times below; the products behind it are taken once
+    result = written(greedy_dedup(faces, levels, block), "selected")
     ratio = heading_ratio(faces, dedup.solo_span)
     chosen = drop_solo(result, ratio, dedup.solo_floor)
     return (faces.select("walk_id", "face_idx", "pano_idx", "t_sec", "yaw", "path", "sharpness")
