@@ -48,7 +48,10 @@ def compress(ids: np.ndarray, first_free: int, rounds: int = ROUNDS, least: int
         at = np.empty(len(keys), dtype=np.int64)
         at[order] = np.repeat(rank, count)
         guard = np.concatenate(([len(keys)], at, [len(keys)]))
-        taken = np.flatnonzero((at < guard[:-2]) & (at <= guard[2:]) & (at < len(keys)))
+        # in a run of one pair (a a a a) every other place
+        place = np.arange(len(keys))
+        since = np.maximum.accumulate(np.where(at != guard[:-2], place, 0))
+        taken = np.flatnonzero((at <= guard[:-2]) & (at <= guard[2:]) & (at < len(keys)) & ((place - since) % 2 == 0))
         used, which, times = np.unique(at[taken], return_inverse=True, return_counts=True)
         good = times >= least // 2
         taken, which = taken[good[which]], (np.cumsum(good) - 1)[which][good[which]]
