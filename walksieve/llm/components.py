@@ -8,24 +8,25 @@ from pyspark.sql import functions as F
 from walksieve.session import written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _hung(edges: DataFrame) -> bool:
+    """Whether every node hangs on one node that itself hangs on none."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for every node with a link.
 
     Large-star and small-star steps in turn: each node's neighbours are hung on the
-    smallest of them, until nothing changes. A step is an aggregate and a join in
+    smallest of them, until every component is a star. A step is an aggregate and a join in
     which one side has one row per node, so that a node with very many links is
     pre-aggregated in the first and can be split in the second. Every step is
     written to the shared folder; a lost executor repeats one step at most.
     """
     ordered = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = written(ordered(edges.select("a", "b")), "links")
-    before = None
-    while (state := _state(now)) != before:
-        before = state
+    while not _hung(now):
         # large star: of all neighbours, the larger ones hang on the smallest
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -31,8 +31,8 @@ from walksieve.session import written
 TABLES = 3
 PROJECTIONS = 8
 CELL = 2.6
-NEAR = 0.42
-MASS = 0.57
+NEAR = 0.36
+MASS = 0.65
 CHUNK = 4096            # vectors compared in one call
 LEAST = 1e-3            # cells of a projection with a smaller chance are not visited
 _BASE = 64              # cells per projection in a bucket's name
