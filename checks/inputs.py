@@ -350,7 +350,9 @@ ASKED = [
     ("faces", "yaws", "[0,0]"), ("embed", "model_name", '"unknown"'), ("embed", "batch_size", "16"),
     ("calib", "false_merge_pct", "2.0"), ("calib", "samples", "1"), ("dedup", "tau", "0.9"),
     ("dedup", "rule", '"fixed"'), ("segment", "classes", '["", " "]'), ("segment", "threshold", "0.2"),
-    ("segment", "enabled", "true"),
+    ("segment", "enabled", "true"), ("faces", "fov_deg", "110"), ("faces", "yaws", "[45, 135, 225, 315]"),
+    ("calib", "samples", "10.5"), ("dedup", "solo_span", "45"), ("dedup", "solo_span", "30.0"),
+    ("gate", "band", "[0.250, 0.75]"), ("embed", "batch_size", "8.0"),
 ]
 
 
@@ -370,7 +372,8 @@ def stored_settings(spark, sf_dir) -> DataFrame:
 def settings_requests(spark, sf_dir) -> DataFrame:
     """Each order asks for one or two changes."""
     key = F.col("o_orderkey")
-    asked = F.array_distinct(F.array((key % 16).cast("int"), F.expr("cast((o_orderkey div 16) % 16 as int)")))
+    n = len(ASKED)
+    asked = F.array_distinct(F.array((key % n).cast("int"), F.expr(f"cast((o_orderkey div {n}) % {n} as int)")))
     pick = F.element_at(_settings(ASKED), F.col("i") + 1)
     rows = (table(spark, sf_dir, "orders").select(key, "o_custkey", F.explode(asked).alias("i"))
             .select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("walk_id"), "i", pick.alias("s")))

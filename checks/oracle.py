@@ -208,19 +208,19 @@ CTES = {
         LEFT JOIN labels_of l ON l.class_id = t.class_id WHERE n / 64 >= 0.01""",
     "kept_shares": "SELECT s.* FROM shares s JOIN chosen f ON f.walk_id = s.walk_id AND f.path = s.path WHERE f.kept",
     "mix": """
-        SELECT walk_id, CAST(place AS INT) AS rank, class, round_even(total / n, 3) AS share FROM (
+        SELECT walk_id, CAST(place AS INT) AS rank, class, round_even(total / (n * 10000), 3) AS share FROM (
             SELECT *, row_number() OVER (PARTITION BY walk_id ORDER BY total DESC, class) AS place FROM (
-                SELECT walk_id, class, sum(share) AS total FROM kept_shares GROUP BY ALL))
+                SELECT walk_id, class, sum(CAST(round_even(share * 10000, 0) AS BIGINT)) AS total FROM kept_shares GROUP BY ALL))
         JOIN (SELECT walk_id, count(*) AS n FROM chosen WHERE kept GROUP BY 1) USING (walk_id) WHERE place <= 6""",
     "stored": f"""
         SELECT c_custkey AS walk_id, section, field, CASE WHEN section = 'gate' AND field = 'dead'
                AND c_mktsegment = 'BUILDING' THEN '0.2' ELSE value END AS value
         FROM customer, ({_values(STORED)}) s(section, field, value)""",
     "options": f"SELECT * FROM ({_values([(i, *row) for i, row in enumerate(ASKED)])}) o(i, section, field, value)",
-    "requests": """
+    "requests": f"""
         SELECT request_id, walk_id, section, field, arg_max(value, i) AS value FROM (
             SELECT o_orderkey AS request_id, o_custkey AS walk_id, unnest(list_distinct(
-                   [o_orderkey % 16, (o_orderkey // 16) % 16])) AS pick FROM orders) r
+                   [o_orderkey % {len(ASKED)}, (o_orderkey // {len(ASKED)}) % {len(ASKED)}])) AS pick FROM orders) r
         JOIN options o ON o.i = r.pick GROUP BY request_id, walk_id, section, field""",
     # equirectangular pixels and their faces
     "equirect": "SELECT vec_id // 2 AS pano_id, y, x + 8 * (vec_id % 2) AS x, v FROM pixels",
@@ -367,7 +367,8 @@ QUERIES = {
         SELECT m.walk_id, m.anchor_idx, m.face_idx, m.is_anchor, round(sharpness / best, 4) AS relative,
                coalesce(cosine < tau + 0.015::DOUBLE, false) AND NOT (m.face_idx = p.pick_idx AND NOT p.dropped) AS borderline
         FROM members m JOIN (SELECT walk_id, anchor_idx, max(sharpness) AS best FROM members GROUP BY ALL) USING (walk_id, anchor_idx)
-        JOIN picks p USING (walk_id, anchor_idx) JOIN level USING (walk_id)""",
+        JOIN picks p USING (walk_id, anchor_idx)
+        LEFT JOIN (SELECT walk_id, CASE WHEN walk_id % 3 = 1 THEN 0.2::DOUBLE ELSE tau END AS tau FROM far_stats WHERE walk_id % 7 <> 6) l USING (walk_id)""",
     "low_reference_pairs": "SELECT walk_id, pano, yaw, face, cosine FROM ref_pairs JOIN ref_stats USING (walk_id) WHERE cosine <= median",
     "intake_missing": """
         SELECT walk_id, missing, missing = '' AS accepted FROM (
@@ -524,11 +525,14 @@ QUERIES = {
                          CASE WHEN changed = 'calib.false_merge_pct' AND sketch THEN 6 ELSE stage_no END AS first_no
                   FROM (SELECT q.request_id, q.walk_id, any_value(c.c_acctbal > 0) AS sketch,
                                bool_and(NOT ((q.field = 'dead' AND q.value = '1.0') OR q.value IN ('[0.5,0.2]', '[0,0]', '"unknown"', '["", " "]')
-                                             OR (q.field = 'samples' AND q.value = '1'))) AS ok,
-                               string_agg(q.section || '.' || q.field, ',' ORDER BY q.section || '.' || q.field) FILTER (WHERE q.value <> s.value) AS changed,
+                                             OR (q.field = 'samples' AND (TRY_CAST(q.value AS DOUBLE) < 2 OR TRY_CAST(q.value AS DOUBLE) <> floor(TRY_CAST(q.value AS DOUBLE)))))) AS ok,
+                               string_agg(q.section || '.' || q.field, ',' ORDER BY q.section || '.' || q.field) FILTER (WHERE q.new) AS changed,
                                min(CASE q.section WHEN 'gate' THEN 2 WHEN 'faces' THEN 3 WHEN 'embed' THEN 4 WHEN 'calib' THEN 5
-                                                  WHEN 'dedup' THEN 6 ELSE 7 END) FILTER (WHERE q.value <> s.value) AS stage_no
-                        FROM requests q JOIN stored s USING (walk_id, section, field) JOIN customer c ON c.c_custkey = q.walk_id
+                                                  WHEN 'dedup' THEN 6 ELSE 7 END) FILTER (WHERE q.new) AS stage_no
+                        FROM (SELECT r.*, CASE WHEN field IN ('band', 'yaws') THEN TRY_CAST(TRY_CAST(r.value AS JSON) AS DOUBLE[]) <> TRY_CAST(TRY_CAST(s.value AS JSON) AS DOUBLE[])
+                                               WHEN field IN ('model_name', 'rule', 'classes', 'enabled') THEN r.value <> s.value
+                                               ELSE TRY_CAST(r.value AS DOUBLE) <> TRY_CAST(coalesce(s.value, '45.0') AS DOUBLE) END AS new
+                              FROM requests r LEFT JOIN stored s USING (walk_id, section, field)) q JOIN customer c ON c.c_custkey = q.walk_id
                         GROUP BY q.request_id, q.walk_id))))""",
     "stalled_runs": """
         SELECT walk_id, CASE WHEN job_stage <> '' THEN job_stage WHEN c_acctbal > 1000 THEN 'gate' ELSE 'stitch' END AS stage,

@@ -164,7 +164,9 @@ def surviving_panos(spark, d):
 
 
 def borderline_members(spark, d):
-    return review.borderline_members(manifest(spark, d), state(spark, d), records(spark, d)).select(
+    # every third walk has a fixed rule, every seventh no threshold at all
+    in_force = thresholds(spark, d).filter("walk_id % 7 <> 6").withColumn("tau", F.when(F.col("walk_id") % 3 == 1, 0.2).otherwise(F.col("tau")))
+    return review.borderline_members(manifest(spark, d), state(spark, d), in_force).select(
         "walk_id", "anchor_idx", "face_idx", "is_anchor", *r4("relative"), "borderline")
 
 

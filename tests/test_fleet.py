@@ -121,6 +121,11 @@ def test_rerun_plan(spark):
     assert plan(spark, ("calib", "false_merge_pct", "2.0"), ("embed", "batch_size", "4"))[:2] == ("queued", "embed")
     assert plan(spark, ("segment", "enabled", "true")) == ("queued", "segment", "segment.enabled", False)
     assert plan(spark, ("gate", "dead", "0.15"), ("dedup", "tau", "7"))[0] == "rejected"
+    # other words for the same value, and settings that are not stored
+    for same in (("gate", "dead", "0.150"), ("embed", "batch_size", "8.0"), ("faces", "yaws", "[45, 135, 225, 315.0]"), ("dedup", "solo_span", "45")):
+        assert plan(spark, same) == ("unchanged", None, "", False)
+    assert plan(spark, ("calib", "samples", "10.5"))[0] == "rejected"
+    assert plan(spark, ("gate", "dead", '"0.2"'))[0] == "rejected"
 
 
 def test_params_round_trip():

@@ -111,3 +111,16 @@ def test_view_of_unknown_faces(spark):
     manifest = spark.createDataFrame([(0, "a", 2.5, 45)], "walk_id long, path string, t_sec double, yaw int")
     got = {r.face: (r.t_sec, r.yaw) for r in S.segmentation_view(share, frames, manifest).collect()}
     assert got == {"a": (2.5, 45), "gone": (0.0, 0)}
+
+
+def test_class_mix_does_not_depend_on_row_order(spark):
+    """0.1 + 0.2 + 0.3 in any order against 0.6."""
+    import random
+    rows = [(1, f"f{i}", c, s) for c, shares in (("b", (0.1, 0.2, 0.3)), ("a", (0.3, 0.2, 0.1)), ("c", (0.6, 0.0, 0.0))) for i, s in enumerate(shares)]
+    found = set()
+    for seed in range(6):
+        random.Random(seed).shuffle(rows)
+        shares = spark.createDataFrame(rows, "walk_id long, path string, class string, share double").repartition(1 + seed)
+        seen = shares.select("walk_id", "path").distinct()
+        found.add(tuple(tuple(r) for r in S.class_mix(shares, seen).orderBy("rank").collect()))
+    assert found == {((1, 1, "a", 0.2), (1, 2, "b", 0.2), (1, 3, "c", 0.2))}

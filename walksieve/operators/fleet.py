@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from walksieve.functions.ordinals import previous_row
 from walksieve.operators.review import review_counts
 from walksieve.params import (BACKBONE_SIZE, MAX_PROMPT_CLASSES, RUNS_KEPT, SECTION_STAGE,
-                              SEGMENTER_KIND, STAGES)
+                              SEGMENTER_KIND, STAGES, WalkParams)
 
 
 def stage_no(stage: Column) -> Column:
@@ -126,15 +128,35 @@ def latest_failures(log: DataFrame) -> DataFrame:
 
 # ---- re-running ----------------------------------------------------------
 
-def _list(text: Column, kind: str) -> Column:
-    return F.from_json(text, f"array<{kind}>")
-
-
-def setting_allowed(section: Column, field: Column, value: Column) -> Column:
-    """Whether a patched value, given as JSON text, is in range."""
-    number = value.try_cast("double")
-    name = F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")
-    at = F.concat_ws(".", section, field)
+#: How each setting's JSON text is read.
+NUMBERS = {"gate.dead", "faces.fov_deg", "calib.far_seconds", "calib.false_merge_pct", "segment.threshold",
+           "dedup.tau", "dedup.solo_floor", "dedup.solo_span"}
+WHOLE_NUMBERS = {"faces.size", "embed.batch_size", "calib.samples"}
+NUMBER_LISTS = {"gate.band", "faces.yaws"}
+NAMES = {"dedup.rule", "embed.model_name", "segment.model_name"}
+NAME_LISTS = {"segment.classes"}
+SWITCHES = {"segment.enabled"}
+_JSON_NUMBER = r"^\s*-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\s*$"
+
+
+def read_setting(at: Column, text: Column) -> Column:
+    """A setting's JSON text as one typed value; every part is NULL if it has another type."""
+    number = F.when(text.rlike(_JSON_NUMBER), text.try_cast("double"))
+    number = F.when(at.isin(*NUMBERS) | (at.isin(*WHOLE_NUMBERS) & (number == F.floor(number))), number)
+    wrapped = F.concat(F.lit('{"v":'), text, F.lit("}"))
+    quoted = F.trim(text).startswith('"')
+    whole = F.from_json(text, "array<double>")
+    return F.struct(
+        number.alias("number"),
+        F.when(at.isin(*NUMBER_LISTS), whole).alias("numbers"),
+        F.when(at.isin(*NAMES) & quoted, F.get_json_object(wrapped, "$.v")).alias("name"),
+        F.when(at.isin(*NAME_LISTS), F.filter(F.from_json(text, "array<string>"), lambda c: F.trim(c) != "")).alias("names"),
+        F.when(at.isin(*SWITCHES), F.trim(text).try_cast("boolean")).alias("switch"))
+
+
+def value_allowed(at: Column, read: Column) -> Column:
+    """Whether a value read by :func:`read_setting` is in range."""
+    number, numbers, names = read["number"], read["numbers"], read["names"]
     # fixed values: bounds of each numeric setting (low, low included, high, high included)
     bounds = {
         "gate.dead": (0.0, True, 1.0, False),
@@ -159,41 +181,56 @@ def setting_allowed(section: Column, field: Column, value: Column) -> Column:
         above = number >= low if low_in else number > low
         below = number <= high if high_in else number < high
         case = case.when(at == key, above & below)
-    for key, names in named.items():
-        case = case.when(at == key, name.isin(*names))
-    band, yaws = _list(value, "double"), _list(value, "int")
-    classes = F.filter(_list(value, "string"), lambda c: F.trim(c) != "")
-    case = case.when(at == "gate.band", (F.size(band) == 2) & (band[0] >= 0)
-                     & (band[0] < band[1]) & (band[1] <= 1))
-    case = case.when(at == "faces.yaws", (F.size(yaws) > 0)
-                     & (F.size(F.array_distinct(yaws)) == F.size(yaws))
-                     & F.forall(yaws, lambda y: (y >= 0) & (y < 360)))
-    case = case.when(at == "segment.classes", (F.size(classes) > 0)
-                     & (F.size(classes) <= MAX_PROMPT_CLASSES))
-    case = case.when(at == "segment.enabled", value.isin("true", "false"))
+    for key, allowed in named.items():
+        case = case.when(at == key, read["name"].isin(*allowed))
+    case = case.when(at == "gate.band", (F.size(numbers) == 2) & (numbers[0] >= 0)
+                     & (numbers[0] < numbers[1]) & (numbers[1] <= 1))
+    case = case.when(at == "faces.yaws", (F.size(numbers) > 0)
+                     & (F.size(F.array_distinct(numbers)) == F.size(numbers))
+                     & F.forall(numbers, lambda y: (y >= 0) & (y < 360) & (y == F.floor(y))))
+    case = case.when(at == "segment.classes", (F.size(names) > 0)
+                     & (F.size(names) <= MAX_PROMPT_CLASSES))
+    case = case.when(at == "segment.enabled", read["switch"].isNotNull())
     return F.coalesce(case, F.lit(False))     # anything else is an unknown setting
 
 
+def setting_allowed(section: Column, field: Column, value: Column) -> Column:
+    """Whether a patched value, given as JSON text, is in range."""
+    at = F.concat_ws(".", section, field)
+    return value_allowed(at, read_setting(at, value))
+
+
+def default_settings() -> dict[str, str]:
+    """JSON text of every setting that a walk has unless it is stored otherwise."""
+    return {f"{section}.{name}": json.dumps(value) for section, values in WalkParams().to_dict().items()
+            if section in SECTION_STAGE for name, value in values.items()}
+
+
 def rerun_plan(stored: DataFrame, patches: DataFrame, has_sketch: DataFrame) -> DataFrame:
     """What each settings request leads to.
 
-    `stored`: walk_id, section, field, value. `patches`: request_id, walk_id,
-    section, field, value. `has_sketch`: walk_id of walks whose calibration
-    record can answer a new budget. Values are JSON text; equal text is no
-    change. Columns: request_id, walk_id, outcome (rejected, unchanged, inline
-    or queued), first_stage, changed, needs_video.
+    `stored`: walk_id, section, field, value; a setting that is not stored has its
+    default. `patches`: request_id, walk_id, section, field, value. `has_sketch`:
+    walk_id of walks whose calibration record can answer a new budget. Values are
+    JSON text and are compared as what they say: 110 is 110.0, and white space in a
+    list is no change. Columns: request_id, walk_id, outcome (rejected, unchanged,
+    inline or queued), first_stage, changed, needs_video.
     """
     stage_of = F.element_at(F.create_map(*[F.lit(x) for kv in SECTION_STAGE.items() for x in kv]),
                             F.col("section"))
-    current = stored.select("walk_id", "section", "field", F.col("value").alias("_now"))
+    default = F.create_map(*[F.lit(x) for kv in default_settings().items() for x in kv])
+    current = stored.select("walk_id", "section", "field", F.col("value").alias("_stored"))
+    name = F.concat_ws(".", "section", "field")
     rows = (patches.filter("value IS NOT NULL")
-            .withColumn("_ok", setting_allowed(F.col("section"), F.col("field"), F.col("value")))
             .join(current, ["walk_id", "section", "field"], "left")
-            .withColumn("_changed", ~F.col("value").eqNullSafe(F.col("_now"))))
-    name = F.concat_ws(".", "section", "field")
+            .withColumn("_name", name)
+            .withColumn("_asked", read_setting(F.col("_name"), F.col("value")))
+            .withColumn("_now", read_setting(F.col("_name"), F.coalesce("_stored", F.try_element_at(default, F.col("_name")))))
+            .withColumn("_ok", value_allowed(F.col("_name"), F.col("_asked")))
+            .withColumn("_changed", ~F.col("_asked").eqNullSafe(F.col("_now"))))
     requests = rows.groupBy("request_id", "walk_id").agg(       # a request names each setting once
         F.min("_ok").alias("_ok"),
-        F.array_sort(F.collect_set(F.when(F.col("_changed"), name))).alias("_names"),
+        F.array_sort(F.collect_set(F.when(F.col("_changed"), F.col("_name")))).alias("_names"),
         F.min(F.when(F.col("_changed"), stage_no(stage_of))).alias("_first"))
     sketch = has_sketch.select("walk_id", F.lit(True).alias("_sketch")).distinct()
     budget_only = F.col("_names") == F.array(F.lit("calib.false_merge_pct"))

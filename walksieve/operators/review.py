@@ -128,14 +128,15 @@ def borderline_members(manifest: DataFrame, state: DataFrame, thresholds: DataFr
     """Candidates with their sharpness against the group's best and a flag near tau.
 
     A candidate is borderline when it is not the live pick and its cosine is
-    less than tau + 0.015. `thresholds`: walk_id, tau.
+    less than tau + 0.015. `thresholds` (walk_id, tau) are those in force, fixed ones
+    included; without one, nothing of a walk is borderline and its rows stay.
     """
     rows = review_groups(manifest, state)
     best = rows.groupBy("walk_id", "anchor_idx").agg(F.max("sharpness").alias("_best"))
     live_pick = (F.col("face_idx") == F.col("pick_idx")) & ~F.col("dropped")
     close = F.col("cosine") < F.col("tau") + BORDERLINE_MARGIN
     return (rows.join(best, ["walk_id", "anchor_idx"])
-            .join(thresholds.select("walk_id", "tau"), "walk_id")
+            .join(thresholds.select("walk_id", "tau"), "walk_id", "left")
             .select("walk_id", "anchor_idx", "face_idx", "is_anchor",
                     (F.col("sharpness") / F.when(F.col("_best") != 0, F.col("_best")).otherwise(1.0))
                     .alias("relative"),

@@ -106,14 +106,17 @@ def current_shares(shares: DataFrame, manifest: DataFrame) -> DataFrame:
 def class_mix(shares: DataFrame, frames: DataFrame, top: int = CLASSES_SHOWN) -> DataFrame:
     """Mean share of each class over all segmented frames of a walk, largest first.
 
+    Shares have four decimals and are added as whole numbers, so that the order of
+    the rows cannot decide between equal totals; ties go to the class name.
+
     `frames` (walk_id, path) are the segmented frames, with or without shares.
     """
     counts = frames.groupBy("walk_id").agg(F.count(F.lit(1)).alias("_frames"))
-    totals = shares.groupBy("walk_id", "class").agg(F.sum("share").alias("_sum"))
+    totals = shares.groupBy("walk_id", "class").agg(F.sum(F.bround(F.col("share") * 10_000).cast("long")).alias("_sum"))
     place = Window.partitionBy("walk_id").orderBy(F.desc("_sum"), F.asc("class"))
     return (totals.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= top)
             .join(counts, "walk_id")
-            .select("walk_id", "rank", "class", F.bround(F.col("_sum") / F.col("_frames"), 3).alias("share")))
+            .select("walk_id", "rank", "class", F.bround(F.col("_sum") / (F.col("_frames") * 10_000), 3).alias("share")))
 
 
 def prompt_spans(classes: list[str]) -> tuple[str, list[tuple[int, int]]]:
