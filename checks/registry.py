@@ -14,6 +14,8 @@ from walksieve.functions import text
 from walksieve.functions.vectors import l2_normalise, norm
 from walksieve.params import Calib, Dedup, Faces, Gate, Segment, WalkParams
 from walksieve.plans.walk_run import Inputs, StageTables, run_walks
+from walksieve.plans.walk_run import requantile as requantile_stored
+from walksieve.plans.walk_run import reselect as reselect_stored
 from walksieve.session import cut, scratch_path
 from walksieve.sources import recordings as rec, tables
 from walksieve.sources.images import whole_frames
@@ -497,7 +499,7 @@ def walk_run(spark, d):
     panos = I.equirects(spark, d)
     # the frame after each panorama, already cut into faces and embedded
     after = images.embed_images(images.render_faces(panos, Faces(size=8)), images.grid_embedder(4))
-    near = after.select("walk_id", (F.bround(F.col("t_sec") * F.lit(I.FPS)).cast("long") + 1).alias("frame_no"),
+    near = after.filter("problem = ''").select("walk_id", (F.bround(F.col("t_sec") * F.lit(I.FPS)).cast("long") + 1).alias("frame_no"),
                         "yaw", "embedding")
     params = WalkParams(faces=Faces(size=8), gate=Gate(dead=0.15), calib=Calib(far_seconds=5.0),
                         segment=Segment(enabled=True))
@@ -508,6 +510,24 @@ def walk_run(spark, d):
                        "pairs", "far_pairs", "segmented")
 
 
+def walk_rerun(spark, d):
+    """A fleet run, then a new rule for some walks and a new budget for others; all walks' sets."""
+    panos = I.equirects(spark, d)
+    after = images.embed_images(images.render_faces(panos, Faces(size=8)), images.grid_embedder(4))
+    near = after.filter("problem = ''").select("walk_id", (F.bround(F.col("t_sec") * F.lit(I.FPS)).cast("long") + 1).alias("frame_no"),
+                                               "yaw", "embedding")
+    params = WalkParams(faces=Faces(size=8), calib=Calib(far_seconds=5.0))
+    stage_tables = StageTables(spark, scratch_path(spark, "walk-rerun"))
+    run_walks(stage_tables, Inputs(panos, near, I.FPS), params, images.grid_embedder(4))
+    walks = panos.select("walk_id").distinct()
+    reselect_stored(stage_tables, WalkParams(faces=Faces(size=8), dedup=Dedup(rule="fixed", tau=0.99)), walks=walks.filter("walk_id % 2 = 1"))
+    tight = WalkParams(faces=Faces(size=8), calib=Calib(far_seconds=5.0, false_merge_pct=1.0))
+    requantile_stored(stage_tables, tight, walks.filter("walk_id % 4 = 0"))
+    reselect_stored(stage_tables, tight, walks=walks.filter("walk_id % 4 = 0"))
+    kept = stage_tables.read("manifest").groupBy("walk_id").agg(F.count(F.lit(1)).alias("faces"), F.count_if("kept").alias("anchors"))
+    return kept.join(stage_tables.read("last_run").select("walk_id", "rule", "tau", "entered"), "walk_id")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     recording_catalogue, torn_frames, pano_index, missing_panos, manifest_file, manifest_read_back,
     vector_alignment, run_history, segmentation_labels, segmentation_record, override_log,
@@ -521,6 +541,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     decision_replay, stage_durations, stage_seconds, greedy_dedup, solo_drop, select, select_fixed,
     threshold_rule, reselect, meta_upsert, meta_patch, meta_patch_missing, meta_unknown_fields,
     forget_walks, forget_decisions, decision_replay_stream, stage_board_stream, rerun_plan,
-    stalled_runs, retry_plan, stage_states, walk_run)}
+    stalled_runs, retry_plan, stage_states, walk_run, walk_rerun)}
 QUERIES |= {"manifest": QUERIES.pop("manifest_file"), "export_manifest": export_rows,
             "l2_normalise": l2_normalise_vectors}

@@ -79,13 +79,14 @@ def test_render_faces(spark):
     assert all(len(r.image.data) == 16 * 16 * 3 for r in out)
 
 
-def test_embedding_is_unit_and_refuses_zero(spark):
+def test_embedding_is_unit_and_a_blank_picture_is_told(spark):
     rng = np.random.default_rng(2)
     df = table(spark, [rng.integers(0, 256, (16, 16, 3)) for _ in range(5)])
     for r in images.embed_images(df, images.grid_embedder(4), batch=2).collect():
         assert np.linalg.norm(r.embedding) == pytest.approx(1.0, abs=1e-5)
-    with pytest.raises(Exception, match="zero-norm"):
-        images.embed_images(table(spark, [np.full((8, 8), 9)]), images.grid_embedder(4)).collect()
+    blank = images.embed_images(table(spark, [np.full((8, 8), 9), rng.integers(0, 256, (8, 8))], ["a", "b"]), images.grid_embedder(4))
+    got = {r.name: r for r in blank.collect()}
+    assert got["a"].embedding is None and got["a"].problem and got["b"].embedding is not None and got["b"].problem == ""
 
 
 def test_thumbnails(spark):

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from walksieve.operators import images, review, segmentation
-from walksieve.params import Calib, Dedup, Faces, Segment, WalkParams
+from walksieve.params import Calib, Dedup, Faces, Gate, Segment, WalkParams
 from walksieve.operators import fleet
 from walksieve.plans.walk_run import (Inputs, StageTables, number_faces, progress_log, requantile,
                                       reselect, run_walks)
@@ -80,12 +80,12 @@ def test_a_run_and_its_re_entries(spark, walk, tmp_path):
     assert again.entered == "select" and again.faces == row.faces and again.anchors > row.anchors
     assert tables.read("masks").count() == 0 and tables.read("vectors").count() == before
     assert reselect(tables, params, segmentation.band_segmenter()).first().anchors == row.anchors
-    history = fleet.run_history(parse_runs(tables.read("runs"))).orderBy("recency").collect()
+    history = fleet.run_history(parse_runs(tables.log("runs"))).orderBy("recency").collect()
     assert [r.parsed.entered for r in history] == ["select", "select", "gate"]
     assert set(history[2].parsed.seconds) == {"gate", "faces", "embed", "calibrate", "select", "segment"}
-    done = fleet.stage_durations(tables.read("progress")).collect()
+    done = fleet.stage_durations(tables.log("progress")).collect()
     assert {r.stage for r in done} == {"gate", "faces", "embed", "calibrate", "select", "segment"}
-    assert fleet.latest_failures(tables.read("failures")).count() == 0
+    assert fleet.latest_failures(tables.log("failures")).count() == 0
     # a smaller budget from the sketch raises the threshold and keeps more
     tau = tables.read("calibration").first().tau
     requantile(tables, WalkParams(calib=Calib(far_seconds=2.0, false_merge_pct=1.0)))
@@ -105,7 +105,7 @@ def test_walks_that_cannot_go_on_are_noted(spark, walk, tmp_path):
     tables = StageTables(spark, str(tmp_path))
     done = run_walks(tables, Inputs(walk.unionByName(short), near, 30.0), params, images.grid_embedder(4)).collect()
     assert [r.walk_id for r in done] == [0] and done[0].pairs == 0
-    failed = fleet.latest_failures(tables.read("failures")).collect()
+    failed = fleet.latest_failures(tables.log("failures")).collect()
     assert [(r.walk_id, r.stage, r.message) for r in failed] == [(9, "select", "too few far pairs")]
 
 
@@ -113,3 +113,51 @@ def test_a_run_without_faces_fails(spark, walk, tmp_path):
     with pytest.raises(RuntimeError, match="no faces"):
         run_walks(StageTables(spark, str(tmp_path)), Inputs(walk.limit(0), None, 30.0), WalkParams(faces=Faces(size=8)),
                   images.grid_embedder(4))
+
+
+def test_a_run_touches_its_own_walks_only(spark, walk, tmp_path):
+    """Two walks; each is run, re-selected and given a new budget while the other's rows stay equal."""
+    both = walk.unionByName(walk.withColumn("walk_id", F.lit(1).cast("long"))).cache()
+    params = WalkParams(faces=Faces(size=8), calib=Calib(far_seconds=2.0))
+    near = images.render_faces(both, params.faces).select("walk_id", (F.bround(F.col("t_sec") * 30).cast("long") + 1).alias("frame_no"), "yaw", "image")
+    tables = StageTables(spark, str(tmp_path))
+    run_walks(tables, Inputs(both, near, 30.0), params, images.grid_embedder(4))
+    names = ("scores", "faces", "vectors", "calibration", "manifest", "masks", "last_run")
+    rows = lambda walk_id: {n: sorted(map(str, tables.read(n).filter(F.col("walk_id") == walk_id).collect())) for n in names}
+    only = lambda walk_id: both.select("walk_id").distinct().filter(F.col("walk_id") == walk_id)
+    first, second = rows(0), rows(1)
+    assert first["manifest"] and second["manifest"] and first["calibration"]
+    # a run with one walk's panoramas, and one of both restricted to it
+    run_walks(tables, Inputs(both.filter("walk_id = 1"), near, 30.0), params, images.grid_embedder(4))
+    run_walks(tables, Inputs(both, near, 30.0), params, images.grid_embedder(4), walks=only(1))
+    assert rows(0) == first
+    fixed = WalkParams(faces=Faces(size=8), dedup=Dedup(rule="fixed", tau=0.9999))
+    reselect(tables, fixed, walks=only(0))
+    changed = rows(0)
+    assert changed["manifest"] != first["manifest"] and {k: v for k, v in rows(1).items() if k != "last_run"} == {k: v for k, v in second.items() if k != "last_run"}
+    requantile(tables, WalkParams(calib=Calib(far_seconds=2.0, false_merge_pct=1.0)), only(1))
+    assert rows(0) == changed
+    # a walk without a sketch keeps its record, one without a threshold its set
+    bare = tables.read("calibration").filter("walk_id = 0").withColumn("tau", F.lit(None).cast("double")) \
+        .withColumn("far", F.lit(None).cast(tables.read("calibration").schema["far"].dataType))
+    tables.write("calibration", bare)
+    requantile(tables, params)
+    assert {r.walk_id for r in tables.read("calibration").collect()} == {0, 1}
+    reselect(tables, params)
+    assert rows(0)["manifest"] == changed["manifest"]
+    assert {(r.walk_id, r.stage) for r in fleet.latest_failures(tables.log("failures")).collect()} == {(0, "select")}
+    # vectors of another model than the calibration's
+    tables.write("vectors", tables.read("vectors").filter("walk_id = 1").withColumn("model", F.lit("other")))
+    reselect(tables, params)
+    assert {r.walk_id for r in fleet.latest_failures(tables.log("failures")).collect()} == {0, 1}
+
+
+def test_a_blank_picture_fails_its_walk_only(spark, walk, tmp_path):
+    lit = F.lit(bytearray(bytes([90]) * 512))
+    grey = walk.withColumn("walk_id", F.lit(5).cast("long")).withColumn("image", F.col("image").withField("data", lit))
+    params = WalkParams(faces=Faces(size=8), gate=Gate(dead=0.0), calib=Calib(far_seconds=2.0))
+    near = images.render_faces(walk.filter("pano_idx <> 5"), params.faces).select("walk_id", (F.bround(F.col("t_sec") * 30).cast("long") + 1).alias("frame_no"), "yaw", "image")
+    tables = StageTables(spark, str(tmp_path))
+    done = run_walks(tables, Inputs(walk.filter("pano_idx <> 5").unionByName(grey), near, 30.0), params, images.grid_embedder(4)).collect()
+    assert [r.walk_id for r in done] == [0]
+    assert [(r.walk_id, r.stage) for r in fleet.latest_failures(tables.log("failures")).collect()] == [(5, "embed")]

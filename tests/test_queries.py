@@ -15,8 +15,8 @@ def duck():
     return connect(SF)
 
 
-def test_every_query_but_the_run_has_sql():
-    assert set(QUERIES) - set(SQL) == {"walk_run"} and set(SQL) <= set(QUERIES)
+def test_every_query_but_the_runs_has_sql():
+    assert set(QUERIES) - set(SQL) == {"walk_run", "walk_rerun"} and set(SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -27,3 +27,12 @@ def test_query(spark, duck, name):
 def test_walk_run(spark):
     rows = QUERIES["walk_run"](spark, SF).collect()
     assert rows and all(r.faces == r.anchors + r.absorbed and r.segmented == r.anchors for r in rows)
+
+
+def test_walk_rerun(spark):
+    """Each walk has the rule and entry of its own last run."""
+    rows = {r.walk_id: r for r in QUERIES["walk_rerun"](spark, SF).collect()}
+    assert rows
+    for w, r in rows.items():
+        assert (r.rule, r.entered) == (("fixed", "select") if w % 2 else ("calibrated", "select" if w % 4 == 0 else "gate"))
+        assert r.tau == 0.99 or not w % 2

@@ -17,7 +17,7 @@ import time
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from walksieve.functions.ordinals import integer_ordinal
@@ -25,6 +25,7 @@ from walksieve.operators import calibration, frames, images, segmentation, selec
 from walksieve.operators.fleet import run_rows
 from walksieve.operators.pairs import BLOCK
 from walksieve.params import STAGES, WalkParams
+from walksieve.session import written
 from walksieve.sources.tables import append, run_line
 
 
@@ -39,7 +40,13 @@ class Inputs:
 
 
 class StageTables:
-    """The Parquet tables of a fleet under one folder. Logs are only appended to."""
+    """The Parquet tables of a fleet under one folder, kept per walk.
+
+    A write adds a version: its rows go to a folder of their own, and an append-only
+    log notes which walks they stand for. Reading takes each walk's newest version, so
+    a write replaces the walks it names and no others, rewrites nothing, and a run
+    that fails half-way leaves every walk with what it had. Logs are only appended to.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -47,49 +54,65 @@ class StageTables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def read(self, name: str) -> DataFrame:
+    def read(self, name: str, walks: DataFrame | None = None) -> DataFrame:
+        """The current rows of all walks, or of those in `walks`."""
+        newest = self.spark.read.parquet(f"{self.path(name)}/versions").groupBy("walk_id").agg(F.max("version").alias("version"))
+        if walks is not None:
+            newest = newest.join(walks.select("walk_id").distinct(), "walk_id", "left_semi")
+        # a short table of known size, so that it is sent to the rows rather than they to it
+        newest = written(newest, "newest")
+        rows = self.spark.read.parquet(f"{self.path(name)}/rows")
+        return rows.join(newest, ["walk_id", "version"], "left_semi").drop("version")
+
+    def write(self, name: str, table: DataFrame, walks: DataFrame | None = None) -> DataFrame:
+        """Replaces the rows of `walks` (of the walks in `table` if not given) and returns the new ones."""
+        version = time.time_ns()
+        rows = f"{self.path(name)}/rows/version={version}"
+        table.write.parquet(rows)
+        written_rows = self.spark.read.parquet(rows)
+        told = (written_rows if walks is None else walks).select("walk_id").distinct()
+        append(told.withColumn("version", F.lit(version)), f"{self.path(name)}/versions")
+        return written_rows
+
+    def log(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
-    def write(self, name: str, table: DataFrame) -> DataFrame:
-        table.write.mode("overwrite").parquet(self.path(name))
-        return self.read(name)
-
     def append(self, name: str, table: DataFrame) -> None:
         append(table, self.path(name))
 
 
-class Clock:
-    """Reports stages to a progress callback and keeps their wall time.
+class Progress:
+    """Tells a callback about stages and keeps what it told.
 
-    `progress(stage, status)` is called with 'running' and 'done'. A stage that
-    starts again starts afresh.
+    `tell(stage, status, count)` is called with 'running' and 'done'; `count` is the
+    number of rows a stage came to, if it has one.
     """
 
-    def __init__(self, progress: Callable[[str, str], None] | None = None):
-        self.progress = progress or (lambda stage, status: None)
-        self.seconds: dict[str, float] = {}
-        self._since: dict[str, float] = {}
+    def __init__(self, tell: Callable[[str, str, int | None], None] | None = None):
+        self.tell = tell or (lambda stage, status, count: None)
+        self.told: list[tuple[str, str, float]] = []
 
-    def running(self, stage: str) -> None:
-        self._since[stage] = time.monotonic()
-        self.progress(stage, "running")
+    def __call__(self, stage: str, status: str, count: int | None = None) -> None:
+        self.told.append((stage, status, time.monotonic()))
+        self.tell(stage, status, count)
 
-    def done(self, stage: str) -> None:
-        if stage in self._since:
-            self.seconds[stage] = round(time.monotonic() - self._since.pop(stage), 1)
-        self.progress(stage, "done")
+    def seconds(self) -> Column:
+        """Stage durations as a map column: from the last start to the end that followed."""
+        begun, took = {}, {}
+        for stage, status, at in self.told:
+            if status == "running":
+                begun[stage] = at
+            elif stage in begun:
+                took[stage] = round(at - begun[stage], 1)
+        return F.create_map(*[F.lit(x) for item in took.items() for x in item]).cast("map<string,double>")
 
-    def column(self):
-        """The seconds so far as a map column."""
-        pairs = [F.lit(x) for kv in self.seconds.items() for x in kv]
-        return F.create_map(*pairs).cast("map<string,double>")
 
-
-def progress_log(tables: StageTables, job: str) -> Callable[[str, str], None]:
+def progress_log(tables: StageTables, job: str) -> Callable[[str, str, int | None], None]:
     """A progress callback that appends to the fleet's progress log."""
-    def note(stage: str, status: str) -> None:
+    def note(stage: str, status: str, count: int | None) -> None:
         tables.append("progress", tables.spark.range(1).select(
             F.lit(job).alias("job"), F.lit(stage).alias("stage"), F.lit(status).alias("status"),
+            F.lit(count).cast("long").alias("count"),
             F.lit(time.time_ns()).alias("seq"), F.current_timestamp().alias("at")))
     return note
 
@@ -103,65 +126,80 @@ def number_faces(faces: DataFrame) -> DataFrame:
 
 def run_walks(tables: StageTables, inputs: Inputs, params: WalkParams,
               embedder: Callable, segmenter: Callable | None = None, first: str = "gate",
-              block: int = BLOCK, progress: Callable[[str, str], None] | None = None) -> DataFrame:
-    """Runs every walk from stage `first` and returns one run record per walk.
-
-    Walks that cannot go on (nothing left after the gate, no threshold) are
-    noted in the failure log and the others carry on.
+              block: int = BLOCK, progress: Callable[[str, str, int | None], None] | None = None,
+              walks: DataFrame | None = None) -> DataFrame:
+    """Runs walks from stage `first` and returns one run record per walk.
+
+    The walks are those of `walks` (walk_id) if given, else of the panoramas where the
+    run needs them, else all. Others keep their tables. Walks that cannot go on
+    (nothing left after the gate, a blank picture, no threshold) are noted in the
+    failure log, keep what they had before, and the others carry on.
     """
     if first not in STAGES or first == "stitch":
         raise ValueError(f"a run cannot be entered at {first!r}")
     enters = lambda stage: STAGES.index(first) <= STAGES.index(stage)
-    clock = Clock(progress)
+    told = Progress(progress)
     for stage in STAGES[:STAGES.index(first)]:
-        clock.done(stage)
+        told(stage, "done")
+    panos = inputs.panos
+    if panos is not None and walks is not None:
+        panos = panos.join(walks.select("walk_id").distinct(), "walk_id", "left_semi")
     if enters("faces"):
-        if inputs.panos is None:
+        if panos is None:
             raise ValueError(f"a run from {first} needs the panoramas")
-        scored = inputs.panos.withColumn("score", images.pano_sharpness(F.col("image"), params.gate))
+        going = written((panos if walks is None else walks).select("walk_id").distinct(), "walks")
+        scored = panos.withColumn("score", images.pano_sharpness(F.col("image"), params.gate))
         if enters("gate"):
-            clock.running("gate")
-            scores = tables.write("scores", scored.select("walk_id", "pano_idx", "t_sec", "score"))
-            floors = tables.write("gate_floors", frames.gate_floors(scores, params.gate))
-            sharp = tables.write("sharp", frames.above_floor(scores, floors))
+            told("gate", "running")
+            scores = tables.write("scores", scored.select("walk_id", "pano_idx", "t_sec", "score"), going)
+            floors = tables.write("gate_floors", frames.gate_floors(scores, params.gate), going)
+            sharp = tables.write("sharp", frames.above_floor(scores, floors), going)
             emptied = frames.emptied_walks(scores.select("walk_id").distinct(), sharp)
-            note_failures(tables, emptied.withColumn("message", F.lit("the gate kept no panorama")), "gate")
-            clock.done("gate")
-        clock.running("faces")
-        kept = frames.above_floor(scored, tables.read("gate_floors"))
+            note_failures(tables, emptied.withColumn("message", F.lit("no panorama passed the gate")), "gate")
+            told("gate", "done", sharp.count())
+        told("faces", "running")
+        kept = frames.above_floor(scored, tables.read("gate_floors", going))
         pictures = tables.write("face_images", images.render_faces(kept, params.faces))
-        tables.write("faces", number_faces(pictures.drop("image")))
-        clock.done("faces")
-    faces = tables.read("faces")
-    if faces.isEmpty():
-        raise RuntimeError("no faces to work with: nothing survived the gate")
+        faces = tables.write("faces", number_faces(pictures.drop("image")))
+        told("faces", "done", faces.count())
+    else:
+        faces = tables.read("faces", walks)
+    going = written(faces.select("walk_id").distinct(), "walks")
+    if going.isEmpty():
+        raise RuntimeError("the run has no faces: the gate left none")
     if enters("embed"):
-        clock.running("embed")
-        embedded = images.embed_images(tables.read("face_images").select("walk_id", "path", "image"),
+        told("embed", "running")
+        embedded = images.embed_images(tables.read("face_images", going).select("walk_id", "path", "image"),
                                        embedder, params.embed.batch_size).drop("image")
-        tables.write("vectors", faces.select("walk_id", "face_idx", "path")
-                     .join(embedded, ["walk_id", "path"])
-                     .withColumn("model", F.lit(params.embed.model_name)))
-        clock.done("embed")
+        # vectors without an image are short: one copy serves the check and the table
+        embedded = written(embedded, "embedded")
+        blank = written(embedded.filter("problem <> ''").groupBy("walk_id").agg(F.min("problem").alias("message")), "blank")
+        note_failures(tables, blank, "embed")
+        going = written(going.join(blank, "walk_id", "left_anti"), "walks")
+        made = tables.write("vectors", faces.join(going, "walk_id", "left_semi").select("walk_id", "face_idx", "path")
+                            .join(embedded.drop("problem"), ["walk_id", "path"])
+                            .withColumn("model", F.lit(params.embed.model_name)), going)
+        told("embed", "done", made.count())
     if enters("calibrate"):
         if inputs.neighbours is None:
             raise ValueError(f"a run from {first} needs the frames after the sampled ones")
-        clock.running("calibrate")
-        near = inputs.neighbours
+        told("calibrate", "running")
+        near = inputs.neighbours.join(going, "walk_id", "left_semi")
         if "embedding" not in near.columns:
             # only the frames that are compared are worth embedding
             asked = calibration.reference_frames(faces, inputs.native_fps, params.calib.samples)
             near = near.join(asked, ["walk_id", "frame_no"], "left_semi")
-            near = images.embed_images(near, embedder, params.embed.batch_size)
+            near = images.embed_images(near, embedder, params.embed.batch_size).filter("problem = ''").drop("problem")
         tables.write("calibration", calibration.calibrate(
-            faces_with_vectors(tables), near, inputs.native_fps, params.calib, block))
-        clock.done("calibrate")
-    return reselect(tables, params, segmenter, first, block, clock)
+            faces_with_vectors(tables, going), near, inputs.native_fps, params.calib, block)
+            .withColumn("model", F.lit(params.embed.model_name)), going)
+        told("calibrate", "done")
+    return reselect(tables, params, segmenter, first, block, told, going)
 
 
-def faces_with_vectors(tables: StageTables) -> DataFrame:
-    vectors = tables.read("vectors").select("walk_id", "face_idx", "embedding")
-    return tables.read("faces").join(vectors, ["walk_id", "face_idx"])
+def faces_with_vectors(tables: StageTables, walks: DataFrame | None = None) -> DataFrame:
+    vectors = tables.read("vectors", walks).select("walk_id", "face_idx", "embedding")
+    return tables.read("faces", walks).join(vectors, ["walk_id", "face_idx"])
 
 
 def note_failures(tables: StageTables, failed: DataFrame, stage: str) -> None:
@@ -171,40 +209,60 @@ def note_failures(tables: StageTables, failed: DataFrame, stage: str) -> None:
         F.lit(stage).alias("stage"), "message"))
 
 
-def requantile(tables: StageTables, params: WalkParams) -> None:
-    """Answers a new false-merge budget from the stored sketches."""
-    again = calibration.requantile(tables.read("calibration"), params.calib.false_merge_pct)
-    # the table is read while its successor is written, so it goes through a copy
-    tables.write("calibration", tables.write("calibration_next", again))
+def requantile(tables: StageTables, params: WalkParams, walks: DataFrame | None = None) -> DataFrame:
+    """Answers a new false-merge budget from the stored sketches; returns the new records.
+
+    Walks without a sketch keep their record, since only a new calibration helps them.
+    """
+    records = tables.read("calibration", walks)
+    models = records.select("walk_id", "model")
+    again = calibration.requantile(records.drop("model"), params.calib.false_merge_pct)
+    return tables.write("calibration", again.join(models, "walk_id"))
+
+
+def unfit_walks(vectors: DataFrame, records: DataFrame) -> DataFrame:
+    """Walks whose vectors are of another model than their calibration: walk_id, message."""
+    made = vectors.select("walk_id", "model").distinct()
+    other = made.join(records.select("walk_id", F.col("model").alias("_then")), "walk_id").filter("model <> _then")
+    return other.groupBy("walk_id").agg(F.concat(F.lit("calibrated with "), F.min("_then"), F.lit(", vectors of "), F.min("model")).alias("message"))
 
 
 def reselect(tables: StageTables, params: WalkParams, segmenter: Callable | None = None,
-             entered: str = "select", block: int = BLOCK, clock: Clock | None = None) -> DataFrame:
-    """Selection, masks and the run record, from stored faces, vectors and calibration."""
-    clock = clock or Clock()
-    clock.running("select")
-    records = tables.read("calibration")
-    asked = tables.read("faces").select("walk_id").distinct().select(
-        "walk_id", F.lit(params.dedup.rule).alias("rule"), F.lit(params.dedup.tau).alias("tau"))
-    thresholds = selection.threshold_rule(asked, records)
-    note_failures(tables, thresholds.filter("problem <> ''")
-                  .withColumnRenamed("problem", "message"), "select")
+             entered: str = "select", block: int = BLOCK, progress: Progress | None = None,
+             walks: DataFrame | None = None) -> DataFrame:
+    """Selection, masks and the run record, from stored faces, vectors and calibration.
+
+    Only walks that have a threshold are selected anew; the others are noted as failed
+    and keep the set they had.
+    """
+    told = progress or Progress()
+    told("select", "running")
+    records = tables.read("calibration", walks)
+    asked = tables.read("vectors", walks).select("walk_id").distinct()
+    if params.dedup.rule != "fixed":
+        unfit = written(unfit_walks(tables.read("vectors", walks), records), "unfit")
+        note_failures(tables, unfit, "select")
+        asked = asked.join(unfit, "walk_id", "left_anti")
+    asked = asked.select("walk_id", F.lit(params.dedup.rule).alias("rule"), F.lit(params.dedup.tau).alias("tau"))
+    thresholds = written(selection.threshold_rule(asked, records), "thresholds")
+    note_failures(tables, thresholds.filter("problem <> ''").withColumnRenamed("problem", "message"), "select")
+    able = thresholds.filter("problem = ''").select("walk_id")
     manifest = tables.write("manifest", selection.select_faces(
-        faces_with_vectors(tables), thresholds, params.dedup, block))
-    clock.done("select")
+        faces_with_vectors(tables, able), thresholds, params.dedup, block))
+    told("select", "done", manifest.filter("kept").count())
     if params.segment.enabled and segmenter is not None:
-        clock.running("segment")
+        told("segment", "running")
         masks = tables.write("masks", segmentation.segment_kept(
-            tables.read("face_images").select("walk_id", "path", "image"), manifest, segmenter))
-        clock.done("segment")
+            tables.read("face_images", able).select("walk_id", "path", "image"), manifest, segmenter), able)
+        told("segment", "done", masks.count())
     else:
         # masks belong to the set they were made for
         masks = tables.write("masks", manifest.limit(0).select(
-            "walk_id", "path", F.lit(0).alias("height"), F.lit(0).alias("width"), F.lit(b"").alias("mask")))
+            "walk_id", "path", F.lit(0).alias("height"), F.lit(0).alias("width"), F.lit(b"").alias("mask")), able)
     segmented = masks.groupBy("walk_id").agg(F.count(F.lit(1)).alias("segmented"))
     run = time.time_ns()
     rows = (run_rows(manifest, records, thresholds, params.embed.model_name, entered)
-            .withColumn("seconds", clock.column())
+            .withColumn("seconds", told.seconds())
             .withColumn("at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
             .join(segmented, "walk_id", "left").withColumn("segmented", F.coalesce("segmented", F.lit(0))))
     latest = tables.write("last_run", rows)
