@@ -191,7 +191,7 @@ def languages(docs: DataFrame, network: Network) -> DataFrame:
     return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def only_known_languages(docs: DataFrame, network: Network, least: float = 0.5) -> DataFrame:
+def only_known_languages(docs: DataFrame, network: Network, least: float = 0.35) -> DataFrame:
     """The rows, all columns, whose text is in a learned language with at least this score."""
     at = docs.columns.index("text")
 
