@@ -16,6 +16,19 @@ def test_integer_ordinal_of_a_hot_group(spark):
     assert [r.at for r in got if r.g == "cold"] == [0]
 
 
+@pytest.mark.parametrize("spacing", [1, 1_000, 10**12])
+def test_sparse_keys_make_few_and_small_chunks(spark, spacing):
+    """Nanosecond-like keys: neither one row per chunk nor all rows in one."""
+    keys = [10**18 + spacing * k + (k % 7) * (spacing > 1) for k in range(2000)]
+    df = spark.createDataFrame([("g", k) for k in keys], "g string, k long").repartition(3)
+    sizes = [r["count"] for r in ordinals.chunked(df, ["g"], "k", 100).groupBy("g", "_chunk").count().collect()]
+    assert max(sizes) <= 200 and len(sizes) <= 40
+    got = {r.k: r.at for r in ordinals.integer_ordinal(df, ["g"], "k", "at", size=100).collect()}
+    assert got == {k: i for i, k in enumerate(sorted(keys))}
+    last = ordinals.previous_row(df, ["g"], "k", ["k"], size=100).filter(F.col("k") == max(keys)).first()
+    assert last.previous.k == sorted(keys)[-2]
+
+
 def test_sorted_ordinal(spark):
     rng = np.random.default_rng(1)
     data = [(int(g), float(v), i) for i, (g, v) in enumerate(zip(rng.choice([1, 1, 1, 2, 3], 700), rng.integers(0, 20, 700)))]

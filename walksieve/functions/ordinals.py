@@ -15,10 +15,18 @@ CHUNK = 1 << 16
 _EARLIER = (Window.unboundedPreceding, -1)
 
 
-def chunk_of(key: Column, size: int = CHUNK) -> Column:
-    """The first key value of a row's chunk; whole-number arithmetic throughout."""
-    whole = key.cast("long")
-    return whole - F.pmod(whole, F.lit(size))
+def chunked(df: DataFrame, group: list[str], key: str, size: int = CHUNK) -> DataFrame:
+    """Adds `_chunk`, a number that grows with the integer `key` within its group.
+
+    A group of n rows has about n / size chunks, each covering an equal range of its
+    keys. So dense keys (positions) and sparse ones (nanoseconds, ids of a shared
+    sequence) both give chunks of about `size` rows, and few of them.
+    """
+    whole = F.col(key).cast("long")
+    span = df.groupBy(*group).agg(F.min(whole).alias("_low"), F.max(whole).alias("_high"), F.count(F.lit(1)).alias("_rows"))
+    pieces = F.expr(f"(_rows + {size - 1}) div {size}")
+    span = span.withColumn("_pieces", pieces).select(*group, "_low", F.expr("(_high - _low) div _pieces + 1").alias("_width"))
+    return df.join(span, group).withColumn("_chunk", F.expr(f"(cast(`{key}` as long) - _low) div _width")).drop("_low", "_width")
 
 
 def _offsets(sizes: DataFrame, group: list[str], piece: str) -> DataFrame:
@@ -32,10 +40,9 @@ def integer_ordinal(df: DataFrame, group: list[str], key: str, out: str,
                     size: int = CHUNK) -> DataFrame:
     """Adds the 0-based position by `key`, an integer unique in its group.
 
-    A chunk covers `size` consecutive key values, so it holds at most `size`
-    rows however large the group is.
+    No window spans more than a chunk of about `size` rows, or a group's chunks.
     """
-    cutup = df.withColumn("_chunk", chunk_of(F.col(key), size))
+    cutup = chunked(df, group, key, size)
     sizes = cutup.groupBy(*group, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     here = Window.partitionBy(*group, "_chunk").orderBy(key)
     return (cutup.withColumn("_within", F.row_number().over(here) - 1)
@@ -70,7 +77,7 @@ def previous_row(df: DataFrame, group: list[str], key: str, columns: list[str],
     The first row of a chunk takes its value from the last row of the nearest
     earlier chunk of its group.
     """
-    cutup = df.withColumn("_chunk", chunk_of(F.col(key), size))
+    cutup = chunked(df, group, key, size)
     here = Window.partitionBy(*group, "_chunk").orderBy(key)
     value = F.struct(*columns)
     last = cutup.groupBy(*group, "_chunk").agg(F.max_by(value, F.col(key)).alias("_last"))

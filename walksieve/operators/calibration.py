@@ -89,14 +89,19 @@ def far_quantiles(faces: DataFrame, histogram: DataFrame, calib: Calib = Calib()
     keys = ["walk_id", "n", "pct", "top", "i", "rank"]
     ends = cut(rows.select("walk_id", "n", "pct", "top", "w.i", "w.rank",
                            *_located(F.col("w.cell"), F.col("w.rank"))))
+    spread = None
     unsettled = F.lit(False)
     for name in _STATS:
         unsettled = unsettled | (F.col(f"{name}_low") != F.col(f"{name}_high"))
     while True:
         bounds = _bounds(ends)
         unclear = bounds.filter(unsettled).select("walk_id")
-        if unclear.isEmpty():
+        left = ends.agg(F.sum(F.col("high") - F.col("low"))).first()[0]
+        # products summed in another order may fall outside bounds by a last bit; then
+        # nothing is narrowed any more, and the lower bound is as good as the upper one
+        if unclear.isEmpty() or (spread is not None and left >= spread):
             break
+        spread = left
         ranges = written(
             ends.join(unclear, "walk_id", "left_semi").filter("low < high").groupBy("walk_id")
             .agg(F.collect_list(F.struct("i", "low", "high")).alias("ranges")), "ranges")

@@ -34,14 +34,12 @@ def recording_catalogue(files: DataFrame) -> DataFrame:
         F.min_by(F.struct("name", "width", "height", "shot_date", "shot_time"),
                  F.struct((~front).alias("other"), F.col("file_no"))).alias("_f"),
         F.count(F.lit(1)).alias("files"), F.max(front).alias("_has_front"),
-        F.max(F.col("name").contains(BACK)).alias("_has_back"))
-    sibling = files.select(F.col("name").alias("back_lens")).distinct()
+        F.max(F.col("name").contains(BACK)).alias("_has_back"),
+        F.collect_set("name").alias("_names"))        # a recording's own few files
     video = F.col("_f.name")
-    # names that cannot have a sibling keep a key of their own, so that none is shared
-    expected = F.when(video.contains(FRONT), F.replace(video, F.lit(FRONT), F.lit(BACK))) \
-        .otherwise(F.concat(F.lit("/"), F.col("recording_id").cast("string")))
-    rows = (listed.withColumn("_want", expected)
-            .join(sibling, F.col("_want") == F.col("back_lens"), "left")
+    sibling = F.replace(video, F.lit(FRONT), F.lit(BACK))
+    there = video.contains(FRONT) & F.array_contains("_names", sibling)
+    rows = (listed.withColumn("back_lens", F.when(there, sibling))
             .withColumn("circles", circles_per_frame(F.col("_f.width"), F.col("_f.height"))))
     stamp = shot_stamp(video)
     problem = (F.when(F.col("_has_back") & ~F.col("_has_front"), "back lens only")
