@@ -325,9 +325,13 @@ def meta_changes(spark, sf_dir) -> DataFrame:
     value = (F.when(field == "mount_height_cm", (100 + F.col("o_orderkey") % 200).cast("string"))
              .when(F.col("o_orderstatus") == "P", "")
              .otherwise(F.concat(F.lit("v"), F.col("o_orderkey").cast("string"))))
+    # every third order sets the camera too, in the same change set
+    own = F.struct(field.alias("field"), value.alias("value"))
+    camera = F.struct(F.lit("camera").alias("field"), F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("value"))
+    both = F.when(F.col("o_orderkey") % 3 == 0, F.array(own, camera)).otherwise(F.array(own))
     return table(spark, sf_dir, "orders").select(
-        (F.col("o_custkey") * 2).alias("walk_id"), F.col("o_orderkey").alias("seq"),
-        field.alias("field"), value.alias("value"))
+        (F.col("o_custkey") * 2).alias("walk_id"), F.col("o_orderkey").alias("seq"), F.explode(both).alias("c")) \
+        .select("walk_id", "seq", "c.field", "c.value")
 
 
 def forgotten(spark, sf_dir) -> DataFrame:

@@ -109,13 +109,15 @@ CTES = {
                     WHEN o_orderstatus = 'P' THEN '' ELSE 'v' || o_orderkey END AS value
         FROM (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'site' WHEN '2-HIGH' THEN 'building'
                  WHEN '3-MEDIUM' THEN 'floor' WHEN '4-NOT SPECIFIED' THEN 'mount_height_cm' ELSE 'colour' END AS field
-              FROM orders)""",
+              FROM orders)
+        UNION ALL SELECT o_custkey * 2, o_orderkey, 'camera', 'c' || o_orderkey FROM orders WHERE o_orderkey % 3 = 0""",
     "patches": """
         SELECT walk_id, arg_max(value, seq) FILTER (WHERE field = 'site') AS p_site,
                arg_max(value, seq) FILTER (WHERE field = 'building') AS p_building,
                arg_max(value, seq) FILTER (WHERE field = 'floor') AS p_floor,
-               arg_max(value, seq) FILTER (WHERE field = 'mount_height_cm') AS p_mount
-        FROM changes WHERE field <> 'colour' GROUP BY walk_id""",
+               arg_max(value, seq) FILTER (WHERE field = 'mount_height_cm') AS p_mount,
+               arg_max(value, seq) FILTER (WHERE field = 'camera') AS p_camera
+        FROM changes WHERE (walk_id, seq) NOT IN (SELECT (walk_id, seq) FROM changes WHERE field = 'colour') GROUP BY walk_id""",
     "gone": "SELECT DISTINCT o_custkey AS walk_id FROM orders WHERE o_totalprice > 400000",
     # ---- pairs and thresholds
     "far": """
@@ -271,7 +273,7 @@ _META = """
     SELECT {key} AS walk_id, coalesce(p_site, site, '') AS site, coalesce(p_building, building, '') AS building,
            coalesce(p_floor, floor, '') AS floor, coalesce(stage, '') AS stage, coalesce(operator, '') AS operator,
            coalesce(TRY_CAST(p_mount AS INT), mount_height_cm) AS mount_height_cm, coalesce(shot_date, '') AS shot_date,
-           coalesce(shot_time, '') AS shot_time, coalesce(camera, '') AS camera
+           coalesce(shot_time, '') AS shot_time, coalesce(p_camera, camera, '') AS camera
     FROM walks w {join} JOIN patches p ON p.walk_id = w.walk_id"""
 
 _WALKS = """

@@ -149,6 +149,11 @@ def test_metadata(spark):
     assert [r.walk_id for r in metadata.patch(walks, changes).collect()] == [0]
     assert [(r.walk_id, r.changes) for r in metadata.patch_missing(walks, changes).collect()] == [(9, 2)]
     assert [r.field for r in metadata.unknown_fields(changes).collect()] == ["colour"]
+    # a change set with an unknown field is refused as a whole
+    more = changes.unionByName(spark.createDataFrame([(9, 5, "floor", "3"), (9, 6, "floor", "2")], changes.schema))
+    assert {r.walk_id: r.floor for r in metadata.upsert(walks, more).collect()}[9] == "2"
+    assert {r.walk_id: r.floor for r in metadata.upsert(walks, more.filter("seq < 6")).collect()}[9] == ""
+    assert [(r.walk_id, r.seq, r.fields) for r in metadata.refused_sets(more).collect()] == [(9, 5, ["colour"])]
     assert metadata.forget(walks, walks.select("walk_id")).count() == 0
 
 

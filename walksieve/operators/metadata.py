@@ -1,7 +1,8 @@
 """Walk metadata: upsert, patch and removal.
 
 Changes come as rows (walk_id, seq, field, value): one row per field supplied,
-value as text. The latest row per walk and field holds.
+value as text. Rows of one walk and seq are one change set; a set that names an
+unknown field is refused as a whole. The latest row per walk and field holds.
 """
 
 from __future__ import annotations
@@ -19,13 +20,18 @@ def unknown_fields(changes: DataFrame) -> DataFrame:
     return changes.filter(~F.col("field").isin(*META_FIELDS))
 
 
+def refused_sets(changes: DataFrame) -> DataFrame:
+    """walk_id, seq, fields: change sets with fields that do not exist."""
+    return unknown_fields(changes).groupBy("walk_id", "seq").agg(F.array_sort(F.collect_set("field")).alias("fields"))
+
+
 def latest_changes(changes: DataFrame) -> DataFrame:
     """One row per walk: the last supplied value of each field, NULL if none."""
     def last(field: str) -> Column:
         mine = (F.col("field") == field) & F.col("value").isNotNull()
         return F.max_by("value", F.when(mine, F.col("seq"))).alias(field)
 
-    known = changes.filter(F.col("field").isin(*META_FIELDS))
+    known = changes.join(unknown_fields(changes), ["walk_id", "seq"], "left_anti")
     return known.groupBy("walk_id").agg(*[last(f) for f in META_FIELDS])
 
 

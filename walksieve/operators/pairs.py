@@ -74,10 +74,7 @@ def _slim(faces: DataFrame) -> DataFrame:
 
 
 class _Cells:
-    """Counts, lowest and highest value of numbered cells, gathered strip by strip.
-
-    `place` gives the cells of ascending values, in ascending order.
-    """
+    """Counts, lowest and highest value of numbered cells, gathered strip by strip."""
 
     def __init__(self, size: int, place):
         self.place, self.count = place, np.zeros(size, np.int64)
@@ -86,14 +83,10 @@ class _Cells:
     def add(self, value: np.ndarray) -> None:
         if not len(value):
             return
-        value = np.sort(value)
         cell = self.place(value)
-        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        end = np.r_[start[1:], len(cell)]
-        at = cell[start]
-        self.count[at] += end - start
-        self.low[at] = np.minimum(self.low[at], value[start])
-        self.high[at] = np.maximum(self.high[at], value[end - 1])
+        self.count += np.bincount(cell, minlength=len(self.count))
+        np.minimum.at(self.low, cell, value)
+        np.maximum.at(self.high, cell, value)
 
     def table(self, **named: tuple) -> pa.Table:
         """The cells in use; `named` are columns of one value each, as (value, type)."""
@@ -117,7 +110,7 @@ def far_histogram(faces: DataFrame, far_seconds: float, size: int = BLOCK) -> Da
     pairs, low, high.
     """
     def place(value):
-        if max(-value[0], value[-1]) > 1.01:
+        if max(-value.min(), value.max()) > 1.01:
             raise ValueError("cosine over 1: the vectors are not of unit length")
         return np.rint(value * BINS).astype(np.int64) + _MIDDLE
 
