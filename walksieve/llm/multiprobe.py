@@ -186,7 +186,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         return F.concat_ws("/", "dim", "tab", spread)
 
     laid = index.join(hot, place, "left").withColumn("chunk", chunk).select("vec_id", "v", "tab", "bucket", bundle(F.col("chunk")).alias("bundle"))
-    visits = asking.mapInPandas(_probing, "query_id long, dim int, tab int, buckets array<bigint>").select("query_id", "dim", "tab", F.explode("buckets").alias("bucket"))
+    # as many tasks as there are bundles, however few files the queries are in
+    visits = asking.repartition(bundles, "vec_id").mapInPandas(_probing, "query_id long, dim int, tab int, buckets array<bigint>").select("query_id", "dim", "tab", F.explode("buckets").alias("bucket"))
     visits = visits.join(hot, place, "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
     visits = visits.groupBy("query_id", bundle(F.col("chunk")).alias("bundle")).agg(F.collect_set("bucket").alias("buckets"))
     visits = visits.join(asking.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
