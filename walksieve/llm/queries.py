@@ -50,7 +50,7 @@ def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "flat-tokens")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     separators.write_flat(table(spark, sf_dir, "documents"), path, ranks, public_tokenizers.PATTERN, FLAT_END)
-    return separators.token_counts(spark.read.parquet(path), FLAT_END).select("doc_id", "n_tokens")
+    return separators.token_counts(spark.read.parquet(path), FLAT_END)
 
 
 def op7_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +73,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_repair_shards, op3_temperature_mixing, op4_bounded_ring, op5_url_filter,
                             op6_separator_scan, op7_multiprobe, op8_simhash, op9_leaks, op10_pii)}
 
-SQL: dict[str, str] = {}
+_SHINGLED = """
+    SELECT r, {key}, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
+           ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s
+    FROM (SELECT row_number() OVER () AS r, {key}, list_filter(string_split_regex(
+              translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+          FROM {table})"""
+
+#: Only exact containment can be said in SQL; the others rest on XXH64, tokenizers or trained models.
+SQL: dict[str, str] = {"op9_leaks": f"""
+    WITH d AS ({_SHINGLED.format(key="doc_id", table="documents")}), i AS ({_SHINGLED.format(key="item_id", table="benchmark")}),
+         n AS (SELECT r, count(*) AS n FROM i GROUP BY r)
+    SELECT item_id, doc_id, count(*) AS shared, any_value(n) AS item_shingles, count(*) / any_value(n) AS containment
+    FROM d JOIN i USING (s) JOIN n ON n.r = i.r GROUP BY i.r, item_id, d.r, doc_id HAVING count(*) >= 0.8::DOUBLE * any_value(n)"""}
