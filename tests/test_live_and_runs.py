@@ -6,7 +6,7 @@ from walksieve.operators import images, review, segmentation
 from walksieve.params import Calib, Dedup, Faces, Gate, Segment, WalkParams
 from walksieve.operators import fleet
 from walksieve.plans.walk_run import (Inputs, StageTables, number_faces, progress_log, requantile,
-                                      reselect, run_walks)
+                                      reselect, run_entries, run_walks)
 from walksieve.sources.tables import parse_runs
 from walksieve.streaming import live_views
 from tests.test_images import table
@@ -127,8 +127,7 @@ def test_a_run_touches_its_own_walks_only(spark, walk, tmp_path):
     only = lambda walk_id: both.select("walk_id").distinct().filter(F.col("walk_id") == walk_id)
     first, second = rows(0), rows(1)
     assert first["manifest"] and second["manifest"] and first["calibration"]
-    # a run with one walk's panoramas, and one of both restricted to it
-    run_walks(tables, Inputs(both.filter("walk_id = 1"), near, 30.0), params, images.grid_embedder(4))
+    # a run of both restricted to one
     run_walks(tables, Inputs(both, near, 30.0), params, images.grid_embedder(4), walks=only(1))
     assert rows(0) == first
     fixed = WalkParams(faces=Faces(size=8), dedup=Dedup(rule="fixed", tau=0.9999))
@@ -146,6 +145,15 @@ def test_a_run_touches_its_own_walks_only(spark, walk, tmp_path):
     reselect(tables, params)
     assert rows(0)["manifest"] == changed["manifest"]
     assert {(r.walk_id, r.stage) for r in fleet.latest_failures(tables.log("failures")).collect()} == {(0, "select")}
+    # settings are stored by the run, and plans made from them are acted on
+    assert {(r.section, r.field, r.value) for r in tables.read("settings", only(0)).collect()} >= {("dedup", "rule", '"fixed"'), ("faces", "size", "8")}
+    asked = spark.createDataFrame([(1, 0, "dedup", "tau", "0.9998"), (2, 1, "dedup", "solo_floor", "0.50")], "request_id long, walk_id long, section string, field string, value string")
+    plan = fleet.rerun_plan(tables.read("settings"), asked, both.select("walk_id").limit(0))
+    assert [(r.walk_id, r.outcome, r.first_stage) for r in plan.orderBy("request_id").collect()] == [(0, "inline", "select"), (1, "unchanged", None)]
+    again = WalkParams(faces=Faces(size=8), dedup=Dedup(rule="fixed", tau=0.9998))
+    ran = run_entries(tables, Inputs(), plan.select("walk_id", F.col("first_stage").alias("enter_at")), again, images.grid_embedder(4))
+    assert [(r.walk_id, r.entered) for r in ran.collect()] == [(0, "select")]
+    changed = rows(0)
     # vectors of another model than the calibration's
     tables.write("vectors", tables.read("vectors").filter("walk_id = 1").withColumn("model", F.lit("other")))
     reselect(tables, params)

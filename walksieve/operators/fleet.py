@@ -200,9 +200,9 @@ def setting_allowed(section: Column, field: Column, value: Column) -> Column:
     return value_allowed(at, read_setting(at, value))
 
 
-def default_settings() -> dict[str, str]:
-    """JSON text of every setting that a walk has unless it is stored otherwise."""
-    return {f"{section}.{name}": json.dumps(value) for section, values in WalkParams().to_dict().items()
+def settings_text(params: WalkParams) -> dict[str, str]:
+    """JSON text of every setting that can be patched, by section.field."""
+    return {f"{section}.{name}": json.dumps(value) for section, values in params.to_dict().items()
             if section in SECTION_STAGE for name, value in values.items()}
 
 
@@ -218,7 +218,7 @@ def rerun_plan(stored: DataFrame, patches: DataFrame, has_sketch: DataFrame) ->
     """
     stage_of = F.element_at(F.create_map(*[F.lit(x) for kv in SECTION_STAGE.items() for x in kv]),
                             F.col("section"))
-    default = F.create_map(*[F.lit(x) for kv in default_settings().items() for x in kv])
+    default = F.create_map(*[F.lit(x) for kv in settings_text(WalkParams()).items() for x in kv])
     current = stored.select("walk_id", "section", "field", F.col("value").alias("_stored"))
     name = F.concat_ws(".", "section", "field")
     rows = (patches.filter("value IS NOT NULL")

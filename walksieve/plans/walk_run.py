@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from walksieve.functions.ordinals import integer_ordinal
 from walksieve.operators import calibration, frames, images, segmentation, selection
-from walksieve.operators.fleet import run_rows
+from walksieve.operators.fleet import run_rows, settings_text
 from walksieve.operators.pairs import BLOCK
 from walksieve.params import STAGES, WalkParams
 from walksieve.session import written
@@ -220,6 +220,34 @@ def requantile(tables: StageTables, params: WalkParams, walks: DataFrame | None
     return tables.write("calibration", again.join(models, "walk_id"))
 
 
+def settings_rows(walks: DataFrame, params: WalkParams) -> DataFrame:
+    """walk_id, section, field, value (JSON text): what `fleet.rerun_plan` reads as stored."""
+    pairs = [F.struct(*[F.lit(x).alias(n) for n, x in zip(("section", "field", "value"), (*name.split("."), text))])
+             for name, text in settings_text(params).items()]
+    return walks.select("walk_id", F.explode(F.array(*pairs)).alias("s")).select("walk_id", "s.*")
+
+
+def run_entries(tables: StageTables, inputs: Inputs, entries: DataFrame, params: WalkParams, embedder: Callable,
+                segmenter: Callable | None = None, block: int = BLOCK,
+                progress: Callable[[str, str, int | None], None] | None = None) -> DataFrame | None:
+    """Runs walks that enter at different stages: `entries` is walk_id, enter_at.
+
+    That is what a re-run plan (`first_stage`) or a retry plan asks for; 'start' and
+    'stitch' enter at the gate, once the panoramas are there. Walks of one stage run
+    together, so there are at most as many runs as stages. Returns the run records.
+    """
+    at = F.when(F.col("enter_at").isin("start", "stitch"), "gate").otherwise(F.col("enter_at"))
+    asked = written(entries.filter("enter_at IS NOT NULL").select("walk_id", at.alias("enter_at")), "entries")
+    stages = {r[0] for r in asked.select("enter_at").distinct().collect()}
+    done = None
+    for first in (s for s in STAGES if s in stages):
+        walks = asked.filter(F.col("enter_at") == first).select("walk_id")
+        ran = reselect(tables, params, segmenter, first, block, Progress(progress), walks) if first in ("select", "segment") else \
+            run_walks(tables, inputs, params, embedder, segmenter, first, block, progress, walks)
+        done = ran if done is None else done.unionByName(ran)
+    return done
+
+
 def unfit_walks(vectors: DataFrame, records: DataFrame) -> DataFrame:
     """Walks whose vectors are of another model than their calibration: walk_id, message."""
     made = vectors.select("walk_id", "model").distinct()
@@ -266,6 +294,7 @@ def reselect(tables: StageTables, params: WalkParams, segmenter: Callable | None
             .withColumn("at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
             .join(segmented, "walk_id", "left").withColumn("segmented", F.coalesce("segmented", F.lit(0))))
     latest = tables.write("last_run", rows)
+    tables.write("settings", settings_rows(able, params))
     tables.append("runs", run_line(latest.drop("segmented")).withColumn("seq", F.lit(run)))
     tables.append("failures", latest.select(
         "walk_id", F.lit(time.time_ns()).alias("seq"), F.lit("finished").alias("kind"),
