@@ -54,13 +54,17 @@ class StageTables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def read(self, name: str, walks: DataFrame | None = None) -> DataFrame:
-        """The current rows of all walks, or of those in `walks`."""
+    def read(self, name: str, walks: DataFrame | None = None, wide: bool = False) -> DataFrame:
+        """The current rows of all walks, or of those in `walks`.
+
+        For `wide` rows (images) the list of versions is written first: the planner then
+        knows its size and sends it to the rows rather than the rows to it.
+        """
         newest = self.spark.read.parquet(f"{self.path(name)}/versions").groupBy("walk_id").agg(F.max("version").alias("version"))
         if walks is not None:
             newest = newest.join(walks.select("walk_id").distinct(), "walk_id", "left_semi")
-        # a short table of known size, so that it is sent to the rows rather than they to it
-        newest = written(newest, "newest")
+        if wide:
+            newest = written(newest, "newest")
         rows = self.spark.read.parquet(f"{self.path(name)}/rows")
         return rows.join(newest, ["walk_id", "version"], "left_semi").drop("version")
 
@@ -169,7 +173,7 @@ def run_walks(tables: StageTables, inputs: Inputs, params: WalkParams,
         raise RuntimeError("the run has no faces: the gate left none")
     if enters("embed"):
         told("embed", "running")
-        embedded = images.embed_images(tables.read("face_images", going).select("walk_id", "path", "image"),
+        embedded = images.embed_images(tables.read("face_images", going, wide=True).select("walk_id", "path", "image"),
                                        embedder, params.embed.batch_size).drop("image")
         # vectors without an image are short: one copy serves the check and the table
         embedded = written(embedded, "embedded")
@@ -281,7 +285,7 @@ def reselect(tables: StageTables, params: WalkParams, segmenter: Callable | None
     if params.segment.enabled and segmenter is not None:
         told("segment", "running")
         masks = tables.write("masks", segmentation.segment_kept(
-            tables.read("face_images", able).select("walk_id", "path", "image"), manifest, segmenter), able)
+            tables.read("face_images", able, wide=True).select("walk_id", "path", "image"), manifest, segmenter), able)
         told("segment", "done", masks.count())
     else:
         # masks belong to the set they were made for
