@@ -50,7 +50,7 @@ def test_copies_of_one_original_all_go(docs_of):
     assert kept(docs_of, rows) == expected(rows) == {0}
 
 
-@pytest.mark.parametrize("stars", [0, 1, 3])
+@pytest.mark.parametrize("stars", [0, 2])
 def test_open_links_of_joined_classes_are_followed(docs_of, monkeypatch, stars):
     pick = np.random.default_rng(2)
     rows = star(pick, 0, 60, 3) + [(100 + d, t) for d, t in star(pick, 0, 30, 4)[1:]] + star(pick, 1000, 40, 8)
