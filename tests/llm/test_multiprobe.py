@@ -66,3 +66,28 @@ def test_fewer_vectors_than_asked(spark):
     assert [(r.rank, r.vec_id) for r in multiprobe.nearest(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(1, 2), (2, 1)]
     assert multiprobe.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert multiprobe.nearest(df.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [64, 4096])
+def test_a_repeated_id_takes_one_place(spark, monkeypatch, chunk):
+    monkeypatch.setattr(multiprobe, "CHUNK", chunk)
+    pick = np.random.default_rng(4)
+    x = pick.normal(size=(40, 8))
+    rows = [(i + 1, v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())]
+    # id 41 is near the query in 200 different vectors, id 42 in 100 equal ones
+    rows += [(41, (x[0] + 0.01 * pick.normal(size=8)).tolist()) for _ in range(200)] + [(42, (x[0] * 1.5 + 0.01).tolist())] * 100
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = multiprobe.nearest(df, F.col("vec_id") == 0).collect()
+    ids = [r.vec_id for r in sorted(got, key=lambda r: r.rank)]
+    assert len(ids) == len(set(ids)) == 5 and {1, 41, 42} <= set(ids)
+    assert recall(got, {0: distinct(rows, 0)}) >= (1 if chunk == 4096 else 0.6)
+
+
+def distinct(rows, query, k=5):
+    """The query's nearest ids, each by its best vector."""
+    a, best = np.array(next(v for i, v in rows if i == query)), {}
+    for i, v in rows:
+        if i != query:
+            c = float(np.dot(a, v) / (np.linalg.norm(a) * np.linalg.norm(v)))
+            best[i] = max(best.get(i, -2), c)
+    return sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]

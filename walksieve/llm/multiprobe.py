@@ -134,6 +134,7 @@ def _searcher(k: int):
             unit = _units(v)
             names, begin = np.unique(vectors["bucket"].to_numpy(), return_index=True)
             end = np.append(begin[1:], len(ids))
+            first = np.append(True, (ids[1:] != ids[:-1]) | (vectors["bucket"].to_numpy()[1:] != vectors["bucket"].to_numpy()[:-1]))
             asker, q = queries["query_id"].to_numpy(), _matrix(queries["v"])
             q_unit = _units(q)
             visits = [names if b is None else np.intersect1d(names, b) for b in queries["buckets"]]
@@ -149,15 +150,27 @@ def _searcher(k: int):
                     rows = of[some:min(some + 512, upto)]
                     rough = np.round(q_unit[rows] @ unit[lo:hi].T, 12)
                     rough[asker[rows][:, None] == ids[None, lo:hi]] = -2
-                    best = np.argsort(-rough, axis=1, kind="stable")[:, :wide]
-                    row = np.repeat(rows, best.shape[1])
-                    near = best.ravel()[(np.take_along_axis(rough, best, axis=1) > -2).ravel()]
-                    row = row[(np.take_along_axis(rough, best, axis=1) > -2).ravel()]
-                    out.append(np.stack((row, near + lo)))
+                    # a vec_id takes one place, however many vectors it has here
+                    starts = np.flatnonzero(first[lo:hi])
+                    sizes = np.diff(np.append(starts, hi - lo))
+                    by_id = np.maximum.reduceat(rough, starts, axis=1)
+                    best = np.argsort(-by_id, axis=1, kind="stable")[:, :wide]
+                    near = starts[best]
+                    for several in np.unique(best[sizes[best] > 1]):
+                        at_row, at_place = np.nonzero(best == several)
+                        s = starts[several]
+                        near[at_row, at_place] = s + np.argmax(rough[at_row, s:s + sizes[several]], axis=1)
+                    fine = (np.take_along_axis(by_id, best, axis=1) > -2).ravel()
+                    out.append(np.stack((np.repeat(rows, best.shape[1])[fine], near.ravel()[fine] + lo)))
         if not out:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         row, near = np.concatenate(out, axis=1)
         score = (q[row] * v[near]).sum(axis=1) / (np.sqrt((q * q).sum(axis=1))[row] * np.sqrt((v * v).sum(axis=1))[near])
+        order = np.lexsort((-score, ids[near], row))
+        row, near, score = row[order], near[order], score[order]
+        other = np.ones(len(row), dtype=bool)
+        other[1:] = (row[1:] != row[:-1]) | (ids[near][1:] != ids[near][:-1])
+        row, near, score = row[other], near[other], score[other]
         order = np.lexsort((ids[near], -score, row))
         row, near, score = row[order], near[order], score[order]
         keep = np.arange(len(row)) - np.searchsorted(row, row) < wide
@@ -171,7 +184,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
 
     `is_query` is a condition on vec_id; all usable rows are candidates.
     """
-    rows = written(usable(vectors), "vectors")
+    rows = written(usable(vectors).distinct(), "vectors")
     bundles = 1 + rows.count() // CHUNK
     asking = rows.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "dim")).alias("s")).select("vec_id", "s.v", "s.dim")
     asking = written(asking, "queries")
@@ -179,7 +192,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
                     else rows.mapInPandas(_hashed, "vec_id long, v array<double>, dim int, tab int, bucket long"), "hashed")
     place = ["dim", "tab", "bucket"]
     hot = written(index.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select(*place, F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "hot-buckets")
-    chunk = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.coalesce("chunks", F.lit(1))).cast("int")
+    chunk = F.pmod(F.xxhash64("vec_id", "v", F.lit(3)), F.coalesce("chunks", F.lit(1))).cast("int")
 
     def bundle(chunk_column):
         spread = F.pmod(F.xxhash64("bucket", chunk_column), F.lit(bundles))
