@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from walksieve.llm import (language_id, leaks, mixing, multiprobe, pii, repair, ring, separators, simhash, url_filter)
+from walksieve.llm import (hard_negatives, language_id, leaks, mixing, multiprobe, packing, pii, repair, ring, separators, simhash, url_filter,
+                           whitening)
 from walksieve.session import scratch_path
 
 SHARDS = 40
@@ -69,9 +70,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
 
 
+def op11_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-blocks")
+    packing.tokens_of(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.digest(packing.pack(spark, path))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.by_component(whitening.whitened(table(spark, sf_dir, "embeddings")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_repair_shards, op3_temperature_mixing, op4_bounded_ring, op5_url_filter,
-                            op6_separator_scan, op7_multiprobe, op8_simhash, op9_leaks, op10_pii)}
+                            op6_separator_scan, op7_multiprobe, op8_simhash, op9_leaks, op10_pii, op11_mixture_packing, op12_whitening,
+                            op13_hard_negatives)}
 
 _SHINGLED = """
     SELECT r, {key}, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) <= 5 THEN [array_to_string(w, ' ')]
@@ -80,9 +97,22 @@ _SHINGLED = """
               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
           FROM {table})"""
 
-#: Only exact containment can be said in SQL; the others rest on XXH64, tokenizers or trained models.
+#: Exact containment and exact scores can be said in SQL; the others rest on XXH64, tokenizers or trained models.
 SQL: dict[str, str] = {"op9_leaks": f"""
     WITH d AS ({_SHINGLED.format(key="doc_id", table="documents")}), i AS ({_SHINGLED.format(key="item_id", table="benchmark")}),
          n AS (SELECT r, count(*) AS n FROM i GROUP BY r)
     SELECT item_id, doc_id, count(*) AS shared, any_value(n) AS item_shingles, count(*) / any_value(n) AS containment
-    FROM d JOIN i USING (s) JOIN n ON n.r = i.r GROUP BY i.r, item_id, d.r, doc_id HAVING count(*) >= 0.8::DOUBLE * any_value(n)"""}
+    FROM d JOIN i USING (s) JOIN n ON n.r = i.r GROUP BY i.r, item_id, d.r, doc_id HAVING count(*) >= 0.8::DOUBLE * any_value(n)""",
+    "op13_hard_negatives": """
+    WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+               FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+         s AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS alike, list_dot_product(a.v, r.v)::BIGINT AS score
+               FROM r AS a JOIN r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+         p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+               QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+         n AS (SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+                      vec_id AS negative_id, positive_score, score AS negative_score
+               FROM p JOIN s USING (anchor_id) WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+    SELECT * FROM n WHERE rank <= 10"""}
