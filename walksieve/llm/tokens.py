@@ -3,22 +3,29 @@
 In a byte-level BPE a space that stands between two visible characters begins a new
 piece, and so does a single line feed between two; a full stop or comma after a letter
 begins one too. So a text is cut there, each different part is encoded once per worker,
-and the ids are put together. Texts with other white space, with characters beyond
-Latin ones, or with the string of a special token are encoded as a whole.
+and the ids are put together. New parts are encoded many at a time, as one text; its ids
+are cut where a token begins with a space (or is a line feed). Texts with other white
+space, with characters beyond Latin ones, or with the string of a special token are
+encoded as a whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import accumulate, chain, filterfalse
+from functools import partial
+from itertools import accumulate, chain, compress, count
+from operator import is_
 
 import numpy as np
 
 #: Different parts kept per worker. A full store is emptied; results do not depend on it.
 KEPT_PARTS = 1_000_000
+AT_ONCE = 1024          # new parts that are encoded as one text
 _OTHER = re.compile(r"[^\n -~¡-ɏ]")
 _TOUCHING = ("  ", "\n\n", " \n", "\n ")
+_FIRST = "\r"            # stands before a text's first part; no text that is cut has one
+_unknown = partial(is_, None)
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -30,6 +37,11 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = plain_specials
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # in a byte-level vocabulary these two characters stand for space and line feed
+        names = self.library.get_vocab()
+        self.spaced = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.spaced[[i for name, i in names.items() if name.startswith("Ġ")]] = True
+        self.feed = np.arange(len(self.spaced)) == names.get("Ċ", -1)
         self.kept: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -38,28 +50,63 @@ class Encoder:
         ends = list(accumulate((4 * len(ids) for ids in found), initial=0))
         return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
+    def _words(self, words: list[str], before: str, begins: np.ndarray) -> list[bytes]:
+        """The ids of each word with `before` in front; `begins` are the ids that only begin one."""
+        texts = [before + before.join(words[at:at + AT_ONCE]) for at in range(0, len(words), AT_ONCE)]
+        out: list[bytes] = []
+        for raw, at in zip(self._whole(texts), range(0, len(words), AT_ONCE)):
+            starts = (4 * np.flatnonzero(begins[np.frombuffer(raw, "<u4")])).tolist()
+            some = words[at:at + AT_ONCE]
+            if len(starts) != len(some):        # another kind of vocabulary
+                out.extend(self._whole([before + word for word in some]))
+            else:
+                out.extend(raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)]))
+        return out
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; a null has none."""
-        cut = [self._parts(text) if text else [] for text in texts]
-        missing: set[str] = set()
-        for parts in cut:
-            if parts:
-                missing.update(filterfalse(self.kept.__contains__, parts))
-        if len(self.kept) + len(missing) > KEPT_PARTS:
+        if len(self.kept) > KEPT_PARTS:
             self.kept = {}
-            missing = {part for parts in cut if parts for part in parts}
-        ends = [p for p in missing if len(p) > 2 and p[-1] in ".," and p[-2].isalpha()]
-        whole = list(missing.difference(ends).union(p[:-1] for p in ends).union(".,"))
-        for at in range(0, len(whole), 4096):
-            self.kept.update(zip(whole[at:at + 4096], self._whole(whole[at:at + 4096])))
-        self.kept.update((p, self.kept[p[:-1]] + self.kept[p[-1]]) for p in ends)
-        look = self.kept.__getitem__
-        return [b"".join(map(look, parts)) if parts is not None else self._whole([text])[0] for text, parts in zip(texts, cut)]
+        cut = [self._parts(text) if text else [] for text in texts]
+        look = self.kept.get
+        found = [parts and list(map(look, parts)) for parts in cut]
+        new: set[str] = set()
+        for parts, ids in zip(cut, found):
+            if ids:
+                new.update(compress(parts, map(_unknown, ids)))
+        self._learn(new)
+        out = []
+        for text, parts, ids in zip(texts, cut, found):
+            if parts is None:
+                out.append(self._whole([text])[0])
+                continue
+            for i in list(compress(count(), map(_unknown, ids))):
+                ids[i] = self.kept[parts[i]]
+            out.append(b"".join(ids))
+        return out
+
+    def _learn(self, parts: set[str]) -> None:
+        bare = [p for p in parts if p[0] in "\n\r"]
+        parts.difference_update(bare)
+        ends = [p for p in parts if len(p) > 1 and p[-1] in ".," and p[-2].isalpha()]
+        spaced = list(parts.difference(ends).union(p[:-1] for p in ends))
+        self.kept.update(zip(spaced, self._words(spaced, " ", self.spaced)))
+        if ends:
+            mark = dict(zip(".,", self._whole([".", ","])))
+            self.kept.update((p, self.kept[p[:-1]] + mark[p[-1]]) for p in ends)
+        words = list({p[1:] for p in bare})
+        known = dict(zip(words, self._words(words, "\n", self.feed)))
+        feed = len(self._whole(["\n"])[0])
+        self.kept.update((p, known[p[1:]][0 if p[0] == "\n" else feed:]) for p in bare)
 
     def _parts(self, text: str) -> list[str] | None:
+        """What is encoded part by part: a part stands for itself after a space, unless it
+        begins with a line feed or is the first."""
         if _OTHER.search(text) or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _TOUCHING) or any(s in text for s in self.specials):
             return None
-        return text.replace("\n", " \n").replace(" ", "\0 ").replace("\0 \n", "\0\n\0").split("\0")
+        parts = text.replace("\n", " \n").split(" ")
+        parts[0] = _FIRST + parts[0]
+        return parts
 
 
 def encoder(path: str, plain_specials: bool = False) -> Encoder:
