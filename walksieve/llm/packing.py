@@ -37,7 +37,6 @@ from walksieve.session import written
 
 SIZE = 2048
 UNITS = 1 << 20
-BLOCK_IDS = 1 << 18         # ids of one stored block
 
 
 @dataclass(frozen=True)
@@ -151,84 +150,60 @@ def schedule(tokens: list[int], targets: list[float], size: int = SIZE) -> list[
 
 
 def tokens_of(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, keys: tuple[str, ...] = ("doc_id", "source")) -> None:
-    """Encode every whole text once, append `end_id`, and write blocks of consecutive rows.
+    """Encode every whole text once, append `end_id`, and write doc_id, source, part (the task),
+    inside (ids of the source's earlier documents in the task) and ids.
 
-    Each written row is a block: part, block, the keys' and counts' lists, and all ids.
-    Texts stay in the task that reads them.
+    Texts stay in the task that reads them; the table's own commit makes a repeated task harmless.
     """
-    id_type, source_type = (docs.schema[k].dataType.simpleString() for k in keys)
+    named = documents(docs, *keys, "text")
 
     def make(batches):
-        coder, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.uint32(end_id).tobytes()
-        ids, names, sources = [], [], []
-        held = 0
-
-        def block():
-            columns = [[part], [number], [names], [sources], [[len(x) // 4 for x in ids]], [b"".join(ids)]]
-            kinds = pa.int32(), pa.int32(), pa.list_(id_kind), pa.list_(source_kind), pa.list_(pa.int64()), pa.binary()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["part", "block", "ids_of", "sources", "counts", "ids"])
-
+        coder, part, end = encoder(tokenizer), TaskContext.get().partitionId(), np.uint32(end_id).tobytes()
+        upto: dict = {}
         for batch in batches:
-            id_kind, source_kind = batch.schema.field(0).type, batch.schema.field(1).type
-            keyed, from_, column = (batch.column(k).to_pylist() for k in range(3))
-            for a, b in some_at_a_time(column, 2_000_000):
-                for name, source, raw in zip(keyed[a:b], from_[a:b], coder.encode(column[a:b])):
-                    ids.append(raw + end)
-                    names.append(name)
-                    sources.append(source)
-                    held += len(raw) // 4 + 1
-                    if held >= BLOCK_IDS:
-                        yield block()
-                        ids, names, sources, held, number = [], [], [], 0, number + 1
-        if ids:
-            yield block()
-
-    named = documents(docs, *keys, "text")
-    schema = f"part int, block int, ids_of array<{id_type}>, sources array<{source_type}>, counts array<bigint>, ids binary"
-    named.mapInArrow(make, schema).write.parquet(path)
-
+            sources, column = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for a, b in some_at_a_time(column, 6_000_000):
+                ids, inside = [x + end for x in coder.encode(column[a:b])], []
+                for source, x in zip(sources[a:b], ids):
+                    inside.append(upto.get(source, 0))
+                    upto[source] = inside[-1] + len(x) // 4
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.full(b - a, part, np.int32)),
+                    pa.array(inside, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    names=["doc_id", "source", "part", "inside", "n", "ids"])
 
-def _queues(blocks: DataFrame) -> DataFrame:
-    """part, block, source, n, base: where each block's documents begin in their source's queue."""
-    each = blocks.select("part", "block", F.explode(F.arrays_zip("sources", "counts")).alias("d"))
-    sums = each.groupBy("part", "block", F.col("d.sources").alias("source")).agg(F.sum("d.counts").alias("n"))
-    sums = written(sums, "block-sources")
-    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = sums.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    parts = parts.select("source", "part", earlier(Window.partitionBy("source").orderBy("part")).alias("base"))
-    inner = earlier(Window.partitionBy("source", "part").orderBy("block")).alias("inside")
-    inside = sums.select("part", "block", "source", "n", inner).alias("i")
-    on = (F.col("i.part") == F.col("p.part")) & F.col("i.source").eqNullSafe(F.col("p.source"))
-    return inside.join(parts.alias("p"), on).select("i.part", "block", "i.source", "n", (F.col("base") + F.col("inside")).alias("base"))
+    id_type, source_type = (named.schema[k].dataType.simpleString() for k in keys)
+    named.mapInArrow(make, f"doc_id {id_type}, source {source_type}, part int, inside long, n long, ids binary").write.parquet(path)
 
 
-def _cut(phases: list[Phase], j: int, begin: int, counts: np.ndarray):
-    """Pieces of consecutive documents of source j whose ids begin at `begin` of its queue.
+def _pieces(phases: list[Phase], j: int, starts: np.ndarray, counts: np.ndarray):
+    """Pieces of source j's documents whose ids begin at `starts` of its queue.
 
-    Returns document, start in it, length, sequence and offset, in queue order.
+    Returns document, start in it, length, sequence and offset.
     """
-    ends = begin + np.cumsum(counts)
-    starts = ends - counts
-    bounds, upto = [], int(ends[-1])
+    ends, found = starts + counts, [np.empty((5, 0), dtype=np.int64)]
     for phase in phases:
         a = int(phase.begin[j])
         b = a + int(phase.served(j, phase.windows))
-        low, high = max(a, begin), min(b, upto)
-        if low >= high:
+        doc = np.flatnonzero((starts < b) & (ends > a))
+        if not len(doc):
             continue
-        if (phase.top[j + 1] - phase.top[j]) >= phase.below:
-            k = np.arange(*(phase.window_of(j, np.array([low - a, high - 1 - a])) + [0, 1]), dtype=np.int64)
-        else:                                   # less than a token a window: only those that hold one
-            k = np.unique(phase.window_of(j, np.arange(low - a, high - a, dtype=np.int64)))
-        first = a + phase.served(j, k)
-        bounds.append(np.stack((np.maximum(first, low), k + phase.first, phase.before(j, k) - first)))
-    edge, sequence, shift = np.concatenate(bounds, axis=1)
-    piece = np.unique(np.concatenate((edge, starts)))
-    length = np.diff(np.append(piece, upto))
-    at = np.searchsorted(edge, piece, "right") - 1
-    doc = np.searchsorted(starts, piece, "right") - 1
-    return doc, piece - starts[doc], length, sequence[at], piece + shift[at]
+        low, high = np.maximum(starts[doc], a) - a, np.minimum(ends[doc], b) - a
+        if phase.top[j + 1] - phase.top[j] >= phase.below:
+            k = phase.window_of(j, low)
+            times = phase.window_of(j, high - 1) - k + 1
+        else:                                   # less than a token a window: by token
+            times = high - low
+        of = np.repeat(np.arange(len(doc)), times)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+        k = k[of] + step if phase.top[j + 1] - phase.top[j] >= phase.below else phase.window_of(j, low[of] + step)
+        first = phase.served(j, k)
+        begin = np.maximum(first, low[of])
+        length = np.minimum(phase.served(j, k + 1), high[of]) - begin
+        if phase.top[j + 1] - phase.top[j] < phase.below:
+            begin, length = low[of] + step, np.ones(len(of), dtype=np.int64)
+        found.append(np.stack((doc[of], begin + a - starts[doc][of], length, k + phase.first, phase.before(j, k) + begin - first)))
+    return np.concatenate(found, axis=1)
 
 
 def pack(spark: SparkSession, path: str, targets: dict | None = None, size: int = SIZE) -> DataFrame:
@@ -238,43 +213,47 @@ def pack(spark: SparkSession, path: str, targets: dict | None = None, size: int
     `targets` are weights by source; without them every window gets the shares that the
     sources have of all tokens. The driver sees one row per source.
     """
-    blocks = spark.read.parquet(path)
-    queues = written(_queues(blocks), "queues")
-    totals = sorted(queues.groupBy("source").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r["source"] is None, str(r["source"])))
+    stored = spark.read.parquet(path)
+    parts = written(stored.groupBy("part", "source").agg(F.sum("n").alias("n")), "queues")
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    queues = written(parts.select("part", "source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "queue-starts")
+    totals = sorted(parts.groupBy("source").agg(F.sum("n").alias("n")).collect(), key=lambda r: (r["source"] is None, str(r["source"])))
     sources, tokens = [r["source"] for r in totals], [r["n"] for r in totals]
     wanted = [float((targets or {}).get(s, 0)) for s in sources] if targets is not None else [float(n) for n in tokens]
     phases = schedule(tokens, wanted, size)
     place = {s: j for j, s in enumerate(sources)}
-    id_field, source_field = (blocks.schema[k].dataType.elementType.simpleString() for k in ("ids_of", "sources"))
-    based = queues.groupBy("part", "block").agg(F.collect_list(F.struct("source", "base")).alias("bases"))
 
     def cut(batches):
         for batch in batches:
-            column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            for r in range(batch.num_rows):
-                names, from_, counts, bases = (column[n][r].as_py() for n in ("ids_of", "sources", "counts", "bases"))
-                ids = np.frombuffer(column["ids"][r].as_buffer(), "<u4")
-                counts, owner = np.array(counts, dtype=np.int64), np.array([place[s] for s in from_])
-                begins = np.cumsum(counts) - counts
-                found = []
-                for base in bases:
-                    j = place[base["source"]]
-                    own = np.flatnonzero(owner == j)
-                    doc, start, length, sequence, offset = _cut(phases, j, base["base"], counts[own])
-                    found.append(np.stack((own[doc], start, length, sequence, offset)))
-                doc, start, length, sequence, offset = np.concatenate(found, axis=1)
-                order = np.lexsort((start, doc))
-                doc, start, length, sequence, offset = (x[order] for x in (doc, start, length, sequence, offset))
-                at = begins[doc] + start        # pieces in order are the block's ids in order
-                edges = pa.array(np.append(4 * at, 4 * len(ids)).astype(np.int32))
+            owner = np.array([place[s] for s in batch.column(1).to_pylist()], dtype=np.int64)
+            starts, counts = (batch.column(k).to_numpy() for k in (2, 3))
+            found = []
+            for j in np.unique(owner):
+                own = np.flatnonzero(owner == j)
+                pieces = _pieces(phases, int(j), starts[own], counts[own])
+                pieces[0] = own[pieces[0]]
+                found.append(pieces)
+            if not found:
+                continue
+            found = np.concatenate(found, axis=1)
+            doc, start, length, sequence, offset = found[:, np.lexsort((found[1], found[0]))]
+            # pieces in order are the batch's ids in order
+            ids, edges = b"".join(batch.column(4).to_pylist()), np.append(0, np.cumsum(4 * length))
+            for at in range(0, len(doc), 65536):
+                s = slice(at, at + 65536)
+                low, high = int(edges[at]), int(edges[min(at + 65536, len(doc))])
+                told = edges[at:at + len(doc[s]) + 1] - low
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(names, column["ids_of"].type.value_type).take(pa.array(doc)), pa.array(from_, column["sources"].type.value_type).take(pa.array(doc)),
-                    pa.array(start), pa.array(length), pa.Array.from_buffers(pa.binary(), len(at), [None, edges.buffers()[1], pa.py_buffer(ids)]),
-                    pa.array(counts[doc]), pa.array(sequence), pa.array(offset)],
+                    batch.column(0).take(pa.array(doc[s])), batch.column(1).take(pa.array(doc[s])), pa.array(start[s]), pa.array(length[s]),
+                    pa.Array.from_buffers(pa.binary(), len(told) - 1, [None, pa.py_buffer(told.astype(np.int32)), pa.py_buffer(ids[low:high])]),
+                    pa.array(counts[doc[s]]), pa.array(sequence[s]), pa.array(offset[s])],
                     names=["doc_id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    schema = f"doc_id {id_field}, source {source_field}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return blocks.join(based, ["part", "block"]).select("ids_of", "sources", "counts", "ids", "bases").mapInArrow(cut, schema)
+    id_type, source_type = (stored.schema[k].dataType.simpleString() for k in ("doc_id", "source"))
+    schema = f"doc_id {id_type}, source {source_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    d, q = stored.alias("d"), queues.alias("q")
+    based = d.join(q, (F.col("d.part") == F.col("q.part")) & F.col("d.source").eqNullSafe(F.col("q.source")))
+    return based.select("doc_id", "d.source", (F.col("base") + F.col("inside")).alias("begin"), "n", "ids").mapInArrow(cut, schema)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

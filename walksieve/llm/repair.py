@@ -147,7 +147,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, fi
 
         for batch in batches:
             names, column = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in some_at_a_time(column, 2_000_000):
+            for a, b in some_at_a_time(column, 6_000_000):
                 for name, raw in zip(names[a:b], coder.encode(column[a:b])):
                     ids.append(name)
                     texts.append(np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)))
