@@ -13,19 +13,19 @@ from __future__ import annotations
 
 import os
 import re
-from functools import partial
-from itertools import accumulate, chain, compress, count
-from operator import is_
+from itertools import accumulate, chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Different parts kept per worker. A full store is emptied; results do not depend on it.
-KEPT_PARTS = 1_000_000
+#: Different parts kept per worker, twice: what a full store held is kept as the older one,
+#: from which parts that come again are taken over. Results do not depend on it.
+KEPT_PARTS = 400_000
 AT_ONCE = 1024          # new parts that are encoded as one text
 _OTHER = re.compile(r"[^\n -~¡-ɏ]")
 _TOUCHING = ("  ", "\n\n", " \n", "\n ")
 _FIRST = "\r"            # stands before a text's first part; no text that is cut has one
-_unknown = partial(is_, None)
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
@@ -43,6 +43,7 @@ class Encoder:
         self.spaced[[i for name, i in names.items() if name.startswith("Ġ")]] = True
         self.feed = np.arange(len(self.spaced)) == names.get("Ċ", -1)
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -66,26 +67,48 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; a null has none."""
         if len(self.kept) > KEPT_PARTS:
-            self.kept = {}
-        cut = [self._parts(text) if text else [] for text in texts]
-        look = self.kept.get
-        found = [parts and list(map(look, parts)) for parts in cut]
-        new: set[str] = set()
-        for parts, ids in zip(cut, found):
-            if ids:
-                new.update(compress(parts, map(_unknown, ids)))
-        self._learn(new)
-        out = []
-        for text, parts, ids in zip(texts, cut, found):
-            if parts is None:
-                out.append(self._whole([text])[0])
-                continue
-            for i in list(compress(count(), map(_unknown, ids))):
-                ids[i] = self.kept[parts[i]]
-            out.append(b"".join(ids))
+            self.kept, self.older = {}, self.kept
+        out: list[bytes] = [b""] * len(texts)
+        cut = []
+        for i, text in enumerate(texts):
+            if text and self._can_be_cut(text):
+                cut.append(i)
+            elif text:
+                out[i] = self._whole([text])[0]
+        if not cut:
+            return out
+        lists = pc.split_pattern(pa.array([texts[i].replace("\n", " \n") for i in cut], pa.large_string()), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.dictionary_encode()
+        which, different = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # a text's first part has no space before it, so it is a part of its own kind
+        begins = offsets[:-1]
+        first, own = np.unique(which[begins], return_inverse=True)
+        which = which.astype(np.int64)
+        which[begins] = len(different) + own
+        different += [_FIRST + different[k] for k in first]
+        known = list(map(self.kept.get, different))
+        new = [i for i, ids in enumerate(known) if ids is None]
+        if self.older:
+            self.kept.update((different[i], self.older[different[i]]) for i in new if different[i] in self.older)
+            known = list(map(self.kept.get, different))
+            new = [i for i in new if known[i] is None]
+        self._learn({different[i] for i in new})
+        for i in new:
+            known[i] = self.kept[different[i]]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        length = sizes[which]
+        ends = np.cumsum(length)
+        ids = flat[np.repeat(starts[which] - ends + length, length) + np.arange(ends[-1])]
+        bounds = np.append(0, ends)[offsets].tolist()
+        for i, x, y in zip(cut, bounds, bounds[1:]):
+            out[i] = ids[x:y].tobytes()
         return out
 
     def _learn(self, parts: set[str]) -> None:
+        """Encodes new parts: one stands for itself after a space, unless it begins with a
+        line feed or is marked as a text's first."""
         bare = [p for p in parts if p[0] in "\n\r"]
         parts.difference_update(bare)
         ends = [p for p in parts if len(p) > 1 and p[-1] in ".," and p[-2].isalpha()]
@@ -99,14 +122,8 @@ class Encoder:
         feed = len(self._whole(["\n"])[0])
         self.kept.update((p, known[p[1:]][0 if p[0] == "\n" else feed:]) for p in bare)
 
-    def _parts(self, text: str) -> list[str] | None:
-        """What is encoded part by part: a part stands for itself after a space, unless it
-        begins with a line feed or is the first."""
-        if _OTHER.search(text) or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _TOUCHING) or any(s in text for s in self.specials):
-            return None
-        parts = text.replace("\n", " \n").split(" ")
-        parts[0] = _FIRST + parts[0]
-        return parts
+    def _can_be_cut(self, text: str) -> bool:
+        return not (_OTHER.search(text) or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _TOUCHING) or any(s in text for s in self.specials))
 
 
 def encoder(path: str, plain_specials: bool = False) -> Encoder:
