@@ -251,6 +251,10 @@ AGAIN = {"level": """
             SELECT walk_id, round(quantile_cont(c, 0.80), 4) AS tau FROM far_ranks GROUP BY walk_id""",
          "solo_floor": "SELECT 0.3::DOUBLE AS floor"}
 
+# every walk once per threshold
+SWEEP = {"pool": "SELECT f.* REPLACE (walk_id * 100 + k AS walk_id) FROM faces f, range(10) t(k)",
+         "level": "SELECT DISTINCT walk_id * 100 + k AS walk_id, (15 + 3 * k)::DOUBLE / 100 AS tau FROM faces, range(10) t(k)"}
+
 _MANIFEST_TEXT = """
     SELECT walk_id, face_idx, CAST(pano_idx AS VARCHAR) AS pano_idx, printf('%.1f', t_sec) AS t_sec,
            CAST(yaw AS VARCHAR) AS yaw, path, CASE WHEN kept THEN '1' ELSE '0' END AS kept,
@@ -575,6 +579,10 @@ def oracle_sql() -> dict[str, str]:
     built = {name: _assemble(q, CTES) for name, q in QUERIES.items()}
     built["select_fixed"] = _assemble(
         "SELECT walk_id, face_idx, path, kept, anchor, round(cosine, 4) AS cosine, solo FROM chosen", {**CTES, **FIXED})
+    built["threshold_sweep"] = _assemble("""
+        SELECT walk_id // 100 AS walk_id, (15 + 3 * (walk_id % 100))::DOUBLE / 100 AS tau, count(*) FILTER (WHERE kept) AS kept,
+               count(*) FILTER (WHERE anchor IS NOT NULL) AS absorbed, count(*) FILTER (WHERE solo) AS solo
+        FROM chosen GROUP BY walk_id""", {**CTES, **SWEEP})
     built["reselect"] = _assemble(
         "SELECT walk_id, face_idx, kept, anchor, round(cosine, 4) AS cosine, solo FROM chosen", {**CTES, **AGAIN})
     return built

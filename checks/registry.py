@@ -407,6 +407,11 @@ def select_fixed(spark, d):
         "walk_id", "face_idx", "path", "kept", "anchor", *r4("cosine"), "solo")
 
 
+def threshold_sweep(spark, d):
+    """Ten thresholds at once, around what the walks select with."""
+    return selection.threshold_sweep(I.faces(spark, d), [(15 + 3 * k) / 100 for k in range(10)])
+
+
 def threshold_rule(spark, d):
     asked = I.walks(spark, d).select(
         "walk_id", F.when(F.col("building") == "BUILDING", "fixed").otherwise("calibrated").alias("rule"),
@@ -539,7 +544,7 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     calibrated_tau, calibration_record, record_round_trip, far_sketch, requantile, class_shares,
     class_mix, stage_counts, review_counts, selection_summary, heading_ratio, sample_panos,
     decision_replay, stage_durations, stage_seconds, greedy_dedup, solo_drop, select, select_fixed,
-    threshold_rule, reselect, meta_upsert, meta_patch, meta_patch_missing, meta_unknown_fields,
+    threshold_rule, threshold_sweep, reselect, meta_upsert, meta_patch, meta_patch_missing, meta_unknown_fields,
     forget_walks, forget_decisions, decision_replay_stream, stage_board_stream, rerun_plan,
     stalled_runs, retry_plan, stage_states, walk_run, walk_rerun)}
 QUERIES |= {"manifest": QUERIES.pop("manifest_file"), "export_manifest": export_rows,

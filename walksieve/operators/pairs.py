@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from walksieve.functions.vectors import matrix, numbers
+from walksieve.operators.regions import laid_out, meeting, near_parts
 from walksieve.session import written
 
 BLOCK = 8192      # faces per block
@@ -43,6 +44,22 @@ def met_blocks(faces: DataFrame, keys: list[str], size: int = BLOCK,
             .drop("_o", "_last"))
 
 
+def near_blocks(faces: DataFrame, tau: str, size: int = BLOCK) -> DataFrame:
+    """As :func:`met_blocks` for the pairs whose cosine reaches the column `tau`.
+
+    Faces of longer walks are laid out by likeness first, and blocks that hold no such
+    pair do not meet. `faces` ends with the embedding.
+    """
+    longer = faces.filter(F.col("face_idx") >= size)
+    alone = lambda df: df.withColumns({"_b": F.lit(0), "_pa": F.lit(0), "_pb": F.lit(0)})
+    if longer.isEmpty():
+        return alone(faces)
+    long_walks = written(longer.select("walk_id").distinct(), "long-walks")
+    laid = laid_out(faces.join(long_walks, "walk_id", "left_semi").select(*faces.columns), size)
+    met = meeting(laid, *near_parts(laid, F.col(tau), size))
+    return alone(faces.join(long_walks, "walk_id", "left_anti")).unionByName(met.drop("block", "pos", "angles"))
+
+
 def _strips(key, table: pa.Table):
     """Yields (rows, cols, product): index arrays into `table` and their cosines.
 
@@ -205,7 +222,7 @@ def similar_neighbours(faces: DataFrame, tau: float | Column, size: int = BLOCK)
                         F.col("pano_idx").cast("int").alias("pano_idx"),
                         level.cast("double").alias("tau"), "embedding")
     closest = F.struct("best_cosine", (-F.col("best_face")).alias("_first"))
-    return (met_blocks(slim, ["walk_id"], size)
+    return (near_blocks(slim, "tau", size)
             .groupBy("walk_id", "_pa", "_pb")
             .applyInArrow(meet, f"walk_id {walk_type}, face_idx int, neighbours long, "
                                 "best_cosine double, best_face int")
