@@ -28,10 +28,10 @@ def test_labels_sources_and_held_out_rows_do_not_matter(docs_of):
 
 
 def test_cases_without_a_language(docs_of):
-    docs = docs_of([(1, None), (2, ""), (3, "12 34 !?"), (None, "the and of"), (5, "the and of " * 90_000), (5, "the and of"), (7, "and", None)])
+    docs = docs_of([(1, None), (2, ""), (3, "12 34 !?"), (None, "the and of"), (5, "the and of " * 90_000), (5, "the and of"), (7, "and", None), (8, "½ ² ①")])
     net = L.fit(docs_of([(i, "the and of", "en") for i in range(20)]))
     got = sorted(((r.doc_id, r.lang_pred, r.held_out) for r in L.languages(docs, net).collect()), key=str)
-    assert [g[1] for g in got if g[0] in (1, 2, 3)] == ["und"] * 3
+    assert [g[1] for g in got if g[0] in (1, 2, 3, 8)] == ["und"] * 4
     assert [g[1] for g in got if g[0] in (None, 5, 7)] == ["en"] * 4
     assert not any(held for i, _, held in got if i is None)
     assert L.only_known_languages(docs, net).columns == docs.columns and L.only_known_languages(docs, net).count() == 4

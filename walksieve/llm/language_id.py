@@ -31,7 +31,6 @@ FILTERS = 16                    # of each width
 DOCS_PER_LANGUAGE = 400
 WINDOWS_PER_DOC = 6
 EPOCHS = 6
-_LETTER = re.compile(r"[^\W\d_]")
 #: capitals as small letters, digits as one
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A"):ord("Z") + 1] += 32
@@ -88,7 +87,7 @@ class Network:
 
     def classify(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
         """Language and score of whole texts."""
-        known = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t.decode())]
+        known = [i for i, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t.decode()))]
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
         some: list[int] = []
         held = 0
