@@ -154,3 +154,15 @@ def test_odd_rows_are_all_placed_and_few_move(docs_of):
     moved = sum(before[d] != after[d] for d in before) / len(before)
     assert moved < 0.35         # a modulo of the hash moves 0.91
     assert ring.placed(docs_of([]), 10).count() == 0 and ring.shards(docs_of([(1, "a")])).collect()[0].slot == 0
+
+
+def test_equal_rows_at_the_border_of_a_budget(docs_of):
+    """A hundred equal rows of a source, of which half fit once more: the stage takes as many as the query."""
+    rows = [(7, "a b c d", "en", "hot")] * 100 + [(i, "x " * 40, "en", "other") for i in range(200, 300)]
+    docs = docs_of(rows)
+    for repetitions in (1.5, 1.27):
+        target = mixing.Target(repetitions=repetitions)
+        got = mixing.mixture(docs, target).collect()
+        mixed = mixing.mixed_documents(docs, target).collect()
+        assert Counter(r.doc_id for r in mixed) == Counter(r.doc_id for r in got)
+        assert 100 < sum(r.doc_id == 7 for r in mixed) < 200

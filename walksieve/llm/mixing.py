@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from walksieve.llm.common import documents
-from walksieve.session import written
+from walksieve.session import cut, written
 
 BLOCK_ROWS = 1024
 SEED = 17
@@ -124,7 +124,7 @@ def _with_source(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def permuted(rows: DataFrame, table: DataFrame, last_only: bool = False) -> DataFrame:
-    """Every taken copy of a row: epoch, block, and where its tokens start in the source's stream.
+    """Every copy of a row: epoch, block, where its tokens start in the source's stream, and whether it is taken.
 
     A window covers a block's rows or a source's blocks (one per BLOCK_ROWS rows), never
     a source's rows.
@@ -143,14 +143,14 @@ def permuted(rows: DataFrame, table: DataFrame, last_only: bool = False) -> Data
     laid = laid.join(blocks, laid["source"].eqNullSafe(blocks["s"]) & (laid["epoch"] == blocks["e"]) & (laid["bk"] == blocks["k"]) & (laid["block"] == blocks["b"]))
     laid = laid.withColumn("in_epoch", F.col("before") + F.col("inside"))
     taken = (F.col("epoch") < F.col("whole")) | (F.col("in_epoch") + F.col("n_tokens") <= F.col("rest"))
-    return laid.where(taken).withColumn("start", F.col("epoch") * F.col("tokens") + F.col("in_epoch"))
+    return laid.withColumn("taken", taken).withColumn("start", F.col("epoch") * F.col("tokens") + F.col("in_epoch"))
 
 
 def mixture(docs: DataFrame, target: Target) -> DataFrame:
     """doc_id, source, n_tokens, epoch, block, start, budget of every copy in the mixture."""
     rows = sizes(docs)
     table = budgets(rows, target)
-    out = permuted(rows, table).select("doc_id", "source", "n_tokens", "epoch", "block", "start")
+    out = permuted(rows, table).where("taken").select("doc_id", "source", "n_tokens", "epoch", "block", "start")
     return _with_source(out, table.select("source", "budget"))
 
 
@@ -158,16 +158,35 @@ def mixed_documents(docs: DataFrame, target: Target) -> DataFrame:
     """The mixture's rows with all columns of `docs`; texts are not shuffled.
 
     What the last epoch takes of a source is a prefix in the order of its keys, so the
-    last key taken per source is enough to decide each row where it stands.
+    last key taken per source, and how many of its rows fit, decide each row where it
+    stands. Only where equal rows share the last key and some of them do not fit are
+    those rows, and no others, written and numbered.
     """
     rows = sizes(docs)
     table = budgets(rows, target)
-    last = permuted(rows, table, last_only=True).groupBy("source").agg(F.max(F.struct("bk", "block", "dk")).alias("upto"))
+    keys = permuted(rows, table, last_only=True).groupBy("source", "bk", "block", "dk").agg(F.count_if("taken").alias("fit"), F.count("*").alias("equal"))
+    last = keys.where("fit > 0").groupBy("source").agg(F.max(F.struct(F.struct("bk", "block", "dk").alias("key"), "fit", "equal")).alias("upto"))
     plan = _with_source(table.select("source", "whole", "rest", "blocks"), last)
     plan = written(plan.select(F.struct("source", "whole", "blocks", "upto").alias("__plan")), "mixing-plan")
     named = docs.join(plan, docs["source"].eqNullSafe(F.col("__plan.source")), "left")
     h = F.xxhash64(docs["doc_id"], docs["text"])
     block = F.pmod(F.xxhash64(h, F.lit(SEED)), F.col("__plan.blocks"))
     key = F.struct(F.xxhash64(F.lit(SEED), docs["source"], F.col("__plan.whole"), block).alias("bk"), block.alias("block"), F.xxhash64(F.lit(SEED), F.col("__plan.whole"), h).alias("dk"))
-    copies = F.col("__plan.whole") + F.when(key <= F.col("__plan.upto"), 1).otherwise(0)
-    return named.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    upto = F.col("__plan.upto")
+    split = F.coalesce((key == upto["key"]) & (upto["fit"] < upto["equal"]), F.lit(False))
+    carry = [F.col(f"`{c}`") for c in docs.columns]
+
+    def copies(part: DataFrame, once_more) -> DataFrame:
+        times = F.col("__plan.whole") + F.when(once_more, 1).otherwise(0)
+        return part.withColumn("__copy", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times)))).select(*carry)
+
+    if plan.where("__plan.upto.fit < __plan.upto.equal").isEmpty():
+        return copies(named, key <= upto["key"])
+    equal = cut(named.where(split).withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
+    in_part = Window.partitionBy("__plan.source", "__part").orderBy("__at")
+    parts = equal.groupBy(F.col("__plan.source").alias("__source"), F.col("__part").alias("__of")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__source").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("__source", "__of", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    numbered = equal.withColumn("__in", F.row_number().over(in_part))
+    numbered = numbered.join(parts, numbered["__plan.source"].eqNullSafe(parts["__source"]) & (numbered["__part"] == parts["__of"]))
+    return copies(named.where(~split), key <= upto["key"]).unionByName(copies(numbered, F.col("__before") + F.col("__in") <= upto["fit"]))
