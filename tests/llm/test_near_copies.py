@@ -55,7 +55,8 @@ def test_open_links_of_joined_classes_are_followed(docs_of, monkeypatch, stars):
     pick = np.random.default_rng(2)
     rows = star(pick, 0, 60, 3) + [(100 + d, t) for d, t in star(pick, 0, 30, 4)[1:]] + star(pick, 1000, 40, 8)
     monkeypatch.setattr(near_copies, "STARS", stars)
-    monkeypatch.setattr(near_copies, "BLOCKS", simhash.Shape(chunk=16, bundle=256))
+    monkeypatch.setattr(near_copies, "CHUNK", 16)
+    monkeypatch.setattr(near_copies, "BUNDLE", 256)
     assert kept(docs_of, rows) == expected(rows)
 
 
@@ -75,3 +76,26 @@ def test_short_texts_below_the_threshold_stay(docs_of):
         words = [f"w{d}x{i}" for i in range(13)]
         rows += [(d, " ".join(words[:12])), (d + 1, " ".join(words[1:]))]
     assert kept(docs_of, rows) == set(range(1600))
+
+
+def test_long_texts_that_share_much_are_told_about_once(docs_of):
+    """Texts of shared passages, all under 0.8: their pairs share many shingles and are few rows."""
+    pick = np.random.default_rng(7)
+    passages = [" ".join(f"p{k}x{i}" for i in range(60)) for k in range(12)]
+    rows = []
+    for d in range(40):
+        own = [passages[k] for k in pick.choice(12, 4, replace=False)]
+        rows.append((d, " ".join([*own, *(f"d{d}x{i}" for i in range(120))])))
+    rows += [(100 + d, rows[d][1] + " and more") for d in range(5)]
+    assert kept(docs_of, rows) == expected(rows) == set(range(40))
+
+
+def test_folded_counts_never_rule_out_a_copy():
+    pick = np.random.default_rng(8)
+    for n in (1, 5, 100, 511, 512, 700, 3000):
+        s = np.unique(pick.integers(0, 2**63, n).astype(np.uint64))
+        other = np.unique(np.concatenate((s[:len(s) - len(s) // 9], pick.integers(0, 2**63, len(s) // 9).astype(np.uint64))))
+        shared = len(np.intersect1d(s, other))
+        x, y = (np.frombuffer(near_copies._cells(v), "<u2")[None, :] for v in (s, other))
+        if 9 * shared >= 4 * (len(s) + len(other)):
+            assert near_copies._can_be_alike(x, y, np.array([len(s) + len(other)])).all()

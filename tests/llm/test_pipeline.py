@@ -56,8 +56,7 @@ def test_one_document_of_each_group(stages):
         groups[root(d)].add(d)
     assert all(len(g & kept) >= 1 for g in groups.values())
     assert all(g <= kept for g in groups.values() if len(g) == 1)
-    extra = sum(len(g & kept) - 1 for g in groups.values())
-    assert extra <= 0.03 * sum(len(g) - 1 for g in groups.values())
+    assert all(g & kept == {min(g)} for g in groups.values())
     assert any(len(g) > 1 for g in groups.values())
 
 

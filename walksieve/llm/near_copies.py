@@ -1,16 +1,23 @@
-"""One document of each group of near copies, by an exact shingle-similarity join.
+"""One document of each group of near copies: SimHash first, then an exact shingle join.
 
 Texts are compared by the sets of their five-word shingles; a similarity (Jaccard) of
-0.8 or more makes two documents copies, and copies of copies belong together. Shingles
-have one order, from rare to frequent. Two sets at 0.8 share at least four fifths of the
-larger one, so the first fifth of each (and one more) have a shingle in common: what
+0.8 or more makes two documents copies, and copies of copies belong together. Fingerprints
+of the sets that differ in at most RADIUS bits (`simhash`, by exact bands and bit-sliced
+comparison) propose the first links, which are verified on the sets. A similarity of 0.8
+puts fingerprints further apart than any radius that scales, so what these links leave
+open is settled exactly:
+
+Shingles have one order, from rare to frequent. Two sets at 0.8 share at least four fifths of
+the larger one, so the first fifth of each (and one more) have a shingle in common: what
 shares none of these is never a copy, and everything that does is settled on the actual
 sets, unless both are joined already. No link goes unproved, and none is left out.
 
 A shingle's documents are first held against the one that shares most with others, for
 STARS rounds; a document so compared leaves the shingle, and shingles whose documents
-are joined drop out. All pairs that are then open are compared in blocks, by an upper
-bound of what they can share, and verified where it allows 0.8.
+are joined drop out. Pairs that are then open are compared in tasks, by an upper
+bound of what they can share, and verified where it allows 0.8. Shingles that have the
+same document on top go to the same tasks, so that a pair is told about once, however
+many shingles it shares.
 
 Rows with a null text or no words are copies of each other. Of a group the row with the
 smallest doc_id stays (null last), of repeated rows one. An empty table gives an empty
@@ -36,18 +43,32 @@ STARS = 2
 SAMPLE = 16             # one document of so many is counted for the order of shingles
 SAMPLED = 5000          # or so many documents, if that is more
 FREQUENT = 200_000      # shingles ordered by frequency; the others come before them
-CELLS = 128             # counts of a set's shingles by hash, for the bound
+CELLS = 128             # least number of counts of a set's shingles by hash, for the bound
+MOST_CELLS = 8192       # larger sets have a count for each two to four of their shingles, up to so many
 FULL = 65535
-BLOCKS = simhash.Shape()
+CHUNK = 4096            # documents of one shingle that meet in one comparison
+BUNDLE = 16384          # documents of many shingles that one call handles
+RADIUS = 3              # bits in which fingerprints of proposed links may differ
 
 
 def _cells(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), FULL).astype("<u2").tobytes()
+    """Shingles by the low bits of their hash; the more shingles, the more bits."""
+    size = min(max(CELLS, 1 << (len(s) // 4).bit_length()), MOST_CELLS)
+    return np.minimum(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size), FULL).astype("<u2").tobytes()
+
+
+def _folded(cells: np.ndarray, size: int) -> np.ndarray:
+    """Rows of counts over fewer cells; a full cell stays full."""
+    if cells.shape[1] == size:
+        return cells
+    cells = cells.reshape(len(cells), -1, size)
+    return np.where((cells == FULL).any(axis=1), FULL, np.minimum(cells.sum(axis=1, dtype=np.int64), FULL)).astype(np.uint16)
 
 
 def _can_be_alike(x: np.ndarray, y: np.ndarray, n) -> np.ndarray:
-    """Whether cells x and y, of n shingles in all, allow 0.8; a full cell tells nothing."""
-    low = np.minimum(x, y)
+    """Whether counts x and y (rows), of n shingles in all, allow 0.8; a full cell tells nothing."""
+    size = min(x.shape[1], y.shape[1])
+    low = np.minimum(_folded(x, size), _folded(y, size))
     return (9 * low.sum(axis=1, dtype=np.int64) >= 4 * n) | (low == FULL).any(axis=1)
 
 
@@ -77,24 +98,26 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(keyed: DataFrame, frequent: np.ndarray, ranks: np.ndarray) -> DataFrame:
-    """doc_id, h, node (names the set), n (its size), prefix, cells."""
+    """doc_id, h, node (names the set), n (its size), prefix, cells, fp (its fingerprint)."""
     def make(batches):
         for batch in batches:
-            nodes, sizes, heads, cells = [], [], [], []
+            nodes, sizes, heads, cells, prints = [], [], [], [], []
             for text in raw_texts(batch.column(1)):
                 s = _shingles(text)
                 nodes.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True))
                 sizes.append(len(s))
                 cells.append(_cells(s))
+                prints.append(simhash.majority(s))
                 if len(frequent) and len(s):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     s = s[np.argsort(np.where(frequent[at] == s, ranks[at], 0), kind="stable")]
                 heads.append(s[:len(s) - (4 * len(s) + 4) // 5 + 1].view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in heads]))).astype(np.int32)
             listed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*heads, np.empty(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), listed, pa.array(cells, pa.binary())], names=["doc_id", "h", "node", "n", "prefix", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), listed, pa.array(cells, pa.binary()), pa.array(prints, pa.binary())],
+                                             names=["doc_id", "h", "node", "n", "prefix", "cells", "fp"])
 
-    return keyed.mapInArrow(make, "doc_id long, h long, node long, n long, prefix array<bigint>, cells binary")
+    return keyed.mapInArrow(make, "doc_id long, h long, node long, n long, prefix array<bigint>, cells binary, fp binary")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -113,8 +136,14 @@ def _allowed(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs that can be at 0.8 by their sizes and cells."""
     def some(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, CELLS) for k in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array(_can_be_alike(x, y, batch.column(4).to_numpy())))
+            x, y = ([np.frombuffer(c, "<u2") for c in batch.column(k).to_pylist()] for k in (2, 3))
+            n, good = batch.column(4).to_numpy(), np.zeros(batch.num_rows, dtype=bool)
+            sizes = np.array([(len(c), len(d)) for c, d in zip(x, y)]).reshape(-1, 2)
+            for size in np.unique(sizes, axis=0):
+                at = np.flatnonzero((sizes == size).all(axis=1))
+                for few in np.array_split(at, 1 + len(at) * int(size.max()) // 10**7):
+                    good[few] = _can_be_alike(np.stack([x[i] for i in few]), np.stack([y[i] for i in few]), n[few]) if len(few) else False
+            yield batch.select([0, 1]).filter(pa.array(good))
 
     a, b = (known.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("cells").alias(f"c{k}")) for k in "ab")
     both = pairs.join(a, "a").join(b, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
@@ -127,27 +156,60 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
-def _possible(met: DataFrame) -> DataFrame:
+def _dealt(entries: DataFrame) -> DataFrame:
+    """bundle, run, side, node, root: what is compared together.
+
+    A shingle with more than CHUNK documents is cut into chunks by hash, and each pair of
+    chunks is a run of its own. Side 0 is compared within itself, side 1 with side 2.
+    A bundle has the runs of shingles with the same top document, several such, or a
+    part of them if they are many.
+    """
+    k = F.ceil(F.col("m") / CHUNK).cast("int")
+    each = entries.groupBy("s").agg(F.count("*").alias("m"), F.max(F.struct("often", "node")).alias("t")).select("s", F.col("t.node").alias("top"), "m", k.alias("k"))
+    each = written(each, "shingle-tops")
+    pieces = each.groupBy("top").agg(F.ceil(F.sum(F.col("m") * F.col("k")) / BUNDLE).alias("pieces"))
+    bundles = 1 + (each.agg(F.sum(F.col("m") * F.col("k"))).first()[0] or 0) // BUNDLE
+    cut = entries.join(each.join(pieces, "top"), "s").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), "k").cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    run = F.xxhash64("s", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    bundle = F.pmod(F.xxhash64("top", F.pmod(run, "pieces")), F.lit(bundles))
+    return cut.select(bundle.alias("bundle"), run.alias("run"), side.cast("int").alias("side"), "node", "root")
+
+
+def _possible(met: DataFrame, known: DataFrame) -> DataFrame:
     """a, b: the pairs of different roots that meet and can be at 0.8 by their cells."""
-    def pairs(pdf):
+    def pairs(met, known):
         import pandas as pd
 
-        pdf = pdf.sort_values(["run", "side", "node"], kind="stable")
-        run, side, node, n, root = (pdf[c].to_numpy() for c in ("run", "side", "node", "n", "root"))
-        cells = np.frombuffer(b"".join(pdf["cells"]), "<u2").reshape(-1, CELLS)
+        met, known = met.sort_values(["run", "side", "node"], kind="stable"), known.sort_values("node")
+        run, side, node, root = (met[c].to_numpy() for c in ("run", "side", "node", "root"))
+        of = np.searchsorted(known["node"].to_numpy(), node)
+        counts = [np.frombuffer(c, "<u2") for c in known["cells"]]
+        # sets of about one size have as many cells; rows of one number of cells are one matrix
+        width = np.array([len(c) for c in counts], dtype=np.int64)
+        tables = {w: np.stack([c for c in counts if len(c) == w]) for w in np.unique(width).tolist()}
+        place = np.zeros(len(width), dtype=np.int64)
+        for w in tables:
+            place[width == w] = np.arange(int((width == w).sum()))
+        n, width, place = known["n"].to_numpy()[of], width[of], place[of]
         last = np.searchsorted(run, run, "right")
-        second = np.searchsorted(run, run, "left") + np.bincount(np.unique(run, return_inverse=True)[1], side == 1).astype(np.int64)[np.unique(run, return_inverse=True)[1]]
+        own = np.unique(run, return_inverse=True)[1]
+        second = np.searchsorted(run, run, "left") + np.bincount(own, side == 1).astype(np.int64)[own]
         found = [np.empty((0, 2), dtype=np.int64)]
         for i in np.flatnonzero(side != 2):
             j = np.arange(i + 1 if side[i] == 0 else second[i], last[i])
             j = j[(root[j] != root[i]) & (5 * np.minimum(n[j], n[i]) >= 4 * np.maximum(n[j], n[i]))]
-            if len(j):
-                j = j[_can_be_alike(cells[j], cells[i], n[j] + n[i])]
-                found.append(np.stack((np.maximum(node[j], node[i]), np.minimum(node[j], node[i])), axis=1))
+            mine = tables[int(width[i])][place[i]][None, :]
+            for w in np.unique(width[j]).tolist():
+                some = j[width[j] == w]
+                some = some[_can_be_alike(tables[w][place[some]], mine, n[some] + n[i])]
+                found.append(np.stack((np.maximum(node[some], node[i]), np.minimum(node[some], node[i])), axis=1))
         found = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
-    return met.groupBy("bundle").applyInPandas(pairs, "a long, b long").distinct()
+    told = written(met.select("bundle", "node").distinct(), "bundle-nodes").join(known, "node").select("bundle", "node", "n", "cells")
+    return met.groupBy("bundle").cogroup(told.groupBy("bundle")).applyInPandas(pairs, "a long, b long").distinct()
 
 
 def _open(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -158,45 +220,62 @@ def _open(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
     return written(entries.join(several, "s").select("s", "node", "often", "root"), "shingles-open")
 
 
-def _links(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b: links between nodes at 0.8 or more that connect all that such links connect."""
+def _proposed(classes: DataFrame) -> DataFrame:
+    """a, b: links between sets whose fingerprints are within RADIUS, directly or over others."""
+    alike = written(classes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprint-classes")
+    same = classes.select("fp", F.col("node").alias("a")).join(alike.withColumnRenamed("node", "b"), "fp").where("a <> b").select("a", "b")
+    return simhash.linked(alike, simhash.Shape(radius=RADIUS)).select("a", "b").unionByName(same)
+
+
+class _Links:
+    """Verified links so far, and the sets that were read for them."""
+
+    def __init__(self, classes: DataFrame, docs: DataFrame):
+        self.classes, self.known = classes, classes.select("node", "n", "cells")
+        self.texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+        self.held: DataFrame | None = None
+        self.sets: DataFrame | None = None
+
+    def verify(self, pairs: DataFrame) -> DataFrame | None:
+        """Adds the links among `pairs`; returns the roots of all, if any came new."""
+        pairs = written(pairs, "links-open")
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        ends = written(ends if self.sets is None else ends.join(self.sets, "node", "left_anti"), "nodes-met")
+        if not ends.isEmpty():
+            named = ends.join(self.classes, "node").select("node", F.col("who.doc_id").alias("__id"), F.col("who.h").alias("__h"))
+            rows = self.texts.join(named, self.texts["doc_id"].eqNullSafe(named["__id"]) & (self.texts["h"] == named["__h"]))
+            more = written(_sets(rows).dropDuplicates(["node"]), "shingle-sets")
+            self.sets = more if self.sets is None else self.sets.unionByName(more)
+        if self.sets is None:
+            return None
+        new = written(_verified(pairs, self.sets), "links-held")
+        if new.isEmpty():
+            return None
+        self.held = new if self.held is None else self.held.unionByName(new)
+        return written(components(self.held), "roots")
+
+
+def _links(classes: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """node, root of all nodes that links at 0.8 or more connect, directly or over others."""
+    links = _Links(classes, docs)
+    roots = links.verify(_allowed(_proposed(classes).distinct(), links.known))
     heads = classes.select(F.explode("prefix").alias("s"), "node")
     several = heads.groupBy("s").agg(F.count("*").alias("m")).where("m > 1")
     shared = written(heads.join(several, "s"), "shingles-shared")
     often = shared.groupBy("node").agg(F.sum("m").alias("often"))
-    entries = written(shared.join(often, "node").select("s", "node", "often", F.col("node").alias("root")), "shingles-open")
-    known = classes.select("node", "n", "cells")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    held = sets = None
-    for turn in range(STARS + 1):
+    entries = _open(shared.join(often, "node").select("s", "node", "often", F.col("node").alias("root")), roots)
+    for _ in range(STARS):
         if entries.isEmpty():
-            break
-        rest = None
-        if turn < STARS:
-            top = written(entries.groupBy("s").agg(F.max(F.struct("often", "node", "root")).alias("top")).select("s", F.col("top.node").alias("top"), F.col("top.root").alias("top_root")), "shingle-tops")
-            met = entries.join(top, "s").where("node <> top")
-            rest = met.select("s", "node", "often", "root")
-            pairs = _allowed(met.where("root <> top_root").select(F.greatest("node", "top").alias("a"), F.least("node", "top").alias("b")).distinct(), known)
-        else:
-            banded = entries.join(known, "node").select(F.lit(0).alias("band"), F.col("s").alias("value"), "node", F.struct("n", "root", "cells").alias("fp"))
-            pairs = _possible(simhash._met(banded, BLOCKS, entries.count()).select("bundle", "run", "side", "node", "fp.*"))
-        pairs = written(pairs, "links-open")
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        ends = written(ends if sets is None else ends.join(sets, "node", "left_anti"), "nodes-met")
-        if not ends.isEmpty():
-            named = ends.join(classes, "node").select("node", F.col("who.doc_id").alias("__id"), F.col("who.h").alias("__h"))
-            rows = texts.join(named, texts["doc_id"].eqNullSafe(named["__id"]) & (texts["h"] == named["__h"]))
-            more = written(_sets(rows).dropDuplicates(["node"]), "shingle-sets")
-            sets = more if sets is None else sets.unionByName(more)
-        roots = None
-        if sets is not None:
-            new = written(_verified(pairs, sets), "links-held")
-            if not new.isEmpty():
-                held = new if held is None else held.unionByName(new)
-                roots = written(components(held), "roots") if rest is not None else None
-        if rest is not None:
-            entries = _open(rest, roots)
-    return held
+            return roots
+        top = written(entries.groupBy("s").agg(F.max(F.struct("often", "node", "root")).alias("top")).select("s", F.col("top.node").alias("top"), F.col("top.root").alias("top_root")), "shingle-tops")
+        met = entries.join(top, "s").where("node <> top")
+        new = links.verify(_allowed(met.where("root <> top_root").select(F.greatest("node", "top").alias("a"), F.least("node", "top").alias("b")).distinct(), links.known))
+        roots = roots if new is None else new
+        entries = _open(met.select("s", "node", "often", "root"), roots)
+    if entries.isEmpty():
+        return roots
+    new = links.verify(_possible(written(_dealt(entries), "dealt"), links.known))
+    return roots if new is None else new
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -204,11 +283,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     prints = _prefixes(keyed, *_frequent(keyed))
     who = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "h")
-    classes = written(prints.groupBy("node").agg(F.min(who).alias("who"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells")), "set-classes")
-    held = _links(classes, docs)
+    classes = written(prints.groupBy("node").agg(F.min(who).alias("who"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("cells").alias("cells"), F.first("fp").alias("fp")), "set-classes")
+    roots = _links(classes, docs)
     rooted = classes.select("node", "who", F.col("node").alias("root"))
-    if held is not None:
-        rooted = classes.select("node", "who").join(written(components(held), "roots"), "node", "left").select("who", F.coalesce("root", "node").alias("root"))
+    if roots is not None:
+        rooted = classes.select("node", "who").join(roots, "node", "left").select("who", F.coalesce("root", "node").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("who").alias("who")).select("who.doc_id", "who.h")
     named = keyed.select("doc_id", "h")
     rows = named.join(kept, named["doc_id"].eqNullSafe(kept["doc_id"]) & (named["h"] == kept["h"])).groupBy(named["doc_id"], named["h"]).agg(F.count("*").alias("n"))

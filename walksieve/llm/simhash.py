@@ -40,6 +40,15 @@ class Shape:
     bundle: int = 16384         # fingerprints of many band values that one call handles
 
 
+def majority(hashes: np.ndarray) -> bytes:
+    """The 64 bits that are set in more than half of the hashes, highest first; zero for none."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at:at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
 def fingerprint(text: bytes | None, shape: Shape) -> bytes:
     """The fingerprint of one whole text, highest bit first."""
     hashes = shingle_hashes(text, shape.words)
