@@ -98,6 +98,19 @@ def test_a_run_and_its_re_entries(spark, walk, tmp_path):
         run(params, "gate", Inputs())
 
 
+def test_a_run_stores_shares_and_labels_and_clears_its_sentinel(spark, walk, tmp_path):
+    params = WalkParams(faces=Faces(size=8), calib=Calib(far_seconds=2.0), segment=Segment(enabled=True))
+    near = images.render_faces(walk, params.faces).select("walk_id", (F.bround(F.col("t_sec") * 30).cast("long") + 1).alias("frame_no"), "yaw", "image")
+    tables = StageTables(spark, str(tmp_path))
+    labels = spark.createDataFrame([(0, "dark"), (99, "unseen")], "class_id int, label string")
+    row = run_walks(tables, Inputs(walk, near, 30.0), params, images.grid_embedder(4), segmentation.band_segmenter(), labels=labels).first()
+    shares = tables.read("shares").collect()
+    assert {r.model for r in shares} == {params.segment.model_name} and {r["class"] for r in shares} <= {"dark", "1", "2", "3"}
+    assert len({r.path for r in shares}) == row.segmented == row.anchors
+    assert [(r.class_id, r.label) for r in tables.read("labels").collect()] == [(0, "dark")]
+    assert tables.read("jobs").count() == 0
+
+
 def test_walks_that_cannot_go_on_are_noted(spark, walk, tmp_path):
     short = walk.filter("pano_idx < 3").withColumn("walk_id", F.lit(9).cast("long"))
     params = WalkParams(faces=Faces(size=8), calib=Calib(far_seconds=2.0))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,11 +23,12 @@ from pyspark.sql import functions as F
 
 from walksieve.functions.ordinals import integer_ordinal
 from walksieve.operators import calibration, frames, images, segmentation, selection
-from walksieve.operators.fleet import run_rows, settings_text
+from walksieve.operators.fleet import latest_failures, run_rows, settings_text
 from walksieve.operators.pairs import BLOCK
 from walksieve.params import STAGES, WalkParams
 from walksieve.session import written
-from walksieve.sources.tables import append, run_line
+from walksieve.sources.parts import Files, Numbers, Part, Parts
+from walksieve.sources.tables import run_line
 
 
 @dataclass(frozen=True)
@@ -42,47 +44,157 @@ class Inputs:
 class StageTables:
     """The Parquet tables of a fleet under one folder, kept per walk.
 
-    A write adds a version: its rows go to a folder of their own, and an append-only
-    log notes which walks they stand for. Reading takes each walk's newest version, so
-    a write replaces the walks it names and no others, rewrites nothing, and a run
-    that fails half-way leaves every walk with what it had. Logs are only appended to.
+    A write takes the next number of the fleet as its version: its rows become a part of
+    the table, and the table's version log notes which walks they stand for. Reading takes
+    each walk's newest version and opens only the parts that hold one, so a write replaces
+    the walks it names and no others, rewrites nothing, and a run that fails half-way leaves
+    every walk with what it had. Logs are only appended to.
+
+    `forget` is one short write that all readers honour: what a walk had before is gone from
+    every table and log at once, and later runs of it count. `compact` then takes outdated and
+    forgotten rows off the disk, rewriting only the parts that hold some.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.numbers = Numbers(spark, f"{self.folder}/_numbers")
+        self.gone = Parts(spark, f"{self.folder}/_forgotten")
 
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
+    def _rows(self, name: str) -> Parts:
+        return Parts(self.spark, f"{self.path(name)}/rows")
+
+    def _versions(self, name: str) -> Parts:
+        return Parts(self.spark, f"{self.path(name)}/versions")
+
+    def _log(self, name: str) -> Parts:
+        return Parts(self.spark, f"{self.path(name)}/log")
+
+    def _unforgotten(self, rows: DataFrame) -> DataFrame:
+        """Rows (walk_id, version, ...) written after their walk was last forgotten."""
+        gone = self.gone.read()
+        if gone is None or "walk_id" not in rows.columns:
+            return rows
+        last = gone.groupBy("walk_id").agg(F.max("version").alias("_gone"))
+        return rows.join(last, "walk_id", "left").filter("_gone IS NULL OR version > _gone").drop("_gone")
+
+    def _newest(self, name: str) -> DataFrame:
+        """walk_id, version: what counts of a table, one row per walk."""
+        entries = self._versions(name).read()
+        if entries is None:
+            raise ValueError(f"the store has no table {name!r}")
+        return self._newest_of(entries)
+
+    def parts_of(self, name: str, newest: DataFrame) -> list[Part]:
+        """The parts that hold versions of `newest` (one at least, for the columns)."""
+        held = {r[0] for r in newest.select("version").distinct().collect()}    # one value per write
+        live = self._rows(name).live()
+        return [p for p in live if held.intersection(p.holds)] or live[:1]
+
     def read(self, name: str, walks: DataFrame | None = None, wide: bool = False) -> DataFrame:
         """The current rows of all walks, or of those in `walks`.
 
         For `wide` rows (images) the list of versions is written first: the planner then
         knows its size and sends it to the rows rather than the rows to it.
         """
-        newest = self.spark.read.parquet(f"{self.path(name)}/versions").groupBy("walk_id").agg(F.max("version").alias("version"))
+        newest = self._newest(name)
         if walks is not None:
             newest = newest.join(walks.select("walk_id").distinct(), "walk_id", "left_semi")
         if wide:
             newest = written(newest, "newest")
-        rows = self.spark.read.parquet(f"{self.path(name)}/rows")
+        rows = self._rows(name).read(self.parts_of(name, newest))
         return rows.join(newest, ["walk_id", "version"], "left_semi").drop("version")
 
     def write(self, name: str, table: DataFrame, walks: DataFrame | None = None) -> DataFrame:
         """Replaces the rows of `walks` (of the walks in `table` if not given) and returns the new ones."""
-        version = time.time_ns()
-        rows = f"{self.path(name)}/rows/version={version}"
-        table.write.parquet(rows)
-        written_rows = self.spark.read.parquet(rows)
-        told = (written_rows if walks is None else walks).select("walk_id").distinct()
-        append(told.withColumn("version", F.lit(version)), f"{self.path(name)}/versions")
-        return written_rows
+        version = self.numbers.take()
+        marked = F.lit(version).cast("long").alias("version")
+        parts = self._rows(name)
+        parts.add(table.select("*", marked), version)
+        rows = self.spark.read.parquet(f"{parts.folder}/part-{version:012d}")
+        told = (rows if walks is None else walks).select("walk_id").distinct()
+        self._versions(name).add(told.select("walk_id", marked), version)
+        return rows.drop("version")
+
+    def has(self, name: str) -> bool:
+        return bool(self._versions(name).live())
+
+    def logged(self, name: str) -> bool:
+        return bool(self._log(name).live())
 
     def log(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        rows = self._log(name).read()
+        if rows is None:
+            raise ValueError(f"the store has no log {name!r}")
+        return self._unforgotten(rows).drop("version")
 
     def append(self, name: str, table: DataFrame) -> None:
-        append(table, self.path(name))
+        number = self.numbers.take()
+        self._log(name).add(table.withColumn("version", F.lit(number).cast("long")), number)
+
+    def forget(self, walks: DataFrame) -> None:
+        """From now on nothing written before of `walks` (walk_id) is read."""
+        number = self.numbers.take()
+        self.gone.add(walks.select("walk_id", F.lit(number).cast("long").alias("version")).distinct(), number)
+
+    def compact(self, most: int = 64) -> dict[str, int]:
+        """Takes outdated and forgotten rows off the disk; returns the parts rewritten per table.
+
+        Of a stage table only parts with such rows are rewritten, and the smallest ones beyond
+        `most`; its version log becomes one row per walk. A log is rewritten where forgotten
+        walks are in it or it has more than `most` parts. Forgotten walk_ids stay noted, so
+        that a write begun before does not bring a walk back.
+        """
+        done = {}
+        for name in Files(self.spark, self.folder).names():
+            if name.startswith("_"):
+                continue
+            if self.has(name):
+                done[name] = self._compact_table(name, most)
+            elif self._log(name).live():
+                done[name] = self._compact_log(name, most)
+        self.numbers.trim()
+        return done
+
+    def _beyond(self, parts: Parts, most: int, noted: set[int] | None = None) -> list[Part]:
+        """The smallest parts, if there are more than `most`. A part whose version is not
+        `noted` yet belongs to a write that is still going on and is left alone."""
+        live = [p for p in parts.live() if noted is None or p.level or noted.issuperset(p.holds)]
+        if len(live) <= most:
+            return []
+        return sorted(live, key=lambda p: parts.files.size(p.name))[:len(live) - most + 1]
+
+    def _compact_table(self, name: str, most: int) -> int:
+        rows, log = self._rows(name), self._versions(name)
+        noted = log.live()
+        entries = written(log.read(noted), "entries")
+        newest = written(self._newest_of(entries), "newest")
+        known = {r[0] for r in entries.select("version").distinct().collect()}
+        outdated = {r[0] for r in entries.join(newest, ["walk_id", "version"], "left_anti").select("version").distinct().collect()}
+        chosen = {p.name: p for p in rows.live() if outdated.intersection(p.holds)} | {p.name: p for p in self._beyond(rows, most, known)}
+        if chosen:
+            kept = rows.read(list(chosen.values())).join(newest, ["walk_id", "version"], "left_semi")
+            rows.merge(list(chosen.values()), kept, self.numbers.take())
+        if outdated or len(noted) > most:
+            log.merge(noted, newest, self.numbers.take())
+        return len(chosen)
+
+    def _newest_of(self, entries: DataFrame) -> DataFrame:
+        return self._unforgotten(entries.groupBy("walk_id").agg(F.max("version").alias("version")))
+
+    def _compact_log(self, name: str, most: int) -> int:
+        log, gone = self._log(name), self.gone.read()
+        chosen = {p.name: p for p in self._beyond(log, most)}
+        rows = log.read()
+        if gone is not None and "walk_id" in rows.columns:
+            last = gone.groupBy("walk_id").agg(F.max("version").alias("_gone"))
+            stale = {r[0] for r in rows.join(last, "walk_id").filter("version <= _gone").select("version").distinct().collect()}
+            chosen |= {p.name: p for p in log.live() if stale.intersection(p.holds)}
+        if chosen:
+            log.merge(list(chosen.values()), self._unforgotten(log.read(list(chosen.values()))), self.numbers.take())
+        return len(chosen)
 
 
 class Progress:
@@ -131,9 +243,13 @@ def number_faces(faces: DataFrame) -> DataFrame:
 def run_walks(tables: StageTables, inputs: Inputs, params: WalkParams,
               embedder: Callable, segmenter: Callable | None = None, first: str = "gate",
               block: int = BLOCK, progress: Callable[[str, str, int | None], None] | None = None,
-              walks: DataFrame | None = None) -> DataFrame:
+              walks: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
     """Runs walks from stage `first` and returns one run record per walk.
 
+    While the run goes on its walks have a job sentinel with the stage they entered at; a run
+    that dies leaves it, which `fleet.stalled_runs` finds in the `inventory`. `labels`
+    (class_id, label) is the segmentation model's vocabulary.
+
     The walks are those of `walks` (walk_id) if given, else of the panoramas where the
     run needs them, else all. Others keep their tables. Walks that cannot go on
     (nothing left after the gate, a blank picture, no threshold) are noted in the
@@ -152,6 +268,7 @@ def run_walks(tables: StageTables, inputs: Inputs, params: WalkParams,
         if panos is None:
             raise ValueError(f"a run from {first} needs the panoramas")
         going = written((panos if walks is None else walks).select("walk_id").distinct(), "walks")
+        begin_job(tables, going, first)
         scored = panos.withColumn("score", images.pano_sharpness(F.col("image"), params.gate))
         if enters("gate"):
             told("gate", "running")
@@ -168,8 +285,12 @@ def run_walks(tables: StageTables, inputs: Inputs, params: WalkParams,
         told("faces", "done", faces.count())
     else:
         faces = tables.read("faces", walks)
+        going = written(faces.select("walk_id").distinct(), "walks")
+        begin_job(tables, going, first)
+    begun = going
     going = written(faces.select("walk_id").distinct(), "walks")
     if going.isEmpty():
+        end_job(tables, begun)
         raise RuntimeError("the run has no faces: the gate left none")
     if enters("embed"):
         told("embed", "running")
@@ -198,7 +319,40 @@ def run_walks(tables: StageTables, inputs: Inputs, params: WalkParams,
             faces_with_vectors(tables, going), near, inputs.native_fps, params.calib, block)
             .withColumn("model", F.lit(params.embed.model_name)), going)
         told("calibrate", "done")
-    return reselect(tables, params, segmenter, first, block, told, going)
+    done = reselect(tables, params, segmenter, first, block, told, going, labels)
+    end_job(tables, begun)
+    return done
+
+
+def begin_job(tables: StageTables, walks: DataFrame, stage: str) -> None:
+    """The job sentinel of `walks`: the stage they enter at."""
+    tables.write("jobs", walks.select("walk_id", F.lit(stage).alias("job_stage"), F.current_timestamp().alias("at")), walks)
+
+
+def end_job(tables: StageTables, walks: DataFrame) -> None:
+    """Clears the sentinel, for walks that failed as well: their failure is noted."""
+    tables.write("jobs", walks.limit(0).select("walk_id", F.lit("").alias("job_stage"), F.current_timestamp().alias("at")), walks)
+
+
+def inventory(tables: StageTables, recordings: DataFrame, panos: DataFrame) -> DataFrame:
+    """What `fleet.stalled_runs` reads: one row per walk with a recording, a sentinel or a manifest.
+
+    `recordings`: walk_id of walks whose video is there; `panos`: walk_id of stitched panoramas.
+    """
+    def held(name: str) -> DataFrame | None:
+        return tables.read(name) if tables.has(name) else None
+
+    def noted(rows: DataFrame | None, flag: str) -> DataFrame | None:
+        return None if rows is None else rows.select("walk_id", F.lit(flag).alias("flag"), F.lit(None).cast("string").alias("stage"))
+
+    jobs = held("jobs")
+    facts = [noted(recordings, "has_source"), noted(panos, "has_panos"), noted(held("manifest"), "has_manifest"),
+             None if jobs is None else jobs.select("walk_id", F.lit("job").alias("flag"), F.col("job_stage").alias("stage")),
+             noted(latest_failures(tables.log("failures")), "has_failure") if tables.logged("failures") else None]
+    rows = reduce(DataFrame.unionByName, [f for f in facts if f is not None])
+    flags = [F.coalesce(F.bool_or(F.col("flag") == f), F.lit(False)).alias(f)
+             for f in ("has_source", "has_manifest", "has_failure", "has_panos")]
+    return rows.groupBy("walk_id").agg(F.max("stage").alias("job_stage"), *flags)
 
 
 def faces_with_vectors(tables: StageTables, walks: DataFrame | None = None) -> DataFrame:
@@ -233,7 +387,8 @@ def settings_rows(walks: DataFrame, params: WalkParams) -> DataFrame:
 
 def run_entries(tables: StageTables, inputs: Inputs, entries: DataFrame, params: WalkParams, embedder: Callable,
                 segmenter: Callable | None = None, block: int = BLOCK,
-                progress: Callable[[str, str, int | None], None] | None = None) -> DataFrame | None:
+                progress: Callable[[str, str, int | None], None] | None = None,
+                labels: DataFrame | None = None) -> DataFrame | None:
     """Runs walks that enter at different stages: `entries` is walk_id, enter_at.
 
     That is what a re-run plan (`first_stage`) or a retry plan asks for; 'start' and
@@ -246,8 +401,8 @@ def run_entries(tables: StageTables, inputs: Inputs, entries: DataFrame, params:
     done = None
     for first in (s for s in STAGES if s in stages):
         walks = asked.filter(F.col("enter_at") == first).select("walk_id")
-        ran = reselect(tables, params, segmenter, first, block, Progress(progress), walks) if first in ("select", "segment") else \
-            run_walks(tables, inputs, params, embedder, segmenter, first, block, progress, walks)
+        ran = reselect(tables, params, segmenter, first, block, Progress(progress), walks, labels) if first in ("select", "segment") else \
+            run_walks(tables, inputs, params, embedder, segmenter, first, block, progress, walks, labels)
         done = ran if done is None else done.unionByName(ran)
     return done
 
@@ -261,7 +416,7 @@ def unfit_walks(vectors: DataFrame, records: DataFrame) -> DataFrame:
 
 def reselect(tables: StageTables, params: WalkParams, segmenter: Callable | None = None,
              entered: str = "select", block: int = BLOCK, progress: Progress | None = None,
-             walks: DataFrame | None = None) -> DataFrame:
+             walks: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
     """Selection, masks and the run record, from stored faces, vectors and calibration.
 
     Only walks that have a threshold are selected anew; the others are noted as failed
@@ -282,15 +437,19 @@ def reselect(tables: StageTables, params: WalkParams, segmenter: Callable | None
     manifest = tables.write("manifest", selection.select_faces(
         faces_with_vectors(tables, able), thresholds, params.dedup, block))
     told("select", "done", manifest.filter("kept").count())
+    # masks belong to the set they were made for: without a segmenter the walks have none
     if params.segment.enabled and segmenter is not None:
         told("segment", "running")
         masks = tables.write("masks", segmentation.segment_kept(
             tables.read("face_images", able, wide=True).select("walk_id", "path", "image"), manifest, segmenter), able)
         told("segment", "done", masks.count())
     else:
-        # masks belong to the set they were made for
         masks = tables.write("masks", manifest.limit(0).select(
             "walk_id", "path", F.lit(0).alias("height"), F.lit(0).alias("width"), F.lit(b"").alias("mask")), able)
+    vocabulary = manifest.limit(0).select(F.lit(0).alias("class_id"), F.lit("").alias("label")) if labels is None else labels
+    model = F.lit(params.segment.model_name).alias("model")
+    tables.write("shares", segmentation.class_shares(masks, vocabulary).select("*", model), able)
+    tables.write("labels", segmentation.used_labels(masks, vocabulary).select("*", model), able)
     segmented = masks.groupBy("walk_id").agg(F.count(F.lit(1)).alias("segmented"))
     run = time.time_ns()
     rows = (run_rows(manifest, records, thresholds, params.embed.model_name, entered)
