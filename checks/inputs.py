@@ -230,7 +230,8 @@ def progress_rows(rows: DataFrame) -> DataFrame:
         F.col("user_id").alias("job"), stage.alias("stage"),
         by_type(view="running", purchase="done", error="error", click="queued",
                 signup="queued").alias("status"),
-        F.col("event_id").alias("seq"), F.col("ts").alias("at"))
+        F.col("event_id").alias("seq"), F.col("ts").alias("at"),
+        F.when(F.col("event_type") != "click", F.create_map(stage, F.floor(F.col("value") * 10))).alias("counts"))
 
 
 def run_lines(spark, sf_dir) -> DataFrame:

@@ -473,6 +473,17 @@ QUERIES = {
     "requantile": """
         SELECT walk_id, round(quantile_cont(c, 0.98), 4) AS tau, count(*) AS far_n, round(quantile_cont(c, 0.99), 4) AS far_p99
         FROM far_ranks GROUP BY walk_id""",
+    "merged_thresholds": """
+        SELECT walk_id, yaw, n, min(c) FILTER (WHERE r >= ceil(round(0.5 * n, 6))) AS median, min(c) FILTER (WHERE r >= ceil(round(0.95 * n, 6))) AS p95,
+               min(c) FILTER (WHERE r >= ceil(round(0.99 * n, 6))) AS p99, max(c) AS max,
+               CASE WHEN n >= 50 THEN min(c) FILTER (WHERE r >= ceil(round(0.95 * n, 6))) END AS tau
+        FROM (SELECT walk_id, yaw, c, row_number() OVER w AS r, count(*) OVER (PARTITION BY walk_id, yaw) AS n
+              FROM (SELECT CASE WHEN level < 2 THEN walk_id END AS walk_id, CASE WHEN level < 1 THEN yaw END AS yaw, round(c, 4) + 0 AS c
+                    FROM far, range(3) t(level)) WINDOW w AS (PARTITION BY walk_id, yaw ORDER BY c))
+        GROUP BY walk_id, yaw, n""",
+    "job_counts_stream": f"""
+        SELECT user_id AS job, {STAGE_LIST}[event_id % 7 + 1] AS name, arg_max(CAST(floor(value * 10) AS BIGINT), event_id) AS value
+        FROM events WHERE event_type <> 'click' GROUP BY ALL""",
     "class_shares": "SELECT * FROM shares",
     "class_mix": "SELECT * FROM mix",
     "stage_counts": """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks import inputs as I
 from walksieve.operators import (calibration, export, fleet, frames, images, metadata, pairs,
-                                 review, segmentation, selection)
+                                 review, segmentation, selection, summaries)
 from walksieve.functions import text
 from walksieve.functions.vectors import l2_normalise, norm
 from walksieve.params import Calib, Dedup, Faces, Gate, Segment, WalkParams
@@ -324,6 +324,16 @@ def far_sketch(spark, d):
     return calibration.far_sketch(hist, keep=100)
 
 
+def merged_thresholds(spark, d):
+    """Thresholds of every heading of a walk, of walks and of the fleet, from merged sketches."""
+    size = 4096
+    hist = pairs.far_histogram(I.faces(spark, d), Calib().far_seconds)
+    parts = cut(summaries.far_summary(hist, ("walk_id", "yaw"), size))
+    levels = [parts, summaries.merged(parts, ("walk_id",), size).withColumn("yaw", F.lit(None).cast("int")),
+              summaries.merged(parts, (), size).withColumns({"walk_id": F.lit(None).cast("long"), "yaw": F.lit(None).cast("int")})]
+    return summaries.summary_quantiles(levels[0].unionByName(levels[1]).unionByName(levels[2]))
+
+
 def requantile(spark, d):
     return calibration.requantile(records(spark, d), 2.0).select(
         "walk_id", "tau", F.col("far.n").alias("far_n"), F.col("far.p99").alias("far_p99"))
@@ -464,7 +474,7 @@ def _event_stream(spark, d) -> DataFrame:
 
 def _drained(spark, view: DataFrame, keys: list[str], label: str) -> DataFrame:
     folder = scratch_path(spark, label)
-    live_views.maintain(view, f"{folder}/view", f"{folder}/checkpoint").awaitTermination()
+    live_views.maintain(view, keys, f"{folder}/view", f"{folder}/checkpoint").awaitTermination()
     return live_views.read_view(view, keys, f"{folder}/view")
 
 
@@ -479,6 +489,13 @@ def stage_board_stream(spark, d):
     return _drained(spark, board, ["job", "stage"], "board")
 
 
+def job_counts_stream(spark, d):
+    """The newest of every count that jobs tell, kept as a stream; one row per count."""
+    told = I.progress_rows(_event_stream(spark, d))
+    kept = _drained(spark, live_views.newest_counts(told), ["job", "name"], "counts")
+    return live_views.job_counts(kept).select("job", F.explode("counts").alias("name", "value"))
+
+
 # ---- fleet -------------------------------------------------------------------------------
 
 def rerun_plan(spark, d):
@@ -545,7 +562,8 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     class_mix, stage_counts, review_counts, selection_summary, heading_ratio, sample_panos,
     decision_replay, stage_durations, stage_seconds, greedy_dedup, solo_drop, select, select_fixed,
     threshold_rule, threshold_sweep, reselect, meta_upsert, meta_patch, meta_patch_missing, meta_unknown_fields,
-    forget_walks, forget_decisions, decision_replay_stream, stage_board_stream, rerun_plan,
+    forget_walks, forget_decisions, decision_replay_stream, stage_board_stream,
+    job_counts_stream, merged_thresholds, rerun_plan,
     stalled_runs, retry_plan, stage_states, walk_run, walk_rerun)}
 QUERIES |= {"manifest": QUERIES.pop("manifest_file"), "export_manifest": export_rows,
             "l2_normalise": l2_normalise_vectors}

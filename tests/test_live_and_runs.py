@@ -7,6 +7,7 @@ from walksieve.params import Calib, Dedup, Faces, Gate, Segment, WalkParams
 from walksieve.operators import fleet
 from walksieve.plans.walk_run import (Inputs, StageTables, number_faces, progress_log, requantile,
                                       reselect, run_entries, run_walks)
+from walksieve.sources.parts import Parts
 from walksieve.sources.tables import parse_runs
 from walksieve.streaming import live_views
 from tests.test_images import table
@@ -15,7 +16,7 @@ LOG = "id long, walk_id long, anchor string, action string, pick string"
 
 
 def drain(view, keys, folder):
-    live_views.maintain(view, f"{folder}/view", f"{folder}/checkpoint").awaitTermination()
+    live_views.maintain(view, keys, f"{folder}/view", f"{folder}/checkpoint").awaitTermination()
     return live_views.read_view(view, keys, f"{folder}/view")
 
 
@@ -45,6 +46,79 @@ def test_stage_board(spark, tmp_path):
     assert got == {("j", "gate"): ("done", 2), ("j", "faces"): ("running", 1), ("k", "gate"): ("error", 1)}
 
 
+def test_counts_merge_whatever_the_order(spark, tmp_path):
+    """Newest value per name, also where a count is told late, again, or with the same number."""
+    rng = np.random.default_rng(4)
+    rows = [(f"j{rng.integers(3)}", int(s), {f"n{k}": int(rng.integers(100)) for k in rng.choice(5, 2, replace=False)}) for s in range(120)]
+    rows += [rows[5], ("j0", 200, None), ("j0", 201, {}), ("j9", 1, {"a": 1}), ("j9", 1, {"a": 7})]
+    want = {}
+    for job, seq, counts in sorted(rows, key=lambda r: (r[1], r[0], str(r[2]))):
+        for name, value in (counts or {}).items():
+            want.setdefault(job, {})[name] = value
+    schema = "job string, seq long, counts map<string,long>"
+    for turn in range(2):
+        order = rng.permutation(len(rows))
+        source = tmp_path / f"log{turn}"
+        source.mkdir()
+        for part in np.array_split(order, 3):
+            spark.createDataFrame([rows[i] for i in part], schema).coalesce(1).write.mode("append").parquet(str(source))
+        assert {r.job: r.counts for r in live_views.job_counts(live_views.newest_counts(spark.read.parquet(str(source)))).collect()} == want
+        view = live_views.newest_counts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source)))
+        kept = drain(view, ["job", "name"], str(tmp_path / f"kept{turn}"))
+        assert {r.job: r.counts for r in live_views.job_counts(kept).collect()} == want
+
+
+def test_a_view_of_many_batches_has_few_parts(spark, tmp_path):
+    """Levels of merged parts; batches that are replayed before and after their merge change nothing."""
+    rng = np.random.default_rng(5)
+    schema = "walk_id long, anchor string, pick string, dropped boolean, batch long"
+    parts, keys, want, batches = Parts(spark, str(tmp_path / "view")), ["walk_id", "anchor"], {}, []
+    for batch in range(11):
+        rows = {(int(rng.integers(3)), f"f{rng.integers(4)}"): (None if rng.random() < 0.3 else f"p{batch}", bool(rng.integers(2))) for _ in range(3)}
+        want |= rows
+        batches.append(spark.createDataFrame([(*k, *v, batch) for k, v in rows.items()], schema).coalesce(1))
+    for batch, changes in enumerate(batches):
+        parts.add(changes, batch)
+        if batch == 4:
+            parts.add(changes, batch)
+        live_views.compact(parts, keys, fan=2)
+        levels = [p.level for p in parts.live()]
+        assert len(set(levels)) == len(levels) == bin(batch + 1).count("1")
+        if batch == 7:              # 0 to 7 are one part; an unfinished merge lies around
+            parts.add(batches[6], 6)
+            (tmp_path / "view" / "merged-000000000099-1").mkdir()
+            assert len(parts.live()) == 1
+    view = spark.createDataFrame([], schema).drop("batch")
+    got = {(r.walk_id, r.anchor): (r.pick, r.dropped) for r in live_views.read_view(view, keys, str(tmp_path / "view")).collect()}
+    assert got == want
+    assert live_views.read_view(view, keys, str(tmp_path / "nothing")).count() == 0
+    with pytest.raises(ValueError):
+        live_views.maintain(view, keys, "v", "c", fan=1)
+
+
+def test_counts_are_taken_while_writing(spark, tmp_path):
+    """No job more than the write itself, of some rows, of none, and of those that a condition holds for."""
+    tables = StageTables(spark, str(tmp_path))
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+
+    def jobs(group, work):
+        context.setJobGroup(group, group)
+        try:
+            out = work()
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        return out, len(tracker.getJobIdsForGroup(group))
+
+    rows = spark.range(1000).select((F.col("id") % 7).alias("walk_id"), "id")
+    _, plain = jobs("plain", lambda: tables.write("plain", rows))
+    (_, n), seen = jobs("seen", lambda: tables.counted("seen", rows))
+    assert n == 1000 and seen == plain > 0
+    assert tables.counted("some", rows, of=F.col("id") < 10)[1] == 10
+    for empty in (rows.limit(0), rows.filter("id < 0"), rows.join(rows.filter("id < 0").select("id"), "id")):
+        assert tables.counted("none", empty)[1] == 0
+    assert tables.read("seen").count() == 1000
+
+
 def test_faces_are_numbered_by_panorama_then_heading(spark):
     df = spark.createDataFrame([(0, p, y) for p in (2, 0) for y in (315, 45)], "walk_id long, pano_idx int, yaw int")
     got = [(r.pano_idx, r.yaw) for r in number_faces(df).orderBy("face_idx").collect()]

@@ -82,12 +82,15 @@ def _apart(table: pa.Table, rows, cols, same: bool, far_seconds: float) -> np.nd
     """Which cells of a strip are far pairs."""
     t = numbers(table["t_sec"])
     apart = np.abs(t[rows][:, None] - t[cols][None, :]) > far_seconds
+    if "_later" in table.column_names:
+        later = numbers(table["_later"]).astype(bool)
+        apart &= later[rows][:, None] | later[cols][None, :]
     return np.triu(apart, k=1) if same else apart
 
 
-def _slim(faces: DataFrame) -> DataFrame:
+def _slim(faces: DataFrame, *more: Column) -> DataFrame:
     return faces.select("walk_id", F.col("yaw").cast("int").alias("yaw"), "face_idx",
-                        F.col("t_sec").cast("double").alias("t_sec"), "embedding")
+                        F.col("t_sec").cast("double").alias("t_sec"), *more, "embedding")
 
 
 class _Cells:
@@ -118,13 +121,14 @@ _MIDDLE = int(BINS * 1.02)      # room for rounding on either side of 1
 _SUM_CELLS = (F.sum, "pairs"), (F.min, "low"), (F.max, "high")
 
 
-def far_histogram(faces: DataFrame, far_seconds: float, size: int = BLOCK) -> DataFrame:
+def far_histogram(faces: DataFrame, far_seconds: float, size: int = BLOCK,
+                  later: Column | None = None) -> DataFrame:
     """Far pairs counted by heading and 4-decimal cosine.
 
     A far pair is two faces of one heading more than `far_seconds` apart. `bin`
     is the rounded cosine times 10 000, so a walk has at most 20 001 of them;
     `low` and `high` are the extreme cosines in it. Columns: walk_id, yaw, bin,
-    pairs, low, high.
+    pairs, low, high. Given `later`, only pairs with a face where it is true are counted.
     """
     def place(value):
         if max(-value.min(), value.max()) > 1.01:
@@ -133,13 +137,15 @@ def far_histogram(faces: DataFrame, far_seconds: float, size: int = BLOCK) -> Da
 
     def count(key, table):
         cells = _Cells(2 * _MIDDLE + 1, place)
-        for rows, cols, cos, same in _strips(key, table):
+        some = "_later" not in table.column_names or numbers(table["_later"]).any()
+        for rows, cols, cos, same in _strips(key, table) if some else ():
             cells.add(cos[_apart(table, rows, cols, same, far_seconds)])
         return cells.table(walk_id=(key[0].as_py(), table.schema.field("walk_id").type),
                            yaw=(key[1].as_py(), pa.int32()))
 
     walk_type = faces.schema["walk_id"].dataType.simpleString()
-    return (met_blocks(_slim(faces), ["walk_id", "yaw"], size)
+    marks = () if later is None else (F.coalesce(later, F.lit(False)).cast("int").alias("_later"),)
+    return (met_blocks(_slim(faces, *marks), ["walk_id", "yaw"], size)
             .drop("face_idx").groupBy("walk_id", "yaw", "_pa", "_pb")
             .applyInArrow(count, f"walk_id {walk_type}, yaw int, cell long, pairs long, "
                                  "low double, high double")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from walksieve.functions.ordinals import integer_ordinal
@@ -118,6 +118,15 @@ class StageTables:
         self._versions(name).add(told.select("walk_id", marked), version)
         return rows.drop("version")
 
+    def counted(self, name: str, table: DataFrame, walks: DataFrame | None = None,
+                of: Column | None = None) -> tuple[DataFrame, int]:
+        """As `write`, with the number of rows (those where `of` is true), which the job that
+        writes them takes on its way."""
+        seen = Observation()
+        which = F.lit(True) if of is None else of
+        rows = self.write(name, table.observe(seen, F.count_if(which).alias("rows")), walks)
+        return rows, seen.get.get("rows", 0)
+
     def has(self, name: str) -> bool:
         return bool(self._versions(name).live())
 
@@ -274,15 +283,15 @@ def run_walks(tables: StageTables, inputs: Inputs, params: WalkParams,
             told("gate", "running")
             scores = tables.write("scores", scored.select("walk_id", "pano_idx", "t_sec", "score"), going)
             floors = tables.write("gate_floors", frames.gate_floors(scores, params.gate), going)
-            sharp = tables.write("sharp", frames.above_floor(scores, floors), going)
+            sharp, sharp_rows = tables.counted("sharp", frames.above_floor(scores, floors), going)
             emptied = frames.emptied_walks(scores.select("walk_id").distinct(), sharp)
             note_failures(tables, emptied.withColumn("message", F.lit("no panorama passed the gate")), "gate")
-            told("gate", "done", sharp.count())
+            told("gate", "done", sharp_rows)
         told("faces", "running")
         kept = frames.above_floor(scored, tables.read("gate_floors", going))
         pictures = tables.write("face_images", images.render_faces(kept, params.faces))
-        faces = tables.write("faces", number_faces(pictures.drop("image")))
-        told("faces", "done", faces.count())
+        faces, face_rows = tables.counted("faces", number_faces(pictures.drop("image")))
+        told("faces", "done", face_rows)
     else:
         faces = tables.read("faces", walks)
         going = written(faces.select("walk_id").distinct(), "walks")
@@ -301,10 +310,10 @@ def run_walks(tables: StageTables, inputs: Inputs, params: WalkParams,
         blank = written(embedded.filter("problem <> ''").groupBy("walk_id").agg(F.min("problem").alias("message")), "blank")
         note_failures(tables, blank, "embed")
         going = written(going.join(blank, "walk_id", "left_anti"), "walks")
-        made = tables.write("vectors", faces.join(going, "walk_id", "left_semi").select("walk_id", "face_idx", "path")
+        _, made = tables.counted("vectors", faces.join(going, "walk_id", "left_semi").select("walk_id", "face_idx", "path")
                             .join(embedded.drop("problem"), ["walk_id", "path"])
                             .withColumn("model", F.lit(params.embed.model_name)), going)
-        told("embed", "done", made.count())
+        told("embed", "done", made)
     if enters("calibrate"):
         if inputs.neighbours is None:
             raise ValueError(f"a run from {first} needs the frames after the sampled ones")
@@ -434,15 +443,15 @@ def reselect(tables: StageTables, params: WalkParams, segmenter: Callable | None
     thresholds = written(selection.threshold_rule(asked, records), "thresholds")
     note_failures(tables, thresholds.filter("problem <> ''").withColumnRenamed("problem", "message"), "select")
     able = thresholds.filter("problem = ''").select("walk_id")
-    manifest = tables.write("manifest", selection.select_faces(
-        faces_with_vectors(tables, able), thresholds, params.dedup, block))
-    told("select", "done", manifest.filter("kept").count())
+    manifest, kept = tables.counted("manifest", selection.select_faces(
+        faces_with_vectors(tables, able), thresholds, params.dedup, block), of=F.col("kept"))
+    told("select", "done", kept)
     # masks belong to the set they were made for: without a segmenter the walks have none
     if params.segment.enabled and segmenter is not None:
         told("segment", "running")
-        masks = tables.write("masks", segmentation.segment_kept(
+        masks, masked = tables.counted("masks", segmentation.segment_kept(
             tables.read("face_images", able, wide=True).select("walk_id", "path", "image"), manifest, segmenter), able)
-        told("segment", "done", masks.count())
+        told("segment", "done", masked)
     else:
         masks = tables.write("masks", manifest.limit(0).select(
             "walk_id", "path", F.lit(0).alias("height"), F.lit(0).alias("width"), F.lit(b"").alias("mask")), able)
