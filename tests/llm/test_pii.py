@@ -1,9 +1,12 @@
 import hashlib
+import random
 import re
+import time
 
 from hypothesis import given as any_of
 from hypothesis import settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from walksieve.llm import pii, queries
 
@@ -70,6 +73,32 @@ def test_odd_texts(docs_of):
     assert [r.spans for r in pii.digest(pii.personal_data(docs_of([(1, "none")]))).collect()] == [""]
 
 
+def test_very_many_matches_in_one_text(docs_of):
+    """A log of 40 000 words with digits, every eighth an address: minutes if the work grew with the square."""
+    words = [f"1.2.3.{i % 250}" if i % 8 == 0 else f"x{i}é" for i in range(40_000)]
+    text = " ".join(words)
+    begun = time.monotonic()
+    row = pii.digest(pii.personal_data(docs_of([(1, text)]))).first()
+    assert time.monotonic() - begun < 60
+    base = plain_base(text)
+    assert row.n_ip == 5000 and row.base_sha256 == hashlib.sha256(base_text(base).encode()).hexdigest()
+    for s in row.spans.split(","):
+        kind, a, b = s.split(":")
+        assert kind in ("ip", "other") and text[int(a):int(b)] == text[int(a):].split(" ")[0].rstrip("é") and text[int(a) - 1:int(a)] in ("", " ")
+
+
+def test_base_overlap_is_found_by_halving(spark):
+    """Against every span in turn, for none to nine spans."""
+    rng = random.Random(3)
+    rows = []
+    for n in range(10):
+        ends = sorted(rng.sample(range(60), 2 * n))
+        spans = [(ends[2 * i], ends[2 * i + 1]) for i in range(n)]
+        rows += [(spans, (a, a + w), any(x < a + w and a < y for x, y in spans)) for a in range(0, 60, 3) for w in (1, 2, 7)]
+    df = spark.createDataFrame(rows, "spans array<struct<start: bigint, end: bigint>>, c struct<start: bigint, end: bigint>, want boolean")
+    assert df.filter(pii._overlaps(F.col("spans"), F.col("c")) != F.col("want")).count() == 0
+
+
 @settings(max_examples=8, deadline=None)
 @any_of(st.lists(st.text(alphabet="0129.@ab-+() é😀_%", max_size=60), min_size=80, max_size=120))
 def test_patterns_match_like_the_plain_ones(spark, texts):

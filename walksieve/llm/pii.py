@@ -12,6 +12,9 @@ added as kind `other`; base spans always stay.
 All row work is column expressions. What reaches the driver are counts per vote pattern
 and per (feature, vote pattern): their number is fixed by the labelers, not by the data.
 
+The work for a text grows with its length, and with the number of its matches times
+that number's root.
+
 A null text is empty. Ties and repeated rows give equal results; an empty table gives an
 empty result; extra columns are not read.
 """
@@ -54,20 +57,63 @@ def _matches(text: Column, pattern: str, needs: str) -> Column:
     return F.when(there, F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g")))
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is evaluated once, however often `body` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, start: Column) -> Column:
+    """Running sums from `start` on. The array grows by copying, so for short arrays only."""
+    empty = F.struct(start.cast("long").alias("at"), F.expr("cast(array() AS array<bigint>)").alias("sums"))
+
+    def add(acc, x):
+        at = acc["at"] + x
+        return F.struct(at.alias("at"), F.concat(acc["sums"], F.array(at)).alias("sums"))
+
+    return F.aggregate(values, empty, add, lambda acc: acc["sums"])
+
+
+def _ends(widths: Column) -> Column:
+    """Running sums of an array of any length: within blocks of its length's square root, from
+    the running sums of the blocks, so that the copying grows with the length times its root."""
+    def summed(parts):
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, x: a + x))
+        begun = F.concat(F.array(F.lit(0).cast("long")), _running(totals, F.lit(0)))
+        return _let(begun, lambda b: F.flatten(F.transform(parts, lambda p, k: _running(p, F.get(b, k)))))
+
+    def cut(w):
+        block = F.ceil(F.sqrt(F.size(w))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.ceil(F.size(w) / block).cast("int") - 1), lambda k: F.slice(w, k * block + 1, block))
+
+    return _let(widths, lambda w: _let(cut(w), summed))
+
+
 def _spans(found: Column) -> Column:
-    """array<struct<start, end, m, gap>> in code points, from matches and gaps."""
-    empty = F.expr("struct(0L AS at, cast(array() AS array<struct<start: bigint, end: bigint, m: string, gap: string>>) AS spans)")
+    """array<struct<start, end, m, gap>> in code points, from matches and gaps.
+
+    Of the gap before a match its last 40 code points are kept, for the word before it.
+    """
+    def placed(f):
+        at = F.sequence(F.lit(0), F.size(f["m"]) - 1)
+        widths = F.transform(at, lambda i: F.length(F.get(f["g"], i)) + F.length(F.get(f["m"], i)))
+        return _let(_ends(widths), lambda ends: F.transform(f["m"], lambda m, i: F.struct(
+            (F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("m"), F.right(F.get(f["g"], i), F.lit(40)).alias("gap"))))
 
-    def add(acc, i):
-        m, gap = F.get(found["m"], i), F.get(found["g"], i)
-        start = acc["at"] + F.length(gap)
-        end = start + F.length(m)
-        one = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), m.alias("m"), F.right(gap, F.lit(40)).alias("gap"))
-        return F.struct(end.cast("long").alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
+    none = F.expr("cast(array() AS array<struct<start: bigint, end: bigint, m: string, gap: string>>)")
+    return _let(found, lambda f: F.when(f.isNotNull() & (F.size(f["m"]) > 0), placed(f)).otherwise(none))
 
-    n = F.size(found["m"])
-    some = F.aggregate(F.sequence(F.lit(0), n - 1), empty, add, lambda acc: acc["spans"])
-    return F.when(found.isNotNull() & (n > 0), some).otherwise(F.expr("cast(array() AS array<struct<start: bigint, end: bigint, m: string, gap: string>>)"))
+
+def _overlaps(spans: Column, c: Column) -> Column:
+    """Whether a span of `spans`, in order and apart from each other, overlaps `c`: the last one
+    that begins before the end of `c` is found by halving."""
+    steps = F.sequence(F.ceil(F.log2(F.size(spans) + 1)).cast("int"), F.lit(0), F.lit(-1))
+
+    def step(before, b):
+        ahead = (before + F.call_function("shiftleft", F.lit(1), b)).cast("int")
+        return F.when((ahead <= F.size(spans)) & (F.get(spans, ahead - 1)["start"] < c["end"]), ahead).otherwise(before)
+
+    before = F.aggregate(steps, F.lit(0), step)
+    return F.when(F.size(spans) == 0, F.lit(False)).otherwise(_let(before, lambda n: (n > 0) & (F.get(spans, n - 1)["end"] > c["start"])))
 
 
 def _digits(m: Column) -> Column:
@@ -109,12 +155,12 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
     return out
 
 
-def _votes(c: Column, base: Column) -> Column:
+def _votes(c: Column, base: Column) -> Column:      # base: the spans of each kind
     """One letter per labeler: y for personal data, n for not, - for no opinion."""
     word, before = F.lower(c["m"]), F.lower(F.regexp_extract(c["gap"], r"([A-Za-z]+)[^A-Za-z]{0,4}$", 1))
     digits = F.length(_digits(c["m"]))
     return F.concat(
-        F.when(F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])), "y").otherwise("-"),
+        F.when(F.exists(base, lambda spans: _overlaps(spans, c)), "y").otherwise("-"),
         F.when(c["m"].rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$|[0-9]{3}[-.][0-9]{4}$") | (digits >= 9), "y").when(digits <= 2, "n").otherwise("-"),
         F.when(_any(word, OWN_WORDS), "y").when(_any(word, PLAIN_WORDS), "n").otherwise("-"),
         F.when(before.isin(*BEFORE_OWN), "y").when(before.isin(*BEFORE_PLAIN), "n").otherwise("-"),
@@ -142,7 +188,11 @@ def candidates(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", *[_matches(F.col("text"), PATTERNS[k], NEEDS[k]).alias(f"f_{k}") for k in KINDS], _matches(F.col("text"), CANDIDATE, "").alias("f_asked"))
     rows = rows.select("doc_id", *[_spans(F.col(f"f_{k}")).alias(f"s_{k}") for k in KINDS], _spans(F.col("f_asked")).alias("s_asked"))
     rows = rows.select("doc_id", F.array_sort(F.concat(*[_checked(at, k) for at, k in enumerate(KINDS)])).alias("base"), "s_asked")
-    asked = F.transform("s_asked", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _votes(c, F.col("base")).alias("votes"), _features(c).alias("features")))
+    def of_kind(at):
+        return F.filter("base", lambda b: b["k"] == at)
+
+    kinds = F.array(*[of_kind(at) for at in range(len(KINDS))])
+    asked = _let(kinds, lambda base: F.transform("s_asked", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _votes(c, base).alias("votes"), _features(c).alias("features"))))
     return rows.select("doc_id", "base", asked.alias("asked"))
 
 
@@ -195,7 +245,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     def accepted(c):
         score = F.aggregate(c["features"], F.lit(bias), lambda z, f: z + F.coalesce(table[f], F.lit(0.0)))
-        apart = ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        apart = ~c["votes"].startswith("y")      # the first labeler is the base spans
         return apart & (score >= math.log(ACCEPT / (1 - ACCEPT)))
 
     none = F.expr("cast(array() AS array<struct<start: bigint, k: int, end: bigint>>)")
