@@ -128,6 +128,18 @@ def test_rerun_plan(spark):
     assert plan(spark, ("gate", "dead", '"0.2"'))[0] == "rejected"
 
 
+def test_stored_settings_are_never_broadcast(spark):
+    """Settings exploded from a walk's row are many more than the planner thinks."""
+    names = F.array(*[F.lit(n) for n in ("dead", "band", "other")])
+    stored = (spark.range(20).select(F.col("id").alias("walk_id"), F.explode(names).alias("field"))
+              .select("walk_id", F.lit("gate").alias("section"), "field", F.lit("0.3").alias("value")))
+    asked = spark.createDataFrame([(i, i % 20, "gate", "dead", "0.3" if i < 20 else "0.2") for i in range(40)],
+                                  "request_id long, walk_id long, section string, field string, value string")
+    planned = fleet.rerun_plan(stored, asked, spark.range(1).select(F.col("id").alias("walk_id")))
+    assert "SortMergeJoin" in planned._jdf.queryExecution().executedPlan().toString()
+    assert {r.request_id: r.outcome for r in planned.collect()} == {i: "unchanged" if i < 20 else "queued" for i in range(40)}
+
+
 def test_params_round_trip():
     saved = WalkParams().to_dict()
     saved["faces"]["yaws"] = list(saved["faces"]["yaws"])

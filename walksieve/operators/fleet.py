@@ -215,6 +215,9 @@ def rerun_plan(stored: DataFrame, patches: DataFrame, has_sketch: DataFrame) ->
     JSON text and are compared as what they say: 110 is 110.0, and white space in a
     list is no change. Columns: request_id, walk_id, outcome (rejected, unchanged,
     inline or queued), first_stage, changed, needs_video.
+
+    The stored settings are joined by merging: they are often made by exploding a walk's
+    row, which the planner takes for as small as before and would broadcast.
     """
     stage_of = F.element_at(F.create_map(*[F.lit(x) for kv in SECTION_STAGE.items() for x in kv]),
                             F.col("section"))
@@ -222,7 +225,7 @@ def rerun_plan(stored: DataFrame, patches: DataFrame, has_sketch: DataFrame) ->
     current = stored.select("walk_id", "section", "field", F.col("value").alias("_stored"))
     name = F.concat_ws(".", "section", "field")
     rows = (patches.filter("value IS NOT NULL")
-            .join(current, ["walk_id", "section", "field"], "left")
+            .join(current.hint("merge"), ["walk_id", "section", "field"], "left")
             .withColumn("_name", name)
             .withColumn("_asked", read_setting(F.col("_name"), F.col("value")))
             .withColumn("_now", read_setting(F.col("_name"), F.coalesce("_stored", F.try_element_at(default, F.col("_name")))))
