@@ -88,6 +88,29 @@ def test_rules_shorten_repetitive_ids():
     assert all(len(repair.expand(np.array([(1 << 17) + k], np.uint32), rules, 1 << 17)) == n for k, n in enumerate(lengths))
 
 
+@pytest.mark.parametrize("lift", [0, 1 << 62])
+def test_frequent_pairs_by_count_then_by_pair(lift):
+    """Also where a pair and its place do not fit one number."""
+    rng, lift = np.random.default_rng(0), np.uint64(lift)
+    keys = rng.integers(0, 40, 500).astype(np.uint64) + lift
+    pairs, at = repair.frequent_pairs(keys, 12)
+    counted = {k: int((keys == k).sum()) for k in set(keys.tolist())}
+    wanted = sorted((k for k, n in counted.items() if n >= 12), key=lambda k: (-counted[k], k))
+    assert pairs.tolist() == wanted and 0 < len(wanted) < len(counted)
+    assert at.tolist() == [wanted.index(k) if k in wanted else len(wanted) for k in keys.tolist()]
+
+
+def test_all_documents_of_a_shard_at_once(monkeypatch):
+    """Whole reads expand each rule once, not each document from its own range."""
+    rng = np.random.default_rng(1)
+    texts = [np.append(rng.choice([5, 6, 7], n), 0).astype(np.uint32) for n in (300, 0, 7, 1200, 1)]
+    shard = repair.Shard(repair.pack([1, 2, None, 4, 4], texts, 1 << 17))
+    calls, plain = [], repair.expand
+    monkeypatch.setattr(repair, "expand", lambda *a: calls.append(1) or plain(*a))
+    assert len(shard.rules) and [d.tolist() for d in shard.documents()] == [t.tolist() for t in texts]
+    assert len(calls) == 1
+
+
 def test_separator_query_counts_every_document(spark, given, library):
     got = {r.doc_id: r.n_tokens for r in queries.op6_separator_scan(spark, SF).collect()}
     library.encode_special_tokens = True

@@ -30,46 +30,65 @@ LEAST = 6                 # a pair is replaced if it occurs so often
 SHARD_IDS = 1 << 18
 
 
+def frequent_pairs(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that occur `least` times or more, by falling count, then by pair, and for
+    every place which of them it is; their number where it is none."""
+    bits = len(keys).bit_length()
+    if int(keys.max()) < 1 << (64 - bits):       # a pair and its place fit one number, which sorts faster
+        both = np.sort(keys << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64))
+        ordered, order = both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).view(np.int64)
+    else:
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+    begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    count = np.diff(np.append(begin, len(keys)))
+    often = np.flatnonzero(count >= least)
+    often = often[np.argsort(-count[often], kind="stable")]
+    kind = np.int32 if len(keys) < 1 << 31 else np.int64
+    rank = np.full(len(count), len(often), dtype=kind)
+    rank[often] = np.arange(len(often), dtype=kind)
+    at = np.empty(len(keys), dtype=kind)
+    at[order] = np.repeat(rank, count)
+    return ordered[begin[often]], at
+
+
 def compress(ids: np.ndarray, first_free: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The remaining sequence, the rules (n, 2) and their expansion lengths."""
-    seq, rules, lengths = ids.astype(np.uint64), [np.empty((0, 2), np.uint64)], [np.empty(0, np.int64)]
+    seq, lengths = ids.astype(np.uint32), np.empty(0, np.int64)
+    # here nonterminals follow the ids that occur, so that a pair is a small number
+    gap = first_free - (int(seq.max()) + 1 if len(seq) else 0)
+    terminals, rules = np.uint64(first_free - gap), [np.empty((0, 2), np.uint64)]
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        keys = seq[:-1] << np.uint64(32) | seq[1:]
-        order = np.argsort(keys)
-        ordered = keys[order]
-        begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        count = np.diff(np.append(begin, len(keys)))
-        # rank by count, then by pair: smaller is taken first
-        rank = np.empty(len(count), dtype=np.int64)
-        rank[np.lexsort((np.arange(len(count)), -count))] = np.arange(len(count))
-        rank[count < least] = len(keys)
-        at = np.empty(len(keys), dtype=np.int64)
-        at[order] = np.repeat(rank, count)
-        guard = np.concatenate(([len(keys)], at, [len(keys)]))
+        wide = np.uint64((int(terminals) + len(lengths)).bit_length())
+        pairs, at = frequent_pairs(seq[:-1].astype(np.uint64) << wide | seq[1:], least)
+        held = at < len(pairs)
+        chosen = held.copy()
+        chosen[1:] &= at[1:] <= at[:-1]
+        chosen[:-1] &= at[:-1] <= at[1:]
         # in a run of one pair (a a a a) every other place
-        place = np.arange(len(keys))
-        since = np.maximum.accumulate(np.where(at != guard[:-2], place, 0))
-        taken = np.flatnonzero((at <= guard[:-2]) & (at <= guard[2:]) & (at < len(keys)) & ((place - since) % 2 == 0))
-        used, which, times = np.unique(at[taken], return_inverse=True, return_counts=True)
-        good = times >= least // 2
-        taken, which = taken[good[which]], (np.cumsum(good) - 1)[which][good[which]]
+        again = np.flatnonzero((at[1:] == at[:-1]) & held[1:]) + 1
+        if len(again):
+            starts = np.maximum.accumulate(np.where(np.append(True, np.diff(again) > 1), again - 1, 0))
+            chosen[again[(again - starts) % 2 == 1]] = False
+        taken = np.flatnonzero(chosen)
+        which = at[taken]
+        good = np.bincount(which, minlength=len(pairs)) >= max(least // 2, 1)
+        taken, which = taken[good[which]], (np.cumsum(good) - 1)[which[good[which]]]
         if not len(taken):
             break
-        pair_of_rank = np.empty(len(count), dtype=np.uint64)
-        pair_of_rank[rank[rank < len(keys)]] = ordered[begin[rank < len(keys)]]
-        new = pair_of_rank[used[good]]
-        new = np.stack((new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)), axis=1)
-        known = np.concatenate(lengths)
-        long = lambda s, known=known: np.where(s < first_free, 1, known[np.maximum(s.astype(np.int64) - first_free, 0)] if len(known) else 1)
-        seq[taken] = which.astype(np.uint64) + np.uint64(first_free + len(known))
+        new = np.stack((pairs[good] >> wide, pairs[good] & ((np.uint64(1) << wide) - np.uint64(1))), axis=1)
+        sizes = np.ones(new.shape, dtype=np.int64)
+        sizes[new >= terminals] = lengths[(new[new >= terminals] - terminals).astype(np.int64)]
+        seq[taken] = (which + int(terminals) + len(lengths)).astype(np.uint32)
         stay = np.ones(len(seq), dtype=bool)
         stay[taken + 1] = False
         seq = seq[stay]
         rules.append(new)
-        lengths.append(long(new[:, 0]) + long(new[:, 1]))
-    return seq.astype(np.uint32), np.concatenate(rules).astype(np.uint32), np.concatenate(lengths)
+        lengths = np.concatenate((lengths, sizes.sum(axis=1)))
+    named = lambda s: np.where(s >= terminals, s.astype(np.int64) + gap, s).astype(np.uint32)
+    return named(seq), named(np.concatenate(rules)), lengths
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first_free: int) -> np.ndarray:
@@ -95,9 +114,8 @@ class Shard:
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
-            found = np.frombuffer(raw, kind, n, at)
-            at += found.nbytes
-            return found
+            begin, at = at, at + n * np.dtype(kind).itemsize
+            return np.frombuffer(raw[begin:at], kind)        # a copy, so that its numbers are aligned
 
         self.known, self.doc_ids, self.starts = take("u1", docs), take("<i8", docs), take("<i8", docs + 1)
         self.rules, self.rule_lengths, self.symbols = take("<u4", 2 * rules).reshape(-1, 2), take("<i8", rules), take("<u4", symbols)
@@ -116,6 +134,21 @@ class Shard:
     def document(self, i: int) -> np.ndarray:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
+    def documents(self) -> list[np.ndarray]:
+        """All documents, from one expansion of each rule."""
+        bounds = self.starts.tolist()
+        bodies = expand(np.arange(self.first_free, self.first_free + len(self.rules), dtype="<u4"), self.rules, self.first_free)
+        # what a symbol stands for lies in one table: first the ids that occur as they are, then the rules
+        plain = self.symbols < self.first_free
+        table = np.concatenate((self.symbols[plain], bodies)).astype("<u4", copy=False)
+        rule_at = np.cumsum(self.rule_lengths) - self.rule_lengths + int(plain.sum())
+        lies = np.empty(len(self.symbols), dtype=np.int64)
+        lies[plain] = np.arange(int(plain.sum()))
+        lies[~plain] = rule_at[self.symbols[~plain] - self.first_free]
+        lengths = np.diff(self.ends, prepend=0)
+        ids = table[np.repeat(lies - self.ends + lengths, lengths) + np.arange(bounds[-1])]
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+
 
 def pack(doc_ids: list[int | None], texts: list[np.ndarray], first_free: int) -> bytes:
     """A shard file of the given documents' ids."""
@@ -176,7 +209,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, number, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 shard = Shard(raw)
-                sums = [zlib.crc32(shard.document(i).astype("<u4").tobytes()) for i in range(len(shard.doc_ids))]
+                sums = [zlib.crc32(ids) for ids in shard.documents()]
                 n = len(sums)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, number, np.int32)),

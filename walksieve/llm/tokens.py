@@ -90,9 +90,12 @@ class Encoder:
         known = list(map(self.kept.get, different))
         new = [i for i, ids in enumerate(known) if ids is None]
         if self.older:
-            self.kept.update((different[i], self.older[different[i]]) for i in new if different[i] in self.older)
-            known = list(map(self.kept.get, different))
-            new = [i for i in new if known[i] is None]
+            names = [different[i] for i in new]
+            before = list(map(self.older.get, names))
+            for i, name, ids in zip(new, names, before):
+                if ids is not None:
+                    known[i] = self.kept[name] = ids
+            new = [i for i, ids in zip(new, before) if ids is None]
         self._learn({different[i] for i in new})
         for i in new:
             known[i] = self.kept[different[i]]
