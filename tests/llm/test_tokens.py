@@ -2,13 +2,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given as any_of
 from hypothesis import settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from walksieve.llm import queries, repair, separators
+from walksieve.llm import queries, repair, separators, tokens
 from walksieve.llm.tokens import encoder
 from walksieve.session import scratch_path
 
@@ -36,6 +37,34 @@ def test_cut_texts_encode_like_whole_ones(texts):
     assert [np.frombuffer(raw, "<u4").tolist() for raw in encoder(PATH).encode(texts)] == [ids_of(library, t) for t in texts]
 
 
+def test_a_known_part_takes_tens_of_bytes():
+    """They used to be Python strings and bytes, some hundreds of bytes a part."""
+    coder = tokens.Encoder(PATH, False)
+    words = [f"part{i:x}" for i in range(20_000)]
+    coder.encode([" ".join(words), "\n".join(words[:500])])
+    held = [x.nbytes for x in vars(coder).values() if isinstance(x, np.ndarray) and x is not coder.spaced and x is not coder.feed]
+    assert len(coder.used) >= 20_499 and sum(held) < 100 * len(coder.used)
+
+
+@pytest.mark.parametrize("numbers, kept", [(1 << 63, 5), (8, 400_000), (1, 5)])
+def test_parts_that_share_a_number_and_are_forgotten(monkeypatch, library, numbers, kept):
+    plain, coder, rng = tokens._hashes, tokens.Encoder(PATH, False), np.random.default_rng(kept)
+    monkeypatch.setattr(tokens, "_hashes", lambda data, at: plain(data, at) % np.uint64(numbers))
+    monkeypatch.setattr(tokens, "KEPT_PARTS", kept)
+    for _ in range(60):
+        texts = ["".join(rng.choice(list("ab.,  \n"), n)) for n in rng.integers(0, 40, 5)]
+        assert [np.frombuffer(raw, "<u4").tolist() for raw in coder.encode(texts)] == [ids_of(library, t) for t in texts]
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_pieces_of_a_column(kind):
+    texts = ["ab", None, "", "ñ" * 40, "c", "d" * 9, None]
+    got = list(tokens.pieces(pa.array(["x", *texts], kind).slice(1), 10))
+    assert [t for _, _, some in got for t in some] == texts and len(got) > 2
+    assert [(a, b) for a, b, _ in got] == list(zip([0, *[b for _, b, _ in got]], [b for _, b, _ in got]))
+    assert list(tokens.pieces(pa.array([], kind))) == [(0, 0, [])]
+
+
 def expected(library, rows):
     at, out = 0, []
     for i, text in rows:
@@ -100,6 +129,16 @@ def test_frequent_pairs_by_count_then_by_pair(lift):
     assert at.tolist() == [wanted.index(k) if k in wanted else len(wanted) for k in keys.tolist()]
 
 
+def test_rare_pairs_are_not_sorted(monkeypatch):
+    keys = np.append(np.arange(1 << 17), np.zeros(50)).astype(np.uint64)
+    sizes, plain = [], np.sort
+    monkeypatch.setattr(repair.np, "sort", lambda x, *a, **b: sizes.append(len(x)) or plain(x, *a, **b))
+    pairs, at = repair.frequent_pairs(keys, 6)
+    assert pairs.tolist() == [0] and (at == 0).sum() == 51 and sum(sizes) < len(keys) / 8
+    pairs, at = repair.frequent_pairs(keys[:9], 6)
+    assert len(pairs) == 0 and at.tolist() == [0] * 9
+
+
 def test_all_documents_of_a_shard_at_once(monkeypatch):
     """Whole reads expand each rule once, not each document from its own range."""
     rng = np.random.default_rng(1)

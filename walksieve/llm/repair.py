@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from walksieve.llm.common import documents
-from walksieve.llm.tokens import encoder, some_at_a_time
+from walksieve.llm.tokens import encoder, pieces
 
 MAGIC = b"RPR1"
 ROUNDS = 6
@@ -33,22 +33,27 @@ SHARD_IDS = 1 << 18
 def frequent_pairs(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that occur `least` times or more, by falling count, then by pair, and for
     every place which of them it is; their number where it is none."""
-    bits = len(keys).bit_length()
-    if int(keys.max()) < 1 << (64 - bits):       # a pair and its place fit one number, which sorts faster
-        both = np.sort(keys << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64))
+    bits, kind = len(keys).bit_length(), np.int32 if len(keys) < 1 << 31 else np.int64
+    # a pair is as rare as its bucket, so most rare ones are left out before the sort
+    bucket = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+    held = np.flatnonzero((np.bincount(bucket) >= least)[bucket])
+    if not len(held):
+        return keys[:0], np.zeros(len(keys), dtype=kind)
+    some, place = keys[held], np.arange(len(held), dtype=np.uint64)
+    if int(some.max()) < 1 << (64 - bits):       # a pair and its place fit one number, which sorts faster
+        both = np.sort(some << np.uint64(bits) | place)
         ordered, order = both >> np.uint64(bits), (both & np.uint64((1 << bits) - 1)).view(np.int64)
     else:
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
+        order = np.argsort(some, kind="stable")
+        ordered = some[order]
     begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    count = np.diff(np.append(begin, len(keys)))
+    count = np.diff(np.append(begin, len(some)))
     often = np.flatnonzero(count >= least)
     often = often[np.argsort(-count[often], kind="stable")]
-    kind = np.int32 if len(keys) < 1 << 31 else np.int64
     rank = np.full(len(count), len(often), dtype=kind)
     rank[often] = np.arange(len(often), dtype=kind)
-    at = np.empty(len(keys), dtype=kind)
-    at[order] = np.repeat(rank, count)
+    at = np.full(len(keys), len(often), dtype=kind)
+    at[held[order]] = np.repeat(rank, count)
     return ordered[begin[often]], at
 
 
@@ -179,9 +184,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, fi
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["part", "shard", "n_tokens", "payload"])
 
         for batch in batches:
-            names, column = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in some_at_a_time(column, 6_000_000):
-                for name, raw in zip(names[a:b], coder.encode(column[a:b])):
+            names = batch.column(0).to_pylist()
+            for a, b, some in pieces(batch.column(1)):
+                for name, raw in zip(names[a:b], coder.encode(some)):
                     ids.append(name)
                     texts.append(np.append(np.frombuffer(raw, "<u4"), np.uint32(end_id)))
                     held += len(texts[-1])
